@@ -15,20 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convgraph.functions.lineage import cut_lineage
+
 # Conversations up to this many turns are folded as one array.  Longer ones are
 # cut into blocks of this size, which are contracted and solved in parallel.
 FOLD_LIMIT = 4096
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names (set only if unset)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/convgraph-checkpoints"))
-    return df.checkpoint()
-
-
 def query_turns(turns: DataFrame) -> DataFrame:
     return turns.where("rev = 0").select("sid", F.col("idx").alias("query_idx"))
 

@@ -11,14 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convgraph.functions.lineage import cut_lineage
 from convgraph.functions.splitwin import split_row_number
 
 # Fixed values of the draw function.
 MODULUS = 2147483647
 DRAW_CHUNK = 4096
+# Values up to this many rows are sent to every executor.
+BROADCAST_ROWS = 1_000_000
 POSITION_SPLITS = 64
 
 
@@ -37,10 +40,11 @@ def number_units(values: DataFrame, by: Sequence[str], unit: str) -> DataFrame:
 
 
 def draws(groups: DataFrame, n_boot: int, partitions: int | None = None) -> DataFrame:
-    """``groups`` (with ``_n`` and ``_seed``) -> one row per resample and draw, with ``_i``."""
+    """``groups(_g, _n, _seed)`` -> one row per resample and draw: (_g, _b, _i)."""
     m = F.lit(MODULUS).cast("bigint")
     parts = partitions or max(8, groups.sparkSession.sparkContext.defaultParallelism)
-    rows = groups.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))))
+    rows = groups.select("_g", "_n", "_seed", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))).alias("_b"))
     rows = rows.repartition(parts).withColumn(
         "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / DRAW_CHUNK))))
     rows = rows.withColumn("_j", F.explode(F.sequence(
@@ -49,7 +53,7 @@ def draws(groups: DataFrame, n_boot: int, partitions: int | None = None) -> Data
     rows = rows.withColumn("_v", ((F.col("_u") * F.col("_u")) % m + F.col("_j") * 69621 + 12345) % m)
     rows = rows.withColumn("_w", ((F.col("_v") * F.col("_v")) % m + F.col("_u") * 16807) % m)
     idx = ((F.col("_w") * F.col("_w")) % m + F.col("_v") * 48271) % m % F.col("_n")
-    return rows.withColumn("_i", idx).drop("_c", "_j", "_u", "_v", "_w", "_n", "_seed")
+    return rows.select("_g", F.col("_b").cast("int").alias("_b"), idx.cast("int").alias("_i"))
 
 
 def resample(
@@ -57,16 +61,24 @@ def resample(
 ) -> DataFrame:
     """One row per group and resample with the given aggregates over the drawn units.
 
-    ``values`` holds one row per (group, unit).
+    ``values`` holds one row per (group, unit).  Groups get a number, so that draws
+    carry three integers only.  The values are broadcast if their counted rows stay
+    below BROADCAST_ROWS; beyond that Spark shuffles both sides by (group, position),
+    which is evenly spread.
     """
     by = list(by)
-    numbered = number_units(values, by, unit)
-    groups = numbered.groupBy(*by).agg(F.max("_n").alias("_n")).withColumn(
-        "_seed", seed_column(seed, *[F.col(c) for c in by]))
-    d = draws(groups, n_boot)
     data = [c for c in values.columns if c not in by and c != unit]
-    return d.join(numbered.select(*by, "_i", *data), [*by, "_i"]).groupBy(*by, "_b").agg(
+    numbered = cut_lineage(number_units(values, by, unit).select(*by, F.col("_i").cast("int").alias("_i"), "_n", *data))
+    # one row per group: as many as the result table has
+    groups = numbered.groupBy(*by).agg(F.max("_n").alias("_n")).withColumn(
+        "_g", F.row_number().over(Window.orderBy(*by))).withColumn("_seed", seed_column(seed, *[F.col(c) for c in by]))
+    groups = cut_lineage(groups)
+    keyed = numbered.drop("_n").join(groups.select(*by, "_g"), by).select("_g", "_i", *data)
+    if numbered.count() <= BROADCAST_ROWS:
+        keyed = F.broadcast(keyed)
+    r = draws(groups, n_boot).join(keyed, ["_g", "_i"]).groupBy("_g", "_b").agg(
         *[c.alias(name) for name, c in aggs.items()])
+    return r.join(groups.select("_g", *by), "_g").drop("_g")
 
 
 def interval(col: str, low: float = 0.025, high: float = 0.975) -> tuple[Column, Column]:

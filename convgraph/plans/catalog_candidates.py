@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convgraph.operators import candidates, graph, select
+from convgraph.functions.lineage import cut_lineage
+from convgraph.operators import candidates, select
 from convgraph.plans import inputs
 from convgraph.plans.inputs import conversation_graph, with_views
 from convgraph.plans.catalog_context import HEADS_SQL
@@ -83,7 +84,7 @@ class Pool(NamedTuple):
 def build(spark, sf_dir) -> Pool:
     t, e, closed, _ = conversation_graph(spark, sf_dir)
     cos = select.similarity(t, inputs.vectors(spark, sf_dir), digits=4)
-    return Pool(t, e, closed, candidates.candidate_pool(t, e, cos, inputs.items(t)))
+    return Pool(t, e, closed, cut_lineage(candidates.candidate_pool(t, e, cut_lineage(cos), inputs.items(t))))
 
 
 def recall(spark, sf_dir) -> DataFrame:

@@ -9,7 +9,7 @@ from convgraph.plans.catalog_candidates import RECALL_SQL, _P, recall as recall_
 from convgraph.plans.catalog_facts import COMPARISON_SQL, COMPARISONS, COUNT, aligned, item_scores
 from convgraph.plans.fact_inputs import answers, facts_table, item_log, verdicts
 from convgraph.plans.inputs import with_views
-from convgraph.plans.registry import big, query, r6
+from convgraph.plans.registry import big, query, r6, r96
 
 SEED = 20
 MARGIN = -0.03
@@ -31,14 +31,14 @@ def boot_sql(values: str, by: str, unit: str, aggs: str, n_boot: int = N_BOOT, d
   grp AS (SELECT {by}, max(nn) AS nn,
                  CAST('0x' || substring(sha256(concat_ws('|', '{SEED}', {by})), 1, 8) AS BIGINT) % {m} AS s
           FROM num GROUP BY {by}),
-  dr AS (SELECT {key}, b, ((w * w) % {m} + v * 48271) % {m} % nn AS i FROM (
+  dr AS (SELECT {key}, rb, ((w * w) % {m} + v * 48271) % {m} % nn AS i FROM (
     SELECT *, ((v * v) % {m} + u * 16807) % {m} AS w FROM (
       SELECT *, ((u * u) % {m} + j * 69621 + 12345) % {m} AS v FROM (
-        SELECT g.*, b.b, j.j, (b.b * 48271 + g.s) % {m} AS u
-        FROM grp g CROSS JOIN (SELECT unnest(range({n_boot})) AS b) b
+        SELECT g.*, bb.rb, j.j, (bb.rb * 48271 + g.s) % {m} AS u
+        FROM grp g CROSS JOIN (SELECT unnest(range({n_boot})) AS rb) bb
         CROSS JOIN LATERAL (SELECT unnest(range(g.nn)) AS j) j) x) y) g),
-  bs AS (SELECT {", ".join("d." + c for c in by.split(", "))}, d.b AS bb, {aggs}
-         FROM dr d JOIN num n ON {eq} AND n.i = d.i GROUP BY {", ".join("d." + c for c in by.split(", "))}, d.b)"""
+  bs AS (SELECT {", ".join("d." + c for c in by.split(", "))}, d.rb, {aggs}
+         FROM dr d JOIN num n ON {eq} AND n.i = d.i GROUP BY {", ".join("d." + c for c in by.split(", "))}, d.rb)"""
 
 
 CI = "quantile_cont({c}, 0.025)", "quantile_cont({c}, 0.975)"
@@ -95,7 +95,7 @@ def compare_sql(pool: str = "common", n_boot: int = N_BOOT, extra: str = "") ->
   cmpres AS (SELECT * FROM pt JOIN ci USING ({by}))"""
 
 
-COLS_SQL = """n, round(q_diff, 6) AS q_diff, round(q_lo, 6) AS q_ci_low, round(q_hi, 6) AS q_ci_high, round(p_ni, 6) AS p_noninferior,
+COLS_SQL = """n, round(round(q_diff, 9), 6) AS q_diff, round(round(q_lo, 9), 6) AS q_ci_low, round(round(q_hi, 9), 6) AS q_ci_high, round(round(p_ni, 9), 6) AS p_noninferior,
   q_lo >= -0.03 AS noninferior_ci"""
 
 
@@ -109,32 +109,32 @@ _Q = ("q_diff", "q_ci_low", "q_ci_high", "p_noninferior")
 
 
 @query("r2_paired_bootstrap", with_views("facts", "," + compare_sql("none") + """
-  SELECT model, a, b, n, round(q_diff, 6) AS q_diff, round(q_lo, 6) AS q_ci_low, round(q_hi, 6) AS q_ci_high FROM cmpres"""))
+  SELECT model, a, b, n, round(round(q_diff, 9), 6) AS q_diff, round(round(q_lo, 9), 6) AS q_ci_low, round(round(q_hi, 9), 6) AS q_ci_high FROM cmpres"""))
 def r2_paired_bootstrap(spark, sf_dir):
-    return _comparisons(spark, sf_dir, "none").select("model", "a", "b", "n", *[r6(c) for c in _Q[:3]])
+    return _comparisons(spark, sf_dir, "none").select("model", "a", "b", "n", *[r96(c) for c in _Q[:3]])
 
 
 @query("r3_noninferiority", with_views("facts", "," + compare_sql("none") + f"SELECT model, a, b, {COLS_SQL} FROM cmpres"))
 def r3_noninferiority(spark, sf_dir):
-    return _comparisons(spark, sf_dir, "none").select("model", "a", "b", "n", *[r6(c) for c in _Q], "noninferior_ci")
+    return _comparisons(spark, sf_dir, "none").select("model", "a", "b", "n", *[r96(c) for c in _Q], "noninferior_ci")
 
 
 @query("r4_pooled_comparison", with_views("facts", "," + compare_sql("common") + """,
   pm AS (SELECT a, b, string_agg(mk, ',' ORDER BY mk) AS pooled_models FROM common GROUP BY a, b)
-  SELECT model, a, b, n, round(q_diff, 6) AS q_diff, round(q_lo, 6) AS q_ci_low, round(q_hi, 6) AS q_ci_high, pooled_models
+  SELECT model, a, b, n, round(round(q_diff, 9), 6) AS q_diff, round(round(q_lo, 9), 6) AS q_ci_low, round(round(q_hi, 9), 6) AS q_ci_high, pooled_models
   FROM cmpres JOIN pm USING (a, b) WHERE model = 'pooled'"""))
 def r4_pooled_comparison(spark, sf_dir):
     f = facts_table(spark, sf_dir)
     c = _comparisons(spark, sf_dir, "common", source=f).where("model = 'pooled'")
     pm = resample.pooled_models(f, COMPARISONS).select("a", "b", "pooled_models")
-    return c.join(pm, ["a", "b"]).select("model", "a", "b", "n", *[r6(c) for c in _Q[:3]], "pooled_models")
+    return c.join(pm, ["a", "b"]).select("model", "a", "b", "n", *[r96(c) for c in _Q[:3]], "pooled_models")
 
 
 @query("r4b_pooled_any_models", with_views("facts", "," + compare_sql("any") + """
-  SELECT model, a, b, n, round(q_diff, 6) AS q_diff, round(q_lo, 6) AS q_ci_low, round(q_hi, 6) AS q_ci_high
+  SELECT model, a, b, n, round(round(q_diff, 9), 6) AS q_diff, round(round(q_lo, 9), 6) AS q_ci_low, round(round(q_hi, 9), 6) AS q_ci_high
   FROM cmpres WHERE model = 'pooled'"""))
 def r4b_pooled_any_models(spark, sf_dir):
-    return _comparisons(spark, sf_dir, "any").where("model = 'pooled'").select("model", "a", "b", "n", *[r6(c) for c in _Q[:3]])
+    return _comparisons(spark, sf_dir, "any").where("model = 'pooled'").select("model", "a", "b", "n", *[r96(c) for c in _Q[:3]])
 
 
 @query("r5_token_ratio", with_views("facts", "," + compare_sql("common") + """
@@ -175,11 +175,11 @@ def r7_pooled_guard(spark, sf_dir):
 
 
 @query("r8_per_family", with_views("facts", "," + compare_sql("none", 200, "family") + """
-  SELECT model, family, a, b, n, round(q_diff, 6) AS q_diff, round(q_lo, 6) AS q_ci_low, round(q_hi, 6) AS q_ci_high,
+  SELECT model, family, a, b, n, round(round(q_diff, 9), 6) AS q_diff, round(round(q_lo, 9), 6) AS q_ci_low, round(round(q_hi, 9), 6) AS q_ci_high,
          abs(q_diff) <= 0.075 AS within_noise_floor FROM cmpres"""))
 def r8_per_family(spark, sf_dir):
     c = _comparisons(spark, sf_dir, "none", 200, ("family",))
-    return c.select("model", "family", "a", "b", "n", *[r6(x) for x in _Q[:3]],
+    return c.select("model", "family", "a", "b", "n", *[r96(x) for x in _Q[:3]],
                     (F.abs("q_diff") <= 0.075).alias("within_noise_floor"))
 
 
@@ -616,7 +616,7 @@ LEN_PAIRS = [("full_history|base", "full_history|60")]
   rd AS (SELECT model, avg(d) AS q_diff, any_value(lo) AS lo FROM vals JOIN ci USING (model) GROUP BY 1),
   r2 AS (SELECT *, CASE WHEN round(q_diff, 4) >= 0.05 AND round(lo, 4) > 0 THEN 'AMPLIFIES' WHEN round(q_diff, 4) >= 0.02 AND round(q_diff, 4) < 0.05 THEN 'DIRECTIONAL'
            WHEN round(q_diff, 4) >= 0.05 THEN 'DIRECTIONAL (interval includes zero)' ELSE 'CLOSED' END AS reading FROM rd)
-  SELECT model, round(q_diff, 6) AS q_diff, round(lo, 6) AS q_ci_low, valid, reading, CASE WHEN valid THEN reading ELSE 'VOID' END AS outcome FROM r2 CROSS JOIN lk"""))
+  SELECT model, round(round(q_diff, 9), 6) AS q_diff, round(lo, 6) AS q_ci_low, valid, reading, CASE WHEN valid THEN reading ELSE 'VOID' END AS outcome FROM r2 CROSS JOIN lk"""))
 def d6_length_reading(spark, sf_dir):
     f = facts_table(spark, sf_dir)
     leak = tables.leakage_by_length(f, ["base", "30", "60"])

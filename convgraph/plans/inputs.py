@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convgraph.functions.lineage import cut_lineage
 from convgraph.functions.splitwin import split_row_number
 from convgraph.operators import graph
 
@@ -63,12 +64,13 @@ class Conversations(NamedTuple):
 
 
 def conversation_graph(spark: SparkSession, sf_dir: str) -> Conversations:
-    t = turns(spark, sf_dir)
+    # numbering turns shuffles the log once; every later step reads the result
+    t = cut_lineage(turns(spark, sf_dir))
     e = edges(t)
     # the longest conversation, from counts alone, decides once how closures are computed
     top = table(spark, sf_dir, "events").groupBy("user_id").count().agg(F.max("count")).first()[0]
     longest = int(top or 0)
-    return Conversations(t, e, graph.closure(t, e, longest=longest), longest)
+    return Conversations(t, e, cut_lineage(graph.closure(t, e, longest=longest)), longest)
 
 
 VIEWS: dict[str, str] = {

@@ -34,6 +34,11 @@ def r6(c, alias: str | None = None):
     return out.alias(alias or c) if isinstance(c, str) or alias else out
 
 
+def r96(c: str):
+    """Two steps, so that the last bits of a quantile do not decide a tie."""
+    return F.round(F.round(c, 9), 6).alias(c)
+
+
 def load_all() -> None:
     """Import every catalog module, which registers its queries."""
     import importlib
