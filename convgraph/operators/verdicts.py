@@ -13,18 +13,21 @@ NOTHING = "(none)"
 JUDGE_HEADINGS = ("The user's question:\n", "\n\nChecklist:\n", "\n\nDistractor turns:\n", "\n\nAssistant's answer:\n")
 
 
-def json_text(raw: Column) -> Column:
-    """The JSON in a model response: fences stripped, else the outermost brackets."""
-    s = F.btrim(raw, F.lit(" \t\r\n"))
-    s = F.regexp_replace(s, r"(?s)^.*</think>\s*", "")
-    fenced = F.regexp_replace(F.regexp_replace(s, r"^```[^\n]*\n?", ""), r"\s*```\s*$", "")
-    body = F.when(s.startswith("```"), fenced).otherwise(s)
-    whole = F.try_parse_json(body)
-    outer = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    array = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
-    return (F.when(whole.isNotNull(), body)
-            .when((outer != "") & F.try_parse_json(outer).isNotNull(), outer)
-            .when((array != "") & F.try_parse_json(array).isNotNull(), array))
+def _valid(text: Column) -> Column:
+    return F.when(F.try_parse_json(text).isNotNull(), text)
+
+
+def with_json_text(raw: DataFrame, text: str, out: str) -> DataFrame:
+    """The JSON in a model response: fences stripped, else the outermost brackets.
+
+    Each step is a column of its own, so that it is computed once per row.
+    """
+    d = raw.withColumn("_s", F.regexp_replace(F.btrim(text, F.lit(" \t\r\n")), r"(?s)^.*</think>\s*", ""))
+    fenced = F.regexp_replace(F.regexp_replace("_s", r"^```[^\n]*\n?", ""), r"\s*```\s*$", "")
+    d = d.withColumn("_b", F.when(F.col("_s").startswith("```"), fenced).otherwise(F.col("_s")))
+    inner = lambda p: F.regexp_extract("_b", p, 1)
+    d = d.withColumn(out, F.coalesce(_valid(F.col("_b")), _valid(inner(r"(?s)(\{.*\})")), _valid(inner(r"(?s)(\[.*\])"))))
+    return d.drop("_s", "_b")
 
 
 def parse_verdicts(raw: DataFrame, text: str = "text") -> DataFrame:
@@ -32,12 +35,10 @@ def parse_verdicts(raw: DataFrame, text: str = "text") -> DataFrame:
 
     A bare list is a checklist whose leakage is unknown.
     """
-    d = raw.withColumn("_j", json_text(F.col(text)))
-    is_list = F.ltrim("_j").startswith("[")
-    v = F.from_json("_j", VERDICT)
-    return d.withColumn("_v", F.when(~is_list, v)).select(
-        *raw.columns, F.col("_j").isNotNull().alias("parsed"),
-        F.when(is_list, F.from_json("_j", ITEMS)).otherwise(F.col("_v.checklist")).alias("items"),
+    d = with_json_text(raw, text, "_j")
+    whole = F.when(F.ltrim("_j").startswith("["), F.concat(F.lit('{"checklist":'), "_j", F.lit("}"))).otherwise(F.col("_j"))
+    return d.withColumn("_v", F.from_json(whole, VERDICT)).select(
+        *raw.columns, F.col("_j").isNotNull().alias("parsed"), F.col("_v.checklist").alias("items"),
         F.col("_v.distractor_leakage").cast("int").alias("distractor_leakage"))
 
 
@@ -61,7 +62,8 @@ def score_verdicts(verdicts: DataFrame, checklists: DataFrame) -> DataFrame:
 
     verdicts(key, items), checklists(key, item, required).
     """
-    got = verdicts.select("key", F.explode(item_map(F.col("items"))).alias("item", "satisfied"))
+    got = verdicts.select("key", F.posexplode("items").alias("_p", "_i")).groupBy("key", F.col("_i.id").alias("item")).agg(
+        F.max_by(F.coalesce(F.col("_i.satisfied"), F.lit(False)), "_p").alias("satisfied"))
     want = checklists.select("key", "item", "required").join(verdicts.select("key"), "key", "left_semi")
     j = want.join(got, ["key", "item"], "left")
     ok = F.coalesce(F.col("satisfied"), F.lit(False)).cast("int")

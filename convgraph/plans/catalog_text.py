@@ -159,7 +159,7 @@ def p19_parse_verdicts(spark, sf_dir):
          coalesce(min(CASE WHEN required THEN CASE WHEN satisfied AND l_suppkey % 20 <> 0 THEN 1 ELSE 0 END END), 1) AS all_required_satisfied
   FROM ilog i JOIN k ON k.key = i.key GROUP BY i.key"""))
 def p20_score_verdicts(spark, sf_dir):
-    v = vd.parse_verdicts(raw_verdicts(spark, sf_dir)).where("parsed")
+    v = vd.parse_verdicts(raw_verdicts(spark, sf_dir)).where("items is not null")
     c = item_log(spark, sf_dir).select("key", F.concat(F.lit("c"), F.col("item").cast("string")).alias("item"), "required")
     s = vd.score_verdicts(v, c)
     return s.select("key", "n_required", big("n_satisfied"), r6("checklist_score"), "all_required_satisfied")
