@@ -14,7 +14,8 @@ JUDGE_HEADINGS = ("The user's question:\n", "\n\nChecklist:\n", "\n\nDistractor
 
 
 def _valid(text: Column) -> Column:
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    # text that cannot be JSON is not given to the parser
+    return F.when(text.rlike(r"^\s*[{\[]") & F.try_parse_json(text).isNotNull(), text)
 
 
 def with_json_text(raw: DataFrame, text: str, out: str) -> DataFrame:

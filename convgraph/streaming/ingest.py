@@ -30,7 +30,7 @@ def read_log(spark: SparkSession, path: str, schema: StructType, fmt: str = "jso
 
 def dedupe_stream(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     """First arrival per key wins; keys are forgotten ``delay`` after their event time."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def run_to_files(stream: DataFrame, path: str | None = None) -> DataFrame:
