@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only where neither is set, as in tests, a local one is used.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = current.get() if current.isDefined() else "/tmp/convgraph-checkpoints"
+    return named.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder the session names in spark.checkpoint.dir.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Used where a result feeds several later steps, so that they read it instead
-    of computing it again; losing an executor does not lose it.  A folder is set
-    here only if neither the context nor the configuration has one.
+    Used where a result feeds several later steps: they read it instead of
+    computing it again, with its true size known to the planner and only the
+    columns they need; losing an executor does not lose it.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/convgraph-checkpoints"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

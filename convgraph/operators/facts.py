@@ -143,6 +143,18 @@ def with_verdicts(answers: DataFrame, verdicts: DataFrame, columns: Sequence[str
     return answers.join(verdicts.select("key", *cols), "key", "left")
 
 
+def side_by_side(verdicts: DataFrame, judges: Mapping[str, str], columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """First verdict of each judge per key in one row: ``column + suffix`` per judge.
+
+    One aggregation by key, so that a join with answers kept one per key needs no
+    further shuffle.
+    """
+    at = F.struct(*order)
+    picks = [F.min_by(F.struct(*columns), F.when(F.col("judge_model") == j, at)).alias(f"_j{i}") for i, j in enumerate(judges)]
+    wide = verdicts.groupBy("key").agg(*picks)
+    return wide.select("key", *[F.col(f"_j{i}.{c}").alias(c + suffix) for i, suffix in enumerate(judges.values()) for c in columns])
+
+
 def pair_arms(facts: DataFrame, comparisons: Sequence[tuple[str, str]], on: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Rows of arm a and arm b of each comparison side by side.
 

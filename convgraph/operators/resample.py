@@ -53,7 +53,8 @@ def draws(groups: DataFrame, n_boot: int, partitions: int | None = None) -> Data
     rows = rows.withColumn("_v", ((F.col("_u") * F.col("_u")) % m + F.col("_j") * 69621 + 12345) % m)
     rows = rows.withColumn("_w", ((F.col("_v") * F.col("_v")) % m + F.col("_u") * 16807) % m)
     idx = ((F.col("_w") * F.col("_w")) % m + F.col("_v") * 48271) % m % F.col("_n")
-    return rows.select("_g", F.col("_b").cast("int").alias("_b"), idx.cast("int").alias("_i"))
+    # never NULL; saying so spares a filter that would compute the index twice
+    return rows.select("_g", F.col("_b").cast("int").alias("_b"), F.coalesce(idx.cast("int"), F.lit(0)).alias("_i"))
 
 
 def resample(
@@ -70,9 +71,8 @@ def resample(
     data = [c for c in values.columns if c not in by and c != unit]
     numbered = cut_lineage(number_units(values, by, unit).select(*by, F.col("_i").cast("int").alias("_i"), "_n", *data))
     # one row per group: as many as the result table has
-    groups = numbered.groupBy(*by).agg(F.max("_n").alias("_n")).withColumn(
-        "_g", F.row_number().over(Window.orderBy(*by))).withColumn("_seed", seed_column(seed, *[F.col(c) for c in by]))
-    groups = cut_lineage(groups)
+    groups = cut_lineage(numbered.groupBy(*by).agg(F.max("_n").alias("_n")).withColumn(
+        "_g", F.row_number().over(Window.orderBy(*by))).withColumn("_seed", seed_column(seed, *[F.col(c) for c in by])))
     keyed = numbered.drop("_n").join(groups.select(*by, "_g"), by).select("_g", "_i", *data)
     if numbered.count() <= BROADCAST_ROWS:
         keyed = F.broadcast(keyed)
@@ -89,7 +89,7 @@ def interval(col: str, low: float = 0.025, high: float = 0.975) -> tuple[Column,
 
 def bootstrap_mean(facts: DataFrame, by: Sequence[str], unit: str, metric: str, n_boot: int, seed: int) -> DataFrame:
     """Mean and percentile interval per group; no interval below two values."""
-    v = facts.where(F.col(metric).isNotNull()).select(*by, unit, F.col(metric).cast("double").alias("_m"))
+    v = cut_lineage(facts.where(F.col(metric).isNotNull()).select(*by, unit, F.col(metric).cast("double").alias("_m")))
     point = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_m").alias("mean"))
     r = resample(v, by, unit, {"mean_b": F.avg("_m")}, n_boot, seed)
     ci = r.groupBy(*by).agg(*interval("mean_b"))
@@ -124,9 +124,11 @@ def paired_values(
     if pooled == "any":
         labels.append(F.lit("pooled"))
     elif pooled == "common":
-        ok = flat.groupBy("a", "b", *extra, "_mk").agg(
+        flat = cut_lineage(flat)
+        # a few rows per comparison, written so that the join knows its size
+        ok = cut_lineage(flat.groupBy("a", "b", *extra, "_mk").agg(
             (F.max(F.when(F.col("_s") == 0, F.col("_q"))).isNotNull()
-             & F.max(F.when(F.col("_s") == 1, F.col("_q"))).isNotNull()).alias("_ok"))
+             & F.max(F.when(F.col("_s") == 1, F.col("_q"))).isNotNull()).alias("_ok")))
         flat = flat.join(ok, ["a", "b", *extra, "_mk"])
         labels.append(F.when(F.col("_ok"), F.lit("pooled")))
     flat = flat.withColumn("model", F.explode(F.filter(F.array(*labels), lambda x: x.isNotNull())))
@@ -135,9 +137,11 @@ def paired_values(
         on(0, "_q").alias("_qa"), on(1, "_q").alias("_qb"), on(0, "_t").alias("ta"), on(1, "_t").alias("tb"))
     pairs = pairs.where("_qa is not null and _qb is not null").select(
         "model", *extra, "a", "b", unit, (F.col("_qa") - F.col("_qb")).alias("d"), "ta", "tb")
-    size = pairs.groupBy("model", *extra, "a", "b").agg(F.count(F.lit(1)).alias("n_pairs")).where(
-        F.col("n_pairs") >= min_pairs)
-    return pairs.join(size.select("model", *extra, "a", "b"), ["model", *extra, "a", "b"], "left_semi")
+    pairs = cut_lineage(pairs)
+    # as many rows as the comparison table; written, so that its size is known
+    size = cut_lineage(pairs.groupBy("model", *extra, "a", "b").agg(F.count(F.lit(1)).alias("n_pairs")))
+    big_enough = size.where(F.col("n_pairs") >= min_pairs).select("model", *extra, "a", "b")
+    return pairs.join(big_enough, ["model", *extra, "a", "b"], "left_semi")
 
 
 def pooled_models(facts: DataFrame, comparisons: Sequence[tuple[str, str]], metric: str = "checklist_score",
@@ -155,6 +159,7 @@ def pooled_models(facts: DataFrame, comparisons: Sequence[tuple[str, str]], metr
 def compare(pairs: DataFrame, unit: str, n_boot: int, seed: int, margin: float, extra: Sequence[str] = ()) -> DataFrame:
     """All comparisons in one job: difference, interval, non-inferiority, token ratio."""
     by = ["model", *extra, "a", "b"]
+    pairs = cut_lineage(pairs)
     point = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("q_diff"),
         (F.stddev_samp("d") / F.sqrt(F.count(F.lit(1)))).alias("se"),
@@ -178,8 +183,8 @@ def retention(facts: DataFrame, arm: str, dag: str, full: str, n_boot: int, seed
     """(arm - full) / (dag - full) per model, with interval; near-zero denominators drop out."""
     s = lambda lab: F.avg(F.when(F.col("method_label") == lab, F.col("checklist_score")))
     wide = facts.groupBy("model_key", "scenario_id").agg(s(arm).alias("c"), s(dag).alias("g"), s(full).alias("f"))
-    v = wide.where("c is not null and g is not null and f is not null").select(
-        "model_key", "scenario_id", (F.col("c") - F.col("f")).alias("num"), (F.col("g") - F.col("f")).alias("den"))
+    v = cut_lineage(wide.where("c is not null and g is not null and f is not null").select(
+        "model_key", "scenario_id", (F.col("c") - F.col("f")).alias("num"), (F.col("g") - F.col("f")).alias("den")))
     safe = lambda n, d: F.when(F.abs(d) > 1e-9, n / d)
     point = v.groupBy("model_key").agg(F.count(F.lit(1)).alias("n"), F.avg("num").alias("num"), F.avg("den").alias("den"))
     r = resample(v, ["model_key"], "scenario_id", {"num_b": F.avg("num"), "den_b": F.avg("den")}, n_boot, seed)
@@ -194,6 +199,7 @@ def retention(facts: DataFrame, arm: str, dag: str, full: str, n_boot: int, seed
 
 def variance_parts(pairs: DataFrame, by: Sequence[str], unit: str, n_boot: int, seed: int) -> DataFrame:
     """Decoder and scenario variance from pairs of identical prompts (``diff``, ``score``)."""
+    pairs = cut_lineage(pairs)
     parts = {"dec": F.var_samp("diff") / 2, "tot": F.var_samp("score")}
     point = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"), parts["dec"].alias("dec"), parts["tot"].alias("tot"),
@@ -221,7 +227,7 @@ def contrast_errors(
     which any of the judge's methods is missing does not count; the standard
     error has ddof 0.
     """
-    v = scores.select("judge", unit, "method_label", (F.col("cand_score") - F.col("ref_score")).alias("e"))
+    v = cut_lineage(scores.select("judge", unit, "method_label", (F.col("cand_score") - F.col("ref_score")).alias("e")))
     names = sorted({m for ab in contrasts.values() for m in ab})
     mean = {m: F.avg(F.when(F.col("method_label") == m, F.col("e"))) for m in names}
     have = F.count_distinct("method_label")

@@ -152,4 +152,4 @@ def quota_sample(
     d = d.withColumn("_round", F.row_number().over(cell)).where(F.col("_round") <= total)
     order = Window.partitionBy(stratum).orderBy("_again", "_round", F.md5(F.concat_ws("|", F.lit(str(seed)), *cells)), "_h")
     d = d.withColumn("_take", F.row_number().over(order)).where(F.col("_take") <= total)
-    return d.join(F.broadcast(q), stratum).where(F.col("_take") <= F.col("quota")).select(*eligible.columns)
+    return d.join(q, stratum).where(F.col("_take") <= F.col("quota")).select(*eligible.columns)

@@ -63,10 +63,9 @@ def score_verdicts(verdicts: DataFrame, checklists: DataFrame) -> DataFrame:
 
     verdicts(key, items), checklists(key, item, required).
     """
-    got = verdicts.select("key", F.posexplode("items").alias("_p", "_i")).groupBy("key", F.col("_i.id").alias("item")).agg(
-        F.max_by(F.coalesce(F.col("_i.satisfied"), F.lit(False)), "_p").alias("satisfied"))
-    want = checklists.select("key", "item", "required").join(verdicts.select("key"), "key", "left_semi")
-    j = want.join(got, ["key", "item"], "left")
+    j = checklists.select("key", "item", "required").join(verdicts.select("key", "items"), "key")
+    last = F.try_element_at(F.filter("items", lambda x: x["id"] == F.col("item")), F.lit(-1))
+    j = j.select("key", "required", last["satisfied"].alias("satisfied"))
     ok = F.coalesce(F.col("satisfied"), F.lit(False)).cast("int")
     return j.groupBy("key").agg(
         F.count_if("required").alias("n_required"), F.coalesce(F.sum(F.when(F.col("required"), ok)), F.lit(0)).alias("n_satisfied"),

@@ -76,13 +76,13 @@ STATUS_SQL = """SELECT {k} round(sum(usd), 6) AS usd, count(*) AS calls,
 
 @query("l3_budget_status", with_views("ledger", STATUS_SQL.format(k="", p="", g="")))
 def l3_budget_status(spark, sf_dir):
-    s = spend.budget_status(ledger(spark, sf_dir), F.date_trunc("day", "ts"), WARN, LIMIT)
+    s = spend.budget_status(ledger(spark, sf_dir), F.date_trunc("minute", "ts"), WARN, LIMIT)
     return s.select(r6("usd"), "calls", "warn_ref", "stop_ref", "status")
 
 
 @query("l4_scoped_budgets", with_views("ledger", STATUS_SQL.format(k="scope,", p="PARTITION BY scope", g="GROUP BY scope")))
 def l4_scoped_budgets(spark, sf_dir):
-    s = spend.budget_status(ledger(spark, sf_dir), F.date_trunc("day", "ts"), WARN, LIMIT, ["scope"])
+    s = spend.budget_status(ledger(spark, sf_dir), F.date_trunc("minute", "ts"), WARN, LIMIT, ["scope"])
     return s.select("scope", r6("usd"), "calls", "warn_ref", "stop_ref", "status")
 
 

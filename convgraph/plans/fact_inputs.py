@@ -69,10 +69,8 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last answer per key with the first verdict of both judges."""
-    v = verdicts(spark, sf_dir)
-    cols = ["checklist_score", "distractor_leakage"]
-    out = facts.with_verdicts(answers(spark, sf_dir), v.where("judge_model = 'ref'"), cols)
-    return facts.with_verdicts(out, v.where("judge_model = 'alt'"), cols, "_alt")
+    v = facts.side_by_side(verdict_log(spark, sf_dir), {"ref": "", "alt": "_alt"}, ["checklist_score", "distractor_leakage"], ["ts", "tie"])
+    return answers(spark, sf_dir).join(v, "key", "left")
 
 
 def item_log(spark: SparkSession, sf_dir: str) -> DataFrame:

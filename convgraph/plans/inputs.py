@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), "ts", "event_id", "event_type", "props")
-    n = split_row_number(ev, ["sid"], F.date_trunc("day", "ts"), [F.col("ts"), F.col("event_id")], "_pos", "_n")
+    n = split_row_number(ev, ["sid"], F.date_trunc("hour", "ts"), [F.col("ts"), F.col("event_id")], "_pos", "_n")
     eid = F.col("event_id")
     return n.select(
         "sid", (F.col("_pos") - 1).alias("idx"), (F.col("_n") - F.col("_pos")).alias("rev"), "event_id",

@@ -8,14 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from convgraph.functions.lineage import shared_dir
+
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder for a stream's output and state, in the shared checkpoint folder."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and sc._jsc.sc().getCheckpointDir().isDefined():
-        base = sc._jsc.sc().getCheckpointDir().get()
-    return f"{(base or '/tmp/convgraph-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_log(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", glob: str | None = None,
