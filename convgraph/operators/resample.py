@@ -159,7 +159,6 @@ def pooled_models(facts: DataFrame, comparisons: Sequence[tuple[str, str]], metr
 def compare(pairs: DataFrame, unit: str, n_boot: int, seed: int, margin: float, extra: Sequence[str] = ()) -> DataFrame:
     """All comparisons in one job: difference, interval, non-inferiority, token ratio."""
     by = ["model", *extra, "a", "b"]
-    pairs = cut_lineage(pairs)
     point = pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("q_diff"),
         (F.stddev_samp("d") / F.sqrt(F.count(F.lit(1)))).alias("se"),
