@@ -27,12 +27,9 @@ def _split_totals(df: DataFrame, key: Sequence[str], total: Column) -> DataFrame
 
 
 def _attach(df: DataFrame, totals: DataFrame, key: Sequence[str]) -> DataFrame:
-    t = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
-                      F.col("_split").alias("_s"), "_before", "_all")
-    cond = F.col("_split").eqNullSafe(F.col("_s"))
-    for i, k in enumerate(key):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(t, cond).drop("_s", *[f"_k{i}" for i in range(len(key))])
+    # plain equality, so that the join finds the rows where the window left them;
+    # a row without a key or split keeps its place in the result, without a position
+    return df.join(totals.select(*key, "_split", "_before", "_all"), [*key, "_split"], "left")
 
 
 def split_row_number(

@@ -84,31 +84,39 @@ SUMMARY_HEAD = "[Summary of earlier conversation]\n"
 SUMMARY_TAIL = "\n\n[Recent turns]\n"
 
 
-def similarity(turns: DataFrame, vectors: DataFrame, digits: int | None = None) -> DataFrame:
-    """Cosine of every history turn with its query: (sid, idx, cosine).
+def similarity(turns: DataFrame, vectors: DataFrame, digits: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Cosine of every history turn with its query: (sid, idx, *carry, cosine).
 
-    ``turns`` carries ``vec_id``; ``vectors(vec_id, embedding)``.
+    ``turns`` carries ``vec_id``; ``vectors(vec_id, embedding)``.  Columns of
+    ``turns`` named in ``carry`` come along and need no join later.
     """
     v = vectors.select("vec_id", unit(F.col("embedding")).alias("u"))
     q = turns.where("rev = 0").join(v, "vec_id").select("sid", F.col("u").alias("qu"))
-    h = turns.where("rev > 0").select("sid", "idx", "vec_id").join(v, "vec_id")
+    h = turns.where("rev > 0").select("sid", "idx", "vec_id", *carry).join(v, "vec_id")
     cos = dot(F.col("u"), F.col("qu"))
     return salted_join(h, q, ["sid"], F.col("idx")).select(
-        "sid", "idx", (cos if digits is None else F.round(cos, digits)).alias("cosine"))
+        "sid", "idx", *carry, (cos if digits is None else F.round(cos, digits)).alias("cosine"))
 
 
-def greedy_fill(scored: DataFrame, max_budget: int | None = None) -> DataFrame:
+def _with_cost(turns: DataFrame, cosine: DataFrame) -> DataFrame:
+    if "cost" in cosine.columns:
+        return cosine.select("sid", "idx", "cost", "cosine")
+    return turns.where("rev > 0").select("sid", "idx", "cost").join(cosine, ["sid", "idx"])
+
+
+def greedy_fill(scored: DataFrame, budgets: Sequence[int] | None = None) -> DataFrame:
     """Take turns by descending cosine, older first on ties, skipping what does not fit.
 
-    ``scored(sid, budget, idx, cost, cosine)``.  The pass is sequential, but a
-    turn of cost c can only be taken if fewer than budget / c turns of that very
-    cost come before it (once one is skipped, all later ones of its cost are), so
-    the array per (sid, budget) is bounded by the budget, not by the conversation.
+    ``scored(sid, idx, cost, cosine)``, with a column ``budget`` per conversation
+    if no ``budgets`` are given.  The pass is sequential, but a turn of cost c can
+    only be taken if fewer than budget / c turns of that very cost come before it
+    (once one is skipped, all later ones of its cost are), so the array per (sid,
+    budget) is bounded by the budget, not by the conversation.
     """
-    w = Window.partitionBy("sid", "budget", "cost").orderBy(F.desc("cosine"), "idx")
+    w = Window.partitionBy("sid", "cost").orderBy(F.desc("cosine"), "idx")
     ranked = scored.withColumn("_rk", F.row_number().over(w))
-    if max_budget is not None:
-        ranked = ranked.where(F.col("_rk") <= int(max_budget // MIN_TURN_COST))
+    if budgets is not None:
+        ranked = _with_budgets(ranked.where(F.col("_rk") <= int(max(budgets) // MIN_TURN_COST)), budgets)
     ranked = ranked.where(F.col("_rk") <= F.floor(F.col("budget") / F.col("cost")))
     queue = ranked.groupBy("sid", "budget").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("o"), "idx", "cost"))).alias("_q"))
@@ -125,8 +133,7 @@ def greedy_fill(scored: DataFrame, max_budget: int | None = None) -> DataFrame:
 
 
 def semantic_retrieval(turns: DataFrame, cosine: DataFrame, budgets: Sequence[int]) -> DataFrame:
-    hist = turns.where("rev > 0").select("sid", "idx", "cost").join(cosine, ["sid", "idx"])
-    return _tag(greedy_fill(_with_budgets(hist, budgets), max(budgets)), "semantic_retrieval", F.col("budget"))
+    return _tag(greedy_fill(_with_cost(turns, cosine), budgets), "semantic_retrieval", F.col("budget"))
 
 
 def matched_retrieval(turns: DataFrame, cosine: DataFrame, closed: DataFrame) -> DataFrame:
@@ -134,9 +141,8 @@ def matched_retrieval(turns: DataFrame, cosine: DataFrame, closed: DataFrame) ->
     cost = turns.select("sid", "idx", "cost")
     budget = cost.join(closed.select("sid", "idx"), ["sid", "idx"], "left_semi").groupBy("sid").agg(
         F.sum("cost").alias("budget"))
-    hist = turns.where("rev > 0").select("sid", "idx", "cost").join(cosine, ["sid", "idx"])
-    return _tag(greedy_fill(salted_join(hist, budget, ["sid"], F.col("idx"))),
-                "semantic_retrieval_matched", F.col("budget"))
+    scored = salted_join(_with_cost(turns, cosine), budget, ["sid"], F.col("idx"))
+    return _tag(greedy_fill(scored), "semantic_retrieval_matched", F.col("budget"))
 
 
 def from_closure(turns: DataFrame, closed: DataFrame, method: str) -> DataFrame:

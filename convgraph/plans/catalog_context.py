@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convgraph.functions.lineage import cut_lineage
 from convgraph.operators import graph, metrics, select
 from convgraph.operators.select import Method
 from convgraph.plans import inputs
@@ -54,7 +55,7 @@ def with_selection(body: str) -> str:
 
 def selections_and_metrics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t, e, closed, longest = conversation_graph(spark, sf_dir)
-    cos = select.similarity(t, inputs.vectors(spark, sf_dir))
+    cos = select.similarity(t, inputs.vectors(spark, sf_dir), carry=("cost",))
     sel = select.select_context(t, e, METHODS, cosine=cos, longest=longest)
     flagged = metrics.flag_evidence(t, inputs.evidence(closed))
     plan = metrics.instances(t, [(m.name, m.budget) for m in METHODS])
@@ -235,8 +236,9 @@ def c3_rolling_summary(spark, sf_dir):
 
 @query("c4_semantic_retrieval", with_views("retr", _PER_SID_SQL.format(b="CAST(budget AS BIGINT)", t="retr")))
 def c4_semantic_retrieval(spark, sf_dir):
-    t = inputs.turns(spark, sf_dir)
-    return _per_sid(select.semantic_retrieval(t, select.similarity(t, inputs.vectors(spark, sf_dir)), BUDGETS))
+    t = cut_lineage(inputs.turns(spark, sf_dir))
+    cos = select.similarity(t, inputs.vectors(spark, sf_dir), carry=("cost",))
+    return _per_sid(select.semantic_retrieval(t, cos, BUDGETS))
 
 
 @query("c5_oracle_tree", with_views("turns tree", _PER_SID_SQL.format(
@@ -256,7 +258,7 @@ def c6_oracle_dag(spark, sf_dir):
 @query("c8_matched_retrieval", with_views("mretr", _PER_SID_SQL.format(b="budget", t="mretr")))
 def c8_matched_retrieval(spark, sf_dir):
     t, _, closed, _ = conversation_graph(spark, sf_dir)
-    cos = select.similarity(t, inputs.vectors(spark, sf_dir))
+    cos = select.similarity(t, inputs.vectors(spark, sf_dir), carry=("cost",))
     return _per_sid(select.matched_retrieval(t, cos, closed))
 
 
@@ -273,7 +275,7 @@ def c9_select_context(spark, sf_dir):
   SELECT sid, count(*) AS n, round(avg(cosine), 6) AS mean_cosine, round(max(cosine), 6) AS max_cosine,
          round(min(cosine), 6) AS min_cosine FROM cosine GROUP BY sid"""))
 def c10_similarity(spark, sf_dir):
-    c = select.similarity(inputs.turns(spark, sf_dir), inputs.vectors(spark, sf_dir))
+    c = select.similarity(cut_lineage(inputs.turns(spark, sf_dir)), inputs.vectors(spark, sf_dir))
     return c.groupBy("sid").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("cosine"), "mean_cosine"), r6(F.max("cosine"), "max_cosine"),
         r6(F.min("cosine"), "min_cosine"))

@@ -186,7 +186,7 @@ def long_corpus(spark, sf_dir):
         "sid", "idx", "rev", "family", F.concat(F.lit("t"), F.col("idx").cast("string")).alias("turn_id"),
         F.concat("event_type", F.lit(" asks "), (eid % 50).cast("string")).alias("user_message"),
         F.when(F.col("rev") > 0, F.concat(F.repeat(word, (3 + eid % 9).cast("int")), F.lit("K"), F.get_json_object("props", "$.k"))).alias("assistant_message"),
-        "cost", "is_evidence", "is_distractor")
+        "cost", "vec_id", "is_evidence", "is_distractor")
     s = F.col("sid")
     names = F.array(F.lit("click"), F.lit("View"), F.concat(F.lit("k"), (s % 100).cast("string")),
                     F.concat(F.lit("Word"), (s % 10).cast("string")), F.lit("Purchase"), F.when(s % 2 == 0, F.lit("error")))
@@ -297,8 +297,7 @@ def q8_cosine_gate(spark, sf_dir):
     from convgraph.operators.select import similarity
 
     t = long_corpus(spark, sf_dir)[0]
-    raw = inputs.turns(spark, sf_dir)
-    g = longrules.cosine_gate(t, similarity(raw, inputs.vectors(spark, sf_dir)), 0.6)
+    g = longrules.cosine_gate(t, similarity(t, inputs.vectors(spark, sf_dir)), 0.6)
     return g.select("sid", r6("gold_median"), r6("distractor_median"), r6("ratio"), "pass")
 
 
@@ -311,7 +310,7 @@ def q9_sidecar(spark, sf_dir):
     from convgraph.operators.select import similarity
 
     t, reg, _, closed, _ = long_corpus(spark, sf_dir)
-    gate = longrules.cosine_gate(t, similarity(inputs.turns(spark, sf_dir), inputs.vectors(spark, sf_dir)), 0.6)
+    gate = longrules.cosine_gate(t, similarity(t, inputs.vectors(spark, sf_dir)), 0.6)
     return longrules.sidecar(t, closed, reg, gate).select(
         "sid", "family", big("n_history"), "full_history_tokens", r6("closure_ratio"), "n_registry", r6("gold_median"))
 

@@ -300,7 +300,7 @@ def c11_dry_run(spark, sf_dir):
     from convgraph.operators.spend import dry_run
 
     t, e, closed, longest = conversation_graph(spark, sf_dir)
-    cos = select.similarity(t, inputs.vectors(spark, sf_dir))
+    cos = select.similarity(t, inputs.vectors(spark, sf_dir), carry=("cost",))
     methods = [Method("full_history"), *[Method(m, b) for m in ("rolling_summary", "semantic_retrieval") for b in inputs.BUDGETS],
                Method("oracle_dag")]
     sel = select.select_context(t, e, methods, cosine=cos, longest=longest)
