@@ -147,7 +147,7 @@ def adopt_judge(judges: DataFrame, t: Thresholds = T) -> DataFrame:
     item = F.struct("usd_per_call", "judge", "kappa")
     q = judges.where("passes").agg(F.sort_array(F.collect_list(item)).alias("_q"))
     chosen = F.aggregate(
-        F.slice("_q", 2, 1000), F.get("_q", F.lit(0)),
+        F.slice("_q", F.lit(2), F.greatest(F.size("_q") - 1, F.lit(0))), F.get("_q", F.lit(0)),
         lambda cur, x: F.when((x["kappa"] - cur["kappa"] >= t.kappa_lead)
                               & (x["usd_per_call"] < t.cost_factor * cur["usd_per_call"]), x).otherwise(cur))
     return q.select(chosen.alias("_c"), F.size("_q").cast("bigint").alias("n_passers")).select(

@@ -14,8 +14,14 @@ JUDGE_HEADINGS = ("The user's question:\n", "\n\nChecklist:\n", "\n\nDistractor
 
 
 def _valid(text: Column) -> Column:
-    # text that cannot be JSON is not given to the parser
-    return F.when(text.rlike(r"^\s*[{\[]") & F.try_parse_json(text).isNotNull(), text)
+    """The text if it is exactly one JSON value.
+
+    The parser stops after the first value; inside brackets whatever follows it is
+    a fault, or a second element.  Text that cannot be JSON is not parsed at all.
+    """
+    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = v.isNotNull() & F.try_variant_get(v, "$[1]", "string").isNull()
+    return F.when(text.rlike(r"^\s*[{\[]") & one, text)
 
 
 def with_json_text(raw: DataFrame, text: str, out: str) -> DataFrame:
