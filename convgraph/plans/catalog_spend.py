@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from convgraph.operators import spend
 from convgraph.plans.catalog_facts import COUNT
 from convgraph.plans.inputs import NEEDS, VIEWS, table, with_views
-from convgraph.plans.registry import big, query, r6
+from convgraph.plans.registry import query, r6
 from convgraph.streaming import ingest, ledger as ledger_stream
 
 # ``us.view`` has a price under its twin id only; ``error`` has none.

@@ -10,7 +10,7 @@ from convgraph.plans import inputs
 from convgraph.plans.catalog_facts import COUNT, item_scores
 from convgraph.plans.fact_inputs import ARMS, MODELS, answers, facts_table, verdicts
 from convgraph.plans.inputs import conversation_graph, table, with_views
-from convgraph.plans.registry import big, query, r6
+from convgraph.plans.registry import query, r6
 
 LABELS = list(ARMS.values())
 
