@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convgraph.llm import mixing, packing, simhash, urlfilter
+from convgraph.llm import labels, mixing, packing, quality, simhash, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0)
+
+
+def scored(df: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return df.select("doc_id", labels.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = labels.training_labels(table(spark, sf_dir, "labels"), "quality")
+    return scored(quality.score_documents(table(spark, sf_dir, "documents"), known), 0.5)
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = labels.training_labels(table(spark, sf_dir, "labels"), "toxic")
+    return scored(toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), known), 0.7)
