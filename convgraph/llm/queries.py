@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convgraph.llm import labels, mixing, packing, quality, simhash, toxicity, urlfilter
+from convgraph.llm import covertree, labels, mixing, packing, quality, simhash, sketch, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = labels.training_labels(table(spark, sf_dir, "labels"), "toxic")
     return scored(toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), known), 0.7)
+
+
+@query("op7_cover_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@query("op8_sketch")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sketch.fingerprints(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.as_string(F.col("sketch")).alias("fingerprint"),
+                    sketch.as_string(F.col("edited_sketch")).alias("edited_fingerprint"), sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+                    sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
