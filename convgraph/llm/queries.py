@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convgraph.llm import covertree, labels, mixing, packing, quality, simhash, sketch, toxicity, urlfilter
+from convgraph.llm import covertree, hpylm, labels, mixing, packing, quality, simhash, sketch, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.as_string(F.col("sketch")).alias("fingerprint"),
                     sketch.as_string(F.col("edited_sketch")).alias("edited_fingerprint"), sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
                     sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
+@query("op4_hpylm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(table(spark, sf_dir, "documents"))
