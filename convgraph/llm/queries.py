@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convgraph.llm import covertree, hpylm, labels, mixing, packing, quality, simhash, sketch, toxicity, urlfilter
+from convgraph.llm import covertree, hpylm, labels, mixing, packing, quality, secretscan, simhash, sketch, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_hpylm")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secretscan.scan(docs, secretscan.train(docs)).select("doc_id", F.posexplode("findings").alias("finding", "f"))
+    return found.select("doc_id", "finding", "f.start", "f.length", F.sha2("f.found", 256).alias("found_sha256"), "f.score", "f.secret")
