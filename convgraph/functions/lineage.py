@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only where neither is set, as in tests, a local one is used.
+    Where neither is set, a local one is used if driver and executors are one process, as in tests; on a cluster, where
+    machines do not share local folders, it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = current.get() if current.isDefined() else "/tmp/convgraph-checkpoints"
     return named.rstrip("/")
 

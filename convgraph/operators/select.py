@@ -12,13 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convgraph.functions.splitwin import salted_join
+from convgraph.functions.splitwin import salted_join, split_cumsum
 from convgraph.functions.vectors import dot, unit
 from convgraph.operators import graph
 
 BUDGETED = ("sliding_window", "rolling_summary", "semantic_retrieval")
-# A rendered turn holds at least its two speaker labels with their colons.
-MIN_TURN_COST = 4
 
 
 @dataclass(frozen=True)
@@ -49,13 +47,10 @@ def _with_budgets(df: DataFrame, budgets: Sequence[int]) -> DataFrame:
 def sliding_window(turns: DataFrame, budgets: Sequence[int], method: str = "sliding_window") -> DataFrame:
     """Newest whole turns while their running cost fits; ends at the first overflow.
 
-    Costs are positive, so "fits so far" is a running sum, and no more than
-    budget / MIN_TURN_COST turns can fit: the window sees only those.
+    Costs are not negative, so "fits so far" is a running sum; long conversations are summed in splits.
     """
-    reach = max(budgets) // MIN_TURN_COST + 1
-    recent = turns.where((F.col("rev") > 0) & (F.col("rev") <= reach))
-    w = Window.partitionBy("sid").orderBy("rev").rowsBetween(Window.unboundedPreceding, 0)
-    run = recent.withColumn("_run", F.sum("cost").over(w)).where(F.col("_run") <= max(budgets))
+    past = turns.where("rev > 0").select("sid", "idx", "cost", "rev")
+    run = split_cumsum(past, ["sid"], F.floor(F.col("rev") / 4096), [F.col("rev")], F.col("cost"), "_run").where(F.col("_run") <= max(budgets))
     return _tag(_with_budgets(run, budgets).where("_run <= budget"), method, F.col("budget"))
 
 
@@ -113,10 +108,14 @@ def greedy_fill(scored: DataFrame, budgets: Sequence[int] | None = None) -> Data
     (once one is skipped, all later ones of its cost are), so the array per (sid,
     budget) is bounded by the budget, not by the conversation.
     """
+    # turns without a cost always fit and take nothing from the budget
+    free = scored.where("cost <= 0")
+    free = (free if budgets is None else _with_budgets(free, budgets)).where("budget >= 0").select(
+        "sid", F.col("budget").cast("bigint").alias("budget"), F.col("idx").cast("bigint").alias("idx"), F.col("cost").cast("bigint").alias("cost"))
     w = Window.partitionBy("sid", "cost").orderBy(F.desc("cosine"), "idx")
-    ranked = scored.withColumn("_rk", F.row_number().over(w))
-    if budgets is not None:
-        ranked = _with_budgets(ranked.where(F.col("_rk") <= int(max(budgets) // MIN_TURN_COST)), budgets)
+    ranked = scored.where("cost > 0").withColumn("_rk", F.row_number().over(w))
+    if budgets is not None:  # whole costs: of cost 1 or more, no more turns than the budget can be taken
+        ranked = _with_budgets(ranked.where(F.col("_rk") <= int(max(budgets))), budgets)
     ranked = ranked.where(F.col("_rk") <= F.floor(F.col("budget") / F.col("cost")))
     queue = ranked.groupBy("sid", "budget").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("o"), "idx", "cost"))).alias("_q"))
@@ -129,7 +128,8 @@ def greedy_fill(scored: DataFrame, budgets: Sequence[int] | None = None) -> Data
         return F.when(fits, F.struct((acc["used"] + x["cost"]).cast("bigint").alias("used"),
                                      F.array_append(acc["taken"], item).alias("taken"))).otherwise(acc)
 
-    return queue.select("sid", "budget", F.inline(F.aggregate("_q", start, step)["taken"]))
+    taken = queue.select("sid", "budget", F.inline(F.aggregate("_q", start, step)["taken"]))
+    return taken.withColumn("budget", F.col("budget").cast("bigint")).unionByName(free)
 
 
 def semantic_retrieval(turns: DataFrame, cosine: DataFrame, budgets: Sequence[int]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def holm(df: DataFrame, by: Sequence[str], p: str, expect: int | None = None, alpha: float = 0.05) -> DataFrame:
@@ -120,17 +121,22 @@ def simple_sample(ids: DataFrame, col: str, n: int, seed: int) -> DataFrame:
 def quotas(eligible: DataFrame, total: int, stratum: str = "family", unit: str = "scenario_id", floor: int = 2) -> DataFrame:
     """Sample sizes proportional to the units of each stratum, at least ``floor``, summing to ``total``.
 
-    Rounding is settled by largest remainders; there are a few strata.
+    What rounding leaves goes round by largest remainders; what the floor adds is taken back from the largest quotas,
+    which keep the floor as long as ``total`` allows it.  There is one small row per stratum, settled on the driver.
     """
     n = eligible.groupBy(stratum).agg(F.count_distinct(unit).alias("_n"))
-    one = Window.partitionBy(F.lit(1))
-    raw = n.withColumn("_x", total * F.col("_n") / F.sum("_n").over(one)).withColumn(
-        "_q", F.greatest(F.lit(floor), F.floor("_x")))
-    left = raw.withColumn("_left", F.lit(total) - F.sum("_q").over(one)).withColumn(
-        "_up", F.row_number().over(one.orderBy(F.desc(F.col("_x") - F.floor("_x")), stratum))).withColumn(
-        "_down", F.row_number().over(one.orderBy(F.desc("_q"), stratum)))
-    step = F.when(F.col("_up") <= F.col("_left"), 1).when(F.col("_down") <= -F.col("_left"), -1).otherwise(0)
-    return left.select(stratum, (F.col("_q") + step).cast("bigint").alias("quota"))
+    rows = sorted(n.collect(), key=lambda r: (r[0] is None, r[0]))
+    units = sum(r[1] for r in rows)
+    exact = [total * r[1] / units for r in rows]
+    quota = [max(floor, int(x)) for x in exact]
+    by_rest = sorted(range(len(rows)), key=lambda i: int(exact[i]) - exact[i])
+    for k in range(max(0, total - sum(quota))):
+        quota[by_rest[k % len(rows)]] += 1
+    while sum(quota) > total:
+        above = [i for i in range(len(rows)) if quota[i] > floor] or range(len(rows))
+        quota[max(above, key=lambda i: (quota[i], -i))] -= 1
+    schema = T.StructType([T.StructField(stratum, n.schema[stratum].dataType), T.StructField("quota", T.LongType())])
+    return eligible.sparkSession.createDataFrame([(r[0], q) for r, q in zip(rows, quota)], schema)
 
 
 def quota_sample(

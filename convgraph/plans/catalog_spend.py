@@ -70,7 +70,7 @@ def l2_spend_by_purpose(spark, sf_dir):
 STATUS_SQL = """SELECT {k} round(sum(usd), 6) AS usd, count(*) AS calls,
     (min(struct_pack(ts := ts, ref := ref)) FILTER (WHERE spent >= 25)).ref AS warn_ref,
     (min(struct_pack(ts := ts, ref := ref)) FILTER (WHERE spent >= 60)).ref AS stop_ref,
-    CASE WHEN sum(usd) >= 60 THEN 'stop' WHEN sum(usd) >= 25 THEN 'warn' ELSE 'ok' END AS status
+    CASE WHEN sum(sum(usd)) OVER (PARTITION BY scope) >= 60 THEN 'stop' WHEN sum(sum(usd)) OVER (PARTITION BY scope) >= 25 THEN 'warn' ELSE 'ok' END AS status
   FROM (SELECT *, sum(usd) OVER ({p} ORDER BY ts, ref) AS spent FROM ledger) r {g}"""
 
 
@@ -127,7 +127,7 @@ def t1_stream_dedupe(spark, sf_dir):
 
 
 @query("t2_stream_spend", with_views("ledger", f"""
-  SELECT scope, model, coalesce(purpose, '?') AS purpose, {SUMS_SQL}, CASE WHEN sum(usd) >= 60 THEN 'stop' WHEN sum(usd) >= 25 THEN 'warn' ELSE 'ok' END AS status
+  SELECT scope, model, coalesce(purpose, '?') AS purpose, {SUMS_SQL}, CASE WHEN sum(sum(usd)) OVER (PARTITION BY scope) >= 60 THEN 'stop' WHEN sum(sum(usd)) OVER (PARTITION BY scope) >= 25 THEN 'warn' ELSE 'ok' END AS status
   FROM ledger GROUP BY 1, 2, 3"""))
 def t2_stream_spend(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema

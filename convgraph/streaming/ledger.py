@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convgraph.operators.spend import price_calls
@@ -20,7 +20,9 @@ def spend_stream(calls: DataFrame, prices: Mapping[str, tuple[float, float]]) ->
 
 
 def with_status(totals: DataFrame, warn: float, limit: float) -> DataFrame:
-    return totals.withColumn("status", F.when(F.col("usd") >= limit, "stop").when(F.col("usd") >= warn, "warn").otherwise("ok"))
+    """Limits hold for all that a scope has spent, so each of its rows has the status of the scope's total."""
+    spent = F.sum("usd").over(Window.partitionBy("scope"))
+    return totals.withColumn("status", F.when(spent >= limit, "stop").when(spent >= warn, "warn").otherwise("ok"))
 
 
 def run_spend(calls: DataFrame, prices: Mapping[str, tuple[float, float]], warn: float, limit: float,

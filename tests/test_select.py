@@ -94,3 +94,12 @@ def test_candidate_oracle_falls_back_to_the_whole_history(spark):
     assert got == {(1, 2): {0, 1, 2, 3}, (1, 3): {0, 2}, (2, 2): {3}, (2, 3): {3}}
     assert {(r.sid, r.k): (r.recall_fallback, r.n_missing) for r in flags.collect()} == {
         (1, 2): (1, 1), (1, 3): (0, 0), (2, 2): (0, 0), (2, 3): (0, 0)}
+
+
+def test_turns_of_cost_zero_and_one(spark):
+    turns = spark.createDataFrame([(1, i, 600 - i, 0 if i % 3 == 0 else 1) for i in range(601)], "sid long, idx long, rev long, cost long")
+    got = select.sliding_window(turns, [100]).collect()
+    assert sum(r.cost for r in got) == 100 and len(got) >= 149
+    cosine = turns.where("rev > 0").selectExpr("sid", "idx", "cost", "idx / 1000.0 AS cosine")
+    picked = select.semantic_retrieval(turns, cosine.selectExpr("sid", "idx", "cost", "CAST(cosine AS DOUBLE) cosine"), [100]).collect()
+    assert sum(r.cost for r in picked) == 100 and sum(r.cost == 0 for r in picked) == 200

@@ -134,3 +134,14 @@ def test_gates(spark):
                               "judge string, kappa double, usd_per_call double, passes boolean")
     assert gates.adopt_judge(j).first().adopted == "b"
     assert gates.cheapest_passer(j).first().adopted == "a"
+
+
+def test_quotas_add_up(spark):
+    def of(sizes, total):
+        rows = [(f"f{i:02d}", f"{i}-{k}") for i, n in enumerate(sizes) for k in range(n)]
+        return {r.family: r.quota for r in stats.quotas(spark.createDataFrame(rows, "family string, scenario_id string"), total).collect()}
+
+    many = of([3] * 50, 20)
+    assert sum(many.values()) == 20
+    few = of([900, 2, 2, 2, 2], 20)
+    assert sum(few.values()) == 20 and min(few.values()) == 2 and few["f00"] == 12
