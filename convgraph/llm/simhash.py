@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convgraph.functions.lineage import cut_lineage
@@ -116,6 +116,7 @@ def hex_print(fp: Column) -> Column:
 # --- similar texts ---------------------------------------------------------------------------------------------------
 
 PARTS, PART_SIZE = 12, 4  # random parts of the shingle set per scale, and their expected number of shingles
+LEADING = (4, 8, 16, 32)  # leading fingerprint bits that neighbours in a bucket share
 
 
 def part_prints(shingles: np.ndarray, parts: int = PARTS, part_size: int = PART_SIZE) -> list[int]:
@@ -170,8 +171,9 @@ def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle:
 
     ``rid`` must be unique.  Texts are first reduced to one per equal shingle sequence (64-bit fingerprint of the whole
     sequence); candidates come from the covering tables and from shared part keys.  In a bucket each member is compared
-    with the bucket's first member and with its neighbour in the order of whole fingerprints, so a bucket of n members
-    makes fewer than 2n comparisons; other pairs of the bucket are reached through the members' other buckets.
+    with the bucket's first member and, for each number of leading bits in LEADING, with the first member whose whole
+    fingerprint begins alike, so a bucket of n members makes fewer than 5n comparisons; other pairs of the bucket are
+    reached through the members' other buckets.
     """
     d = docs.select(F.col(rid).alias("rid"), F.col(text).alias("text"), F.xxhash64(F.lower(F.regexp_replace(F.trim(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", " "))).alias("same"))
     exact = cut_lineage(d.select("rid", "same"))
@@ -181,11 +183,13 @@ def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle:
     near = feats.select("rid", "fp").join(whole, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit("whole")).alias("key"), "rid", "fp")
     parts = feats.select(F.explode("keys").alias("key"), "rid", "fp")
     rows = near.unionByName(parts)
-    busy = rows.groupBy("key").agg(F.min("rid").alias("first"), F.max("rid").alias("last")).where("first < last").select("key", "first")
+    busy = rows.groupBy("key").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("key", "first", "n")
     rows = cut_lineage(rows.join(busy, "key"))
-    # neighbours in fingerprint order: a hot bucket is cut by leading fingerprint bits, each cut being its own neighbourhood
-    split = Window.partitionBy("key", F.shiftright("fp", 58)).orderBy("fp", "rid")
-    beside = rows.select(F.col("rid").alias("b"), F.lag("rid").over(split).alias("a"))
+    # smaller neighbourhoods inside a bucket, by leading fingerprint bits: aggregates and joins, so a hot one is no task's own
+    deep = rows.where("n > 2").withColumn("_bits", F.explode(F.array(*[F.lit(b) for b in LEADING])))
+    deep = deep.select("key", "_bits", F.call_function("shiftright", F.col("fp"), F.lit(BITS) - F.col("_bits")).alias("lead"), "rid")
+    heads_in = deep.groupBy("key", "_bits", "lead").agg(F.min("rid").alias("a"))
+    beside = deep.join(heads_in, ["key", "_bits", "lead"]).select(F.col("rid").alias("b"), "a")
     pairs = rows.select(F.col("rid").alias("b"), F.col("first").alias("a")).unionByName(beside)
     pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
