@@ -17,4 +17,5 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector scaled to length one, as doubles."""
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    # the norm is made once per vector, as the only element of an array that the scaling is applied to
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / n)), 1)
