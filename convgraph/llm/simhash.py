@@ -25,6 +25,7 @@ member; null ids keep their class and never name it; empty tables stay empty; ex
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
@@ -169,13 +170,14 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """Rows (rid, root): classes of texts chained by a resemblance of ``similarity`` or more on ``shingle``-word shingles.
 
-    ``rid`` must be unique.  Texts are first reduced to one per equal shingle sequence (64-bit fingerprint of the whole
-    sequence); candidates come from the covering tables and from shared part keys.  In a bucket each member is compared
+    ``rid`` must be unique.  Texts are first reduced to one per equal word sequence (128-bit digest of the whole
+    sequence, the smallest ``rid`` stands for it); candidates come from the covering tables and from shared part keys.  In a bucket each member is compared
     with the bucket's first member and, for each number of leading bits in LEADING, with the first member whose whole
     fingerprint begins alike, so a bucket of n members makes fewer than 5n comparisons; other pairs of the bucket are
     reached through the members' other buckets.
     """
-    d = docs.select(F.col(rid).alias("rid"), F.col(text).alias("text"), F.xxhash64(F.lower(F.regexp_replace(F.trim(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+", " "))).alias("same"))
+    words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
+    d = docs.select(F.col(rid).alias("rid"), F.col(text).alias("text"), F.unhex(F.md5(words)).alias("same"))
     exact = cut_lineage(d.select("rid", "same"))
     heads = cut_lineage(exact.groupBy("same").agg(F.min("rid").alias("rid")))
     feats = cut_lineage(_features(d, shingle, radius).join(heads.select("rid"), "rid", "left_semi"))
@@ -197,6 +199,7 @@ def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle:
     left, right = grams.select(F.col("rid").alias("a"), F.col("grams").alias("x")), grams.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     alike = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
-    links = alike.unionByName(exact.join(heads.withColumnRenamed("rid", "a"), "same").select("a", F.col("rid").alias("b")).where("a <> b"))
-    comp = components(links)
-    return exact.select("rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"))
+    # copies follow their head and take no part in the search for components, where a large group would be a hot node
+    comp = components(alike)
+    named = heads.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("same", F.coalesce("root", "rid").alias("root"))
+    return exact.join(named, "same").select("rid", "root")
