@@ -45,8 +45,9 @@ def draws(groups: DataFrame, n_boot: int, partitions: int | None = None) -> Data
     parts = partitions or max(8, groups.sparkSession.sparkContext.defaultParallelism)
     rows = groups.select("_g", "_n", "_seed", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))).alias("_b"))
-    rows = rows.repartition(parts).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / DRAW_CHUNK))))
+    # dealt by chunk, so that the draws of one resample of a large group are spread as well
+    rows = rows.withColumn(
+        "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / DRAW_CHUNK)))).repartition(parts)
     rows = rows.withColumn("_j", F.explode(F.sequence(
         F.col("_c") * DRAW_CHUNK, F.least((F.col("_c") + 1) * DRAW_CHUNK, F.col("_n")) - 1)))
     rows = rows.withColumn("_u", (F.col("_b") * 48271 + F.col("_seed")) % m)

@@ -127,11 +127,12 @@ def judge_costs(verdicts: DataFrame) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set(F.coalesce("judge_route", F.lit("")))), ";").alias("routes"))
 
 
-def family_matrix(comparisons: DataFrame, baselines: Sequence[str], noise: float) -> DataFrame:
-    """family x baseline text cells ``diff [low, high]``, starred outside the noise floor."""
+def family_matrix(comparisons: DataFrame, baselines: Sequence[str], noise: float, by: Sequence[str] = ()) -> DataFrame:
+    """family x baseline text cells ``diff [low, high]``, starred outside the noise floor; one such table per ``by``."""
     star = F.when(F.abs("q_diff") > noise, F.lit("*")).otherwise(F.lit(""))
-    cell = F.concat(F.format_string("%.3f [%.3f, %.3f]", "q_diff", "q_ci_low", "q_ci_high"), star)
-    return comparisons.withColumn("_c", cell).groupBy("family").pivot("b", list(baselines)).agg(F.first("_c"))
+    shown = [F.round(F.round(c, 9), 3) + F.lit(0.0) for c in ("q_diff", "q_ci_low", "q_ci_high")]
+    cell = F.concat(F.format_string("%.3f [%.3f, %.3f]", *shown), star)
+    return comparisons.withColumn("_c", cell).groupBy(*by, "family").pivot("b", list(baselines)).agg(F.first("_c"))
 
 
 def percent_ci(mean: Column, low: Column, high: Column) -> Column:

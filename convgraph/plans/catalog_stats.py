@@ -13,7 +13,8 @@ from convgraph.plans.registry import big, query, r6, r96
 
 SEED = 20
 MARGIN = -0.03
-N_BOOT = 500
+# fixed values: resamples of comparisons, of variance parts, of families and of contrasts
+N_BOOT, N_BOOT_PARTS, N_BOOT_FAMILY, N_BOOT_CONTRAST = 10_000, 5_000, 2_000, 2_000
 CONTRASTS = {"dag_minus_full": ("oracle_dag", "full_history"), "dag_minus_tree": ("oracle_dag", "oracle_tree"),
              "dag_minus_semantic": ("oracle_dag", "semantic_retrieval@1024"),
              "dag_minus_candidate": ("oracle_dag", "candidate_oracle@15")}
@@ -174,11 +175,11 @@ def r7_pooled_guard(spark, sf_dir):
     return stats.pooled_guard(point, resample.pooled_models(f, COMPARISONS))
 
 
-@query("r8_per_family", with_views("facts", "," + compare_sql("none", 200, "family") + """
+@query("r8_per_family", with_views("facts", "," + compare_sql("none", N_BOOT_FAMILY, "family") + """
   SELECT model, family, a, b, n, round(round(q_diff, 9), 6) AS q_diff, round(round(q_lo, 9), 6) AS q_ci_low, round(round(q_hi, 9), 6) AS q_ci_high,
          abs(q_diff) <= 0.075 AS within_noise_floor FROM cmpres"""))
 def r8_per_family(spark, sf_dir):
-    c = _comparisons(spark, sf_dir, "none", 200, ("family",))
+    c = _comparisons(spark, sf_dir, "none", N_BOOT_FAMILY, ("family",))
     return c.select("model", "family", "a", "b", "n", *[r96(x) for x in _Q[:3]],
                     (F.abs("q_diff") <= 0.075).alias("within_noise_floor"))
 
@@ -207,15 +208,19 @@ def a24_judges_agree(spark, sf_dir):
     return j.agg(COUNT(), F.count_if((F.col("x") >= MARGIN) == (F.col("y") >= MARGIN)).alias("n_agree"))
 
 
-@query("a29_family_matrix", with_views("facts", "," + compare_sql("none", 200, "family") + """
-  , cell AS (SELECT family, b, printf('%.3f [%.3f, %.3f]', q_diff, q_lo, q_hi) || CASE WHEN abs(q_diff) > 0.075 THEN '*' ELSE '' END AS c
-             FROM cmpres WHERE model = 'F' AND a = 'oracle_dag')
-  SELECT family, max(c) FILTER (WHERE b = 'full_history') AS full_history, max(c) FILTER (WHERE b = 'oracle_tree') AS oracle_tree
-  FROM cell GROUP BY family"""))
+R93 = "round(round({}, 9), 3) + 0.0"  # both engines print the same three decimals
+
+
+@query("a29_family_matrix", with_views("facts", "," + compare_sql("none", N_BOOT_FAMILY, "family") + f"""
+  , cell AS (SELECT model, family, b, printf('%.3f [%.3f, %.3f]', {R93.format('q_diff')}, {R93.format('q_lo')}, {R93.format('q_hi')}) || CASE WHEN abs(q_diff) > 0.075 THEN '*' ELSE '' END AS c
+             FROM cmpres WHERE a = 'oracle_dag')
+  SELECT model, family, max(c) FILTER (WHERE b = 'full_history') AS full_history, max(c) FILTER (WHERE b = 'oracle_tree') AS oracle_tree,
+         max(c) FILTER (WHERE b = 'semantic_retrieval@1024') AS "semantic_retrieval@1024"
+  FROM cell GROUP BY model, family"""))
 def a29_family_matrix(spark, sf_dir):
-    f = facts_table(spark, sf_dir).where("model_key = 'F'")
-    c = _comparisons(spark, sf_dir, "none", 200, ("family",), [("oracle_dag", "full_history"), ("oracle_dag", "oracle_tree")], f)
-    return tables.family_matrix(c, ["full_history", "oracle_tree"], 0.075)
+    pairs = [(a, b) for a, b in COMPARISONS if a == "oracle_dag"]
+    c = _comparisons(spark, sf_dir, "none", N_BOOT_FAMILY, ("family",), pairs)
+    return tables.family_matrix(c, [b for _, b in pairs], 0.075, by=("model",))
 
 
 @query("r9_retention", with_views("facts", """,
@@ -241,7 +246,7 @@ IDENT_SQL = """
     FROM facts a JOIN facts b ON b.scenario_id = a.scenario_id AND b.model_key = a.model_key AND b.prompt = a.prompt
     WHERE a.method_label = 'candidate_oracle@15' AND b.method_label = 'oracle_dag' AND a.copied_from IS NULL
       AND a.checklist_score IS NOT NULL AND b.checklist_score IS NOT NULL),
-  """ + boot_sql("idp", "model", "scenario_id", "var_samp(n.diff) / 2 AS vd, var_samp(n.score) AS vt")
+  """ + boot_sql("idp", "model", "scenario_id", "var_samp(n.diff) / 2 AS vd, var_samp(n.score) AS vt", N_BOOT_PARTS)
 
 
 def _identical_pairs(spark, sf_dir):
@@ -265,7 +270,7 @@ def _identical_pairs(spark, sf_dir):
     round(any_value(rh), 6) AS share_high, count(*) FILTER (WHERE diff = 0) AS identical_score_pairs
   FROM idp JOIN ci USING (model) GROUP BY model"""))
 def r10_variance_parts(spark, sf_dir):
-    v = resample.variance_parts(_identical_pairs(spark, sf_dir), ["model"], "scenario_id", N_BOOT, SEED)
+    v = resample.variance_parts(_identical_pairs(spark, sf_dir), ["model"], "scenario_id", N_BOOT_PARTS, SEED)
     return v.select("model", "n_pairs", *[r6(c) for c in v.columns[2:-1]], "identical_score_pairs")
 
 
@@ -386,7 +391,7 @@ def r18_contrast_errors(spark, sf_dir):
   vals AS (SELECT judge, key, method_label, cand_score - ref_score AS e FROM iscore),""" + boot_sql(
     "vals", "judge", "key", """avg(n.e) FILTER (WHERE n.method_label = 'oracle_dag') AS dag, avg(n.e) FILTER (WHERE n.method_label = 'full_history') AS f,
     avg(n.e) FILTER (WHERE n.method_label = 'oracle_tree') AS t, avg(n.e) FILTER (WHERE n.method_label = 'semantic_retrieval@1024') AS s,
-    avg(n.e) FILTER (WHERE n.method_label = 'candidate_oracle@15') AS k""", 100) + """,
+    avg(n.e) FILTER (WHERE n.method_label = 'candidate_oracle@15') AS k""", N_BOOT_CONTRAST) + """,
   per AS (SELECT judge, contrast, dag - CASE contrast WHEN 'dag_minus_full' THEN f WHEN 'dag_minus_tree' THEN t
             WHEN 'dag_minus_semantic' THEN s ELSE k END AS e FROM bs CROSS JOIN con
           WHERE dag IS NOT NULL AND f IS NOT NULL AND t IS NOT NULL AND s IS NOT NULL AND k IS NOT NULL)
@@ -394,7 +399,7 @@ def r18_contrast_errors(spark, sf_dir):
          round(quantile_cont(e, 0.975), 6) AS err_high, quantile_cont(e, 0.025) > 0 OR quantile_cont(e, 0.975) < 0 AS excludes_zero
   FROM per GROUP BY 1, 2"""))
 def r19_contrast_bootstrap(spark, sf_dir):
-    c = resample.contrast_errors(item_scores(spark, sf_dir), CONTRASTS, 100, SEED)
+    c = resample.contrast_errors(item_scores(spark, sf_dir), CONTRASTS, N_BOOT_CONTRAST, SEED)
     return c.select("judge", "contrast", "n_resamples", r6("se"), r6("err_low"), r6("err_high"), "excludes_zero")
 
 
