@@ -117,7 +117,7 @@ def hex_print(fp: Column) -> Column:
 # --- similar texts ---------------------------------------------------------------------------------------------------
 
 PARTS, PART_SIZE = 12, 4  # random parts of the shingle set per scale, and their expected number of shingles
-LEADING = (4, 8, 16, 32)  # leading fingerprint bits that neighbours in a bucket share
+RUNS = tuple((at, n) for at in (0, 32) for n in (4, 8, 16, 32))  # start and number of fingerprint bits that neighbours in a bucket share
 
 
 def part_prints(shingles: np.ndarray, parts: int = PARTS, part_size: int = PART_SIZE) -> list[int]:
@@ -172,9 +172,9 @@ def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle:
 
     ``rid`` must be unique.  Texts are first reduced to one per equal word sequence (128-bit digest of the whole
     sequence, the smallest ``rid`` stands for it); candidates come from the covering tables and from shared part keys.  In a bucket each member is compared
-    with the bucket's first member and, for each number of leading bits in LEADING, with the first member whose whole
-    fingerprint begins alike, so a bucket of n members makes fewer than 5n comparisons; other pairs of the bucket are
-    reached through the members' other buckets.
+    with the bucket's first member and, for each run of bits in RUNS, with the first member whose whole fingerprint has
+    the same bits there, so a bucket of n members makes fewer than 9n comparisons; other pairs of the bucket are reached
+    through the members' other buckets.
     """
     words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
     d = docs.select(F.col(rid).alias("rid"), F.col(text).alias("text"), F.unhex(F.md5(words)).alias("same"))
@@ -187,11 +187,11 @@ def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle:
     rows = near.unionByName(parts)
     busy = rows.groupBy("key").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("key", "first", "n")
     rows = cut_lineage(rows.join(busy, "key"))
-    # smaller neighbourhoods inside a bucket, by leading fingerprint bits: aggregates and joins, so a hot one is no task's own
-    deep = rows.where("n > 2").withColumn("_bits", F.explode(F.array(*[F.lit(b) for b in LEADING])))
-    deep = deep.select("key", "_bits", F.call_function("shiftright", F.col("fp"), F.lit(BITS) - F.col("_bits")).alias("lead"), "rid")
-    heads_in = deep.groupBy("key", "_bits", "lead").agg(F.min("rid").alias("a"))
-    beside = deep.join(heads_in, ["key", "_bits", "lead"]).select(F.col("rid").alias("b"), "a")
+    # smaller neighbourhoods inside a bucket, by runs of fingerprint bits: aggregates and joins, so a hot one is no task's own
+    deep = rows.where("n > 2").withColumn("_bits", F.explode(F.array(*[F.struct(F.lit(i).alias("run"), F.lit(at).alias("at"), F.lit(n).alias("n")) for i, (at, n) in enumerate(RUNS)])))
+    deep = deep.select("key", "_bits.run", F.call_function("shiftright", F.call_function("shiftleft", F.col("fp"), F.col("_bits.at")), F.lit(BITS) - F.col("_bits.n")).alias("bits"), "rid")
+    heads_in = deep.groupBy("key", "run", "bits").agg(F.min("rid").alias("a"))
+    beside = deep.join(heads_in, ["key", "run", "bits"]).select(F.col("rid").alias("b"), "a")
     pairs = rows.select(F.col("rid").alias("b"), F.col("first").alias("a")).unionByName(beside)
     pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
