@@ -13,9 +13,8 @@ neighbours} meet.  So each candidate fingerprint is written once under itself an
 shared buckets mask out, and equal keys are links.  A key has at most 65 fingerprints whatever the size of a bucket.
 
 Similar texts.  Five-word shingles at a resemblance of 0.8 move a 64-bit fingerprint by about ten bits, far beyond a
-radius that covering tables can afford (radius 14: 32,767 tables).  ``similar_documents`` therefore also takes SimHashes
-of small random parts of the shingle set, of which near copies share several unchanged, and verifies candidates by the
-exact resemblance of their whole shingle sets.
+radius that covering tables can afford (radius 14: 32,767 tables).  ``similar_documents`` therefore takes candidates
+from an exact rule on the shingle sets themselves (prefixes in the order of rarity) and verifies them by resemblance.
 
 Defined cases: null text counts as empty; no words give fingerprint zero, linked like any other; fewer words than a
 shingle give one shingle of all words; equal texts always share a class; repeated ids are rows of their own class
@@ -116,47 +115,10 @@ def hex_print(fp: Column) -> Column:
 
 # --- similar texts ---------------------------------------------------------------------------------------------------
 
-PARTS, PART_SIZE = 12, 4  # random parts of the shingle set per scale, and their expected number of shingles
-RUNS = tuple((at, n) for at in (0, 32) for n in (4, 8, 16, 32))  # start and number of fingerprint bits that neighbours in a bucket share
-
-
-def part_prints(shingles: np.ndarray, parts: int = PARTS, part_size: int = PART_SIZE) -> list[int]:
-    """Keys of SimHashes of random parts of a set of distinct shingles.
-
-    At scale s a part holds the shingles whose rehash falls into a 2^-s share of all values.  A set uses the scale at
-    which parts have about ``part_size`` shingles and the next one, so two sets of similar size share a scale.  At scale
-    0 a part is the whole set.
-    """
-    if not len(shingles):
-        return [0]
-    scale = max(0, int(np.floor(np.log2(len(shingles) / part_size))))
-    odd = np.array([xxhash.xxh64_intdigest(b"part %d" % g, SEED) | 1 for g in range(parts)], dtype=np.uint64)
-    rehash = shingles[None, :] * odd[:, None]
-    bits = np.unpackbits(np.ascontiguousarray(shingles.astype(">u8")).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-    keys = set()
-    for s in (scale, scale + 1):
-        chosen = (rehash >> np.uint64(64 - s)) == 0 if s else np.ones((1, len(shingles)), dtype=bool)
-        size = chosen.sum(axis=1)
-        votes = 2 * (chosen.astype(np.float32) @ bits) > size[:, None]
-        packed = np.packbits(votes, axis=1).view(">u8").ravel()
-        for g in np.flatnonzero(size):
-            keys.add(signed(xxhash.xxh64_intdigest(b"%d %d %d %d" % (s, g, size[g], packed[g]), SEED)))
-    return sorted(keys)
-
-
-def _features(docs: DataFrame, k: int, radius: int) -> DataFrame:
-    """(rid, doc_id, fp, keys): whole fingerprint and part keys of each text."""
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps, keys = [], []
-            for t in pdf["text"]:
-                h = shingle_hashes(t, k)
-                fps.append(signed(majority(h)))
-                keys.append(part_prints(np.unique(h)))
-            yield pd.DataFrame({"rid": pdf["rid"], "fp": fps, "keys": keys})
-
-    return docs.select("rid", "text").mapInPandas(make, "rid bigint, fp bigint, keys array<bigint>")
+PIVOTS = 4  # members of a posting that its others are compared with before the exact search
+HASHES_PER_RANGE = 1 << 16  # shingle hashes that are counted together, about
+SALTS = 8  # parts of a posting that the exact search joins in different tasks
+SLACK = 1e-9  # against rounding: bounds may let a pair through, the resemblance itself decides
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -167,38 +129,99 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("rid", "text").mapInPandas(make, "rid bigint, grams array<bigint>")
 
 
-def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+def _shared_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """(rid, g, df): shingles that more than one text has, with the number of texts; one row (rid, 0, -n) has the size of each set.
+
+    Hashes are counted by ranges, so a frequent one is a few rows of an even range.
+    """
+    ranges = max(1, min(1 << 31, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // (6 * HASHES_PER_RANGE)))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for start in range(0, len(whole), 1000):
+                pdf = whole.iloc[start:start + 1000]
+                sets = [np.unique(shingle_hashes(t, k)) for t in pdf["text"]]
+                rid, n = pdf["rid"].to_numpy(dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
+                g, r = np.concatenate(sets), np.repeat(rid, n)
+                at = (((g >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                used, first = np.unique(at[order], return_index=True)
+                out = {"at": [-1 - int(rid[0]) % ranges, *used], "rs": [rid, *np.split(r[order], first[1:])], "gs": [n, *np.split(g[order].astype(np.int64), first[1:])]}
+                yield pd.DataFrame({c: x[:len(used) + 1] for c, x in out.items()})
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, r = np.concatenate(pdf["gs"].to_list()), np.concatenate(pdf["rs"].to_list())
+        if pdf["at"].iloc[0] < 0:
+            return pd.DataFrame({"rid": r, "g": 0, "df": -g})
+        _, back, n = np.unique(g, return_inverse=True, return_counts=True)
+        df = n[back]
+        return pd.DataFrame({"rid": r[df > 1], "g": g[df > 1], "df": df[df > 1]})
+
+    dealt = docs.select("rid", "text").mapInPandas(deal, "at bigint, rs array<bigint>, gs array<bigint>")
+    return dealt.groupBy("at").applyInPandas(count, "rid bigint, g bigint, df bigint")
+
+
+def _postings(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(g, rid, n, pos): the shared shingles of each set's prefix, in the order of rarity and then of the hash.
+
+    Two sets of a resemblance of ``similarity`` have a common shingle among the first n - ceil(similarity * n) + 1 of
+    each, whatever the order; with the rare ones first, few sets meet there.
+    """
+    d = _shared_shingles(docs, k).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("c"))
+    d = d.select("rid", (-F.get("c", F.lit(0))["df"]).cast("int").alias("n"), F.expr("slice(c, 2, size(c))").alias("c"))
+    d = d.withColumn("own", F.col("n") - F.size("c"))  # shingles of this set alone come first and meet none
+    m = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(SLACK)).cast("int") + 1 - F.col("own")
+    d = d.withColumn("m", m).where("m > 0").select("rid", "n", "own", F.posexplode(F.slice("c", F.lit(1), F.col("m"))).alias("at", "x"))
+    return d.select(F.col("x.g").alias("g"), "rid", "n", (F.col("own") + F.col("at")).alias("pos"))
+
+
+def _may_be_alike(x: str, y: str, similarity: float) -> Column:
+    """False where the sizes, or the places of the first common shingle, leave too few common ones."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    rest = F.least(nx - F.col(f"{x}.pos"), ny - F.col(f"{y}.pos"))
+    return (F.least(nx, ny) >= F.lit(similarity - SLACK) * F.greatest(nx, ny)) & (rest >= F.lit(similarity / (1 + similarity) - SLACK) * (nx + ny))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (x, y: structs with rid) whose whole sets have the resemblance."""
+    pairs = cut_lineage(pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
+    left, right = sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), sets.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"))
+
+
+def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (rid, root): classes of texts chained by a resemblance of ``similarity`` or more on ``shingle``-word shingles.
 
     ``rid`` must be unique.  Texts are first reduced to one per equal word sequence (128-bit digest of the whole
-    sequence, the smallest ``rid`` stands for it); candidates come from the covering tables and from shared part keys.  In a bucket each member is compared
-    with the bucket's first member and, for each run of bits in RUNS, with the first member whose whole fingerprint has
-    the same bits there, so a bucket of n members makes fewer than 9n comparisons; other pairs of the bucket are reached
-    through the members' other buckets.
+    sequence, the smallest ``rid`` stands for it).  Any two sets of the resemblance meet in a posting.  First the members
+    of a posting are compared with PIVOTS of them, which chains most of a large group of copies.  Then every pair of a
+    posting that is still in two classes is compared, unless sizes or places rule it out: members outside the posting's
+    largest class with all others.  A pair left out is in one class already or below the resemblance, so the classes are
+    those of all pairs.
     """
     words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
     d = docs.select(F.col(rid).alias("rid"), F.col(text).alias("text"), F.unhex(F.md5(words)).alias("same"))
     exact = cut_lineage(d.select("rid", "same"))
     heads = cut_lineage(exact.groupBy("same").agg(F.min("rid").alias("rid")))
-    feats = cut_lineage(_features(d, shingle, radius).join(heads.select("rid"), "rid", "left_semi"))
-    whole = components(links_within_two(feats.select("fp").distinct(), radius)).select(F.col("node").alias("fp"), "root")
-    near = feats.select("rid", "fp").join(whole, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit("whole")).alias("key"), "rid", "fp")
-    parts = feats.select(F.explode("keys").alias("key"), "rid", "fp")
-    rows = near.unionByName(parts)
-    busy = rows.groupBy("key").agg(F.min("rid").alias("first"), F.max("rid").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("key", "first", "n")
-    rows = cut_lineage(rows.join(busy, "key"))
-    # smaller neighbourhoods inside a bucket, by runs of fingerprint bits: aggregates and joins, so a hot one is no task's own
-    deep = rows.where("n > 2").withColumn("_bits", F.explode(F.array(*[F.struct(F.lit(i).alias("run"), F.lit(at).alias("at"), F.lit(n).alias("n")) for i, (at, n) in enumerate(RUNS)])))
-    deep = deep.select("key", "_bits.run", F.call_function("shiftright", F.call_function("shiftleft", F.col("fp"), F.col("_bits.at")), F.lit(BITS) - F.col("_bits.n")).alias("bits"), "rid")
-    heads_in = deep.groupBy("key", "run", "bits").agg(F.min("rid").alias("a"))
-    beside = deep.join(heads_in, ["key", "run", "bits"]).select(F.col("rid").alias("b"), "a")
-    pairs = rows.select(F.col("rid").alias("b"), F.col("first").alias("a")).unionByName(beside)
-    pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    grams = cut_lineage(_shingle_sets(d.join(ends, "rid", "left_semi"), shingle))
-    left, right = grams.select(F.col("rid").alias("a"), F.col("grams").alias("x")), grams.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    alike = pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    rows = cut_lineage(_postings(d.join(heads.select("rid"), "rid", "left_semi"), shingle, similarity))
+    pivots = F.array(*[F.min_by(F.struct("rid", "n", "pos"), F.xxhash64("rid", F.lit(k))) for k in range(PIVOTS)])
+    busy = rows.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.array_distinct(pivots).alias("pivots")).where("members > 1")
+    rows = cut_lineage(rows.join(busy, "g"))
+    sets = cut_lineage(_shingle_sets(d.join(rows.select("rid").distinct(), "rid", "left_semi"), shingle))
+    member = F.struct("rid", "n", "pos")
+    pairs = rows.select(member.alias("x"), F.explode("pivots").alias("y")).where("x.rid <> y.rid").where(_may_be_alike("x", "y", similarity))
+    alike = _alike(pairs, sets, similarity)
+    # pairs still apart
+    comp = components(alike)
+    placed = rows.where("members > 2").select("g", "rid", "n", "pos").join(comp.withColumnRenamed("node", "rid"), "rid", "left")
+    placed = cut_lineage(placed.withColumn("root", F.coalesce("root", "rid")))
+    sizes = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k"))
+    open_ = sizes.groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("g", "largest")
+    apart = cut_lineage(placed.join(open_, "g").select("g", "root", member.alias("x"), F.col("root") == F.col("largest"), F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int").alias("salt")).toDF("g", "root", "x", "main", "salt"))
+    minor = apart.where("not main").select("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("root").alias("other"), F.col("x").alias("y"))
+    pairs = apart.join(minor, ["g", "salt"]).where("root <> other").where("main or x.rid < y.rid").where(_may_be_alike("x", "y", similarity))
+    alike = alike.unionByName(_alike(pairs, sets, similarity))
     # copies follow their head and take no part in the search for components, where a large group would be a hot node
     comp = components(alike)
     named = heads.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("same", F.coalesce("root", "rid").alias("root"))

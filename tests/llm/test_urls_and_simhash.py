@@ -120,3 +120,33 @@ def test_similar_documents(spark):
                 assert got[i] != got[j]
     assert total > 60 and found >= 0.97 * total
     assert got[n] == got[n + 1] == got[n + 2] and got[n + 3] == n + 3
+
+
+def test_similar_documents_misses_no_pair(spark):
+    """Shared passages make postings of unlike texts, and one large group has many pairs close to the limit."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    edited = lambda base, n: [word() if i in at else w for at in [set(rng.sample(range(len(base)), n))] for i, w in enumerate(base)]
+    passage, large = [word() for _ in range(60)], [word() for _ in range(150)]
+    texts = [edited(large, rng.randint(1, 5)) for _ in range(150)]
+    for _ in range(150):
+        base = [word() for _ in range(rng.choice([50, 90]))] + passage
+        texts += [base, edited(base, rng.randint(1, 4)), base[:rng.randint(40, 70)] + passage]
+    texts += [passage[:n] for n in (3, 5, 6, 20, 49, 55)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "rid long, text string")
+    sets = [set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {i: find(i) for i in range(len(texts))}
+    assert {r.rid: r.root for r in simhash.similar_documents(df, rid="rid").collect()} == want
+    assert simhash.similar_documents(df.limit(0), rid="rid").count() == 0
