@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +72,19 @@ def test_query_finds_planted_forms(spark):
         for m in re.finditer(r"AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = \")[0-9a-f]{40}", t):
             want.add((i, m.start(), len(m.group())))
     assert want and want <= got and len(got) <= len(want) + 2
+
+
+def test_nothing_of_long_secrets_remains(spark, forest):
+    rng = random.Random(5)
+    text = lambda n, more="": "".join(rng.choice(string.ascii_letters + string.digits + more) for _ in range(n))
+    lines = lambda n: "\n".join(text(64, "+/") for _ in range(n // 65))
+    pem = lambda n: f"-----BEGIN PRIVATE KEY-----\n{lines(n)}\n-----END PRIVATE KEY-----"
+    secrets = [("", "sk-proj-" + text(156)), ("", "sk-proj-" + text(75, "-_") + "T3" + text(79, "_")), ("password=", text(300)), ('"token": "', text(300, "+/")), ("", "eyJ" + text(5000) + "." + text(5000) + "." + text(86)),
+               ("", pem(16_000)), ("private key secret: ", pem(16_000)), ("", "ghs_" + text(300)), ("", "xoxb-" + text(200)), ("", "z" * 50 + text(400)), ("", text(30) + "7" + text(150) + "-")]
+    rows = [(i, f"here is {name}{value}" + ('"' if '"' in name else "") + " and more words") for i, (name, value) in enumerate(secrets)]
+    df = spark.createDataFrame([(*r, "a") for r in rows], "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secretscan.redact(secretscan.scan(df, forest)).collect()}
+    for i, (_, value) in enumerate(secrets):
+        assert clean[i] == rows[i][1].replace(value, "[SECRET]")
+    slow = spark.createDataFrame([(1, "a-" * 20_000, "a"), (2, "eyJ" * 20_000, "a"), (3, "-----BEGIN PRIVATE KEY-----" * 2000, "a")], df.schema)
+    assert {r.doc_id: r.text for r in secretscan.redact(secretscan.scan(slow, forest)).collect()} == {r.doc_id: r.text for r in slow.collect()}
