@@ -2,7 +2,10 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows the text's, sketches of
 parts merge by union, and the containment of a small text in a large one can be estimated as well as that of equals.  A
-text whose shingles all miss the threshold keeps its smallest hash, so only texts without words have an empty sketch.
+text of at most ``WHOLE`` distinct shingles keeps all its hashes.  Two sketches are compared at a limit that both cover:
+the whole range if both are whole, else the fraction.  Where the smaller one has no hash below that limit its
+containment is not known, and the comparison gives null.  ``fingerprints`` has both texts in one row and compares all
+their hashes, so its likeness is exact for texts of every length.
 
 All of it is column expressions: hashes of words, then of runs of ``SHINGLE`` word hashes (63 bits).
 
@@ -24,23 +27,34 @@ from pyspark.sql import functions as F
 
 from convgraph.functions.lineage import cut_lineage
 
-SHINGLE, FRACTION = 5, 1 / 8
+SHINGLE, FRACTION, WHOLE = 5, 1 / 2, 64
 ROWS_PER_RANGE, MAX_RANGES = 512, 1 << 16
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
-    """Add the sketch of column ``text`` as a sorted array of distinct hashes."""
+def with_hashes(df: DataFrame, text: str, out: str, shingle: int = SHINGLE) -> DataFrame:
+    """Add all distinct shingle hashes of column ``text``."""
     trimmed = F.lower(F.call_function("btrim", F.coalesce(F.col(text), F.lit("")), F.lit(SPACE)))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     df = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
     last = F.greatest(F.size("_w") - (shingle - 1), F.lit(1))
     runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice("_w", i, F.lit(shingle))), 1))
-    df = df.withColumn("_s", F.when(F.size("_w") > 0, runs))
+    return df.withColumn(out, F.array_distinct(F.when(F.size("_w") > 0, runs).otherwise(F.array().cast("array<bigint>")))).drop("_w")
+
+
+def below(hashes: Column, fraction: float) -> Column:
     limit = F.lit(int(fraction * 2**63))
-    df = df.withColumn("_k", F.filter("_s", lambda h: h < limit))
-    kept = F.when(F.col("_s").isNull(), F.array().cast("array<bigint>")).when(F.size("_k") == 0, F.array(F.array_min("_s"))).otherwise(F.array_sort(F.array_distinct("_k")))
-    return df.withColumn(out, kept).drop("_w", "_s", "_k")
+    return F.filter(hashes, lambda h: h < limit)
+
+
+def sketch_of(hashes: Column, fraction: float = FRACTION) -> Column:
+    """Sketch of a set of distinct hashes: sorted, all of at most WHOLE, else those below the limit."""
+    return F.array_sort(F.when(F.size(hashes) <= WHOLE, hashes).otherwise(below(hashes, fraction)))
+
+
+def with_sketch(df: DataFrame, text: str, out: str, shingle: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
+    """Add the sketch of column ``text`` as a sorted array of distinct hashes."""
+    return with_hashes(df, text, "_all", shingle).withColumn(out, sketch_of(F.col("_all"), fraction)).drop("_all")
 
 
 def as_string(sketch: Column) -> Column:
@@ -48,24 +62,41 @@ def as_string(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+def whole(sketch: Column, fraction: float = FRACTION) -> Column:
+    """Whether a sketch is known to hold all hashes of its text: it has one beyond the limit, or none at all."""
+    return F.coalesce(F.array_max(sketch) >= F.lit(int(fraction * 2**63)), F.lit(True))
+
+
+def covered(a: Column, b: Column, fraction: float = FRACTION) -> tuple[Column, Column]:
+    """Both sketches at a limit that both cover."""
+    all_ = whole(a, fraction) & whole(b, fraction)
+    return F.when(all_, a).otherwise(below(a, fraction)), F.when(all_, b).otherwise(below(b, fraction))
+
+
 def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """Sketch of two texts' shingles together."""
-    both = F.array_sort(F.array_union(a, b))
-    below = F.filter(both, lambda h: h < F.lit(int(fraction * 2**63)))
-    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
+    x, y = covered(a, b, fraction)
+    return sketch_of(F.array_union(x, y), fraction)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the shingles of ``a`` that are in ``b``."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise((F.size(b) == 0).cast("double"))
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of the shingles of ``a`` that are in ``b``; null if no hash of ``a`` is at a limit both cover."""
+    x, y = covered(a, b, fraction)
+    return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)).when(F.size(a) == 0, (F.size(b) == 0).cast("double"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the larger."""
+def share(a: Column, b: Column) -> Column:
+    """Share of the smaller set that the larger one has."""
     least = F.least(F.size(a), F.size(b))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
+def likeness(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Containment of the smaller sketch in the larger; null as for ``containment``."""
+    x, y = covered(a, b, fraction)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), share(a, b)).when((F.size(x) > 0) & (F.size(y) > 0), share(x, y))
+
+
 def next_rows(df: DataFrame, key: str, ties: list[Column], columns: list[str]) -> DataFrame:
     """Add ``next_<column>``: the values of the row that follows in descending ``key``; after the last comes the first."""
     df = df.withColumn("_key", F.coalesce(F.col(key).cast("bigint"), F.lit(-(2**63))))
@@ -93,15 +124,18 @@ def next_rows(df: DataFrame, key: str, ties: list[Column], columns: list[str]) -
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each text's sketch, an edited text's, the next document's: (doc_id, n_chars, edited, sketch, edited_sketch, next_sketch).
+    """Each text's sketch, an edited text's, the next document's, and their exact likeness to the text.
 
-    The edited text has the last half of the code points replaced by the first as many of the next document.
+    Columns: doc_id, n_chars, edited, sketch, edited_sketch, next_sketch, near_edited, near_next.  The edited text has
+    the last half of the code points replaced by the first as many of the next document.  Only texts are moved to the
+    neighbour; all hashes are made, compared and cut to sketches in the row.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = with_sketch(d, "text", "sketch")
-    d = next_rows(d, "doc_id", [F.xxhash64("text"), F.col("text")], ["text", "sketch"])
+    d = next_rows(d, "doc_id", [F.xxhash64("text"), F.col("text")], ["text"])
     d = d.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
     kept = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.col("_half"))
     d = d.withColumn("edited", F.concat(kept, F.substring("next_text", F.lit(1), F.col("_half"))))
-    d = with_sketch(d, "edited", "edited_sketch")
-    return d.select("doc_id", "n_chars", "edited", "sketch", "edited_sketch", "next_sketch")
+    for source, out in (("text", "_own"), ("edited", "_edited"), ("next_text", "_next")):
+        d = with_hashes(d, source, out)
+    return d.select("doc_id", "n_chars", "edited", sketch_of(F.col("_own")).alias("sketch"), sketch_of(F.col("_edited")).alias("edited_sketch"), sketch_of(F.col("_next")).alias("next_sketch"),
+                    share(F.col("_own"), F.col("_edited")).alias("near_edited"), share(F.col("_own"), F.col("_next")).alias("near_next"))

@@ -71,6 +71,29 @@ def test_merge_and_containment(spark):
     assert r.in_a == 1.0 and abs(r.a_in - 0.1) < 0.06 and r.bc == 0.0 and r.sub
 
 
+def test_short_texts(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    grams = lambda t: {tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
+    long = [word() for _ in range(3000)]
+    texts = [" ".join(long[at:at + n]) for n in range(5, 41) for at in (7, 900)]
+    df = spark.createDataFrame([(i, t, " ".join(long)) for i, t in enumerate(texts)], "doc_id long, a string, b string")
+    for c in "ab":
+        df = sketch.with_sketch(df, c, f"s{c}")
+    a, b = F.col("sa"), F.col("sb")
+    got = df.orderBy("doc_id").select(sketch.containment(a, b).alias("inside"), sketch.likeness(a, b).alias("near"), (sketch.merge(a, b) == b).alias("sub"), sketch.containment(a, a).alias("own"),
+                                      F.size("sa").alias("n")).collect()
+    assert all(r.inside in (1.0, None) and r.near in (1.0, None) and r.sub and r.own == 1.0 for r in got)
+    assert all(r.inside == 1.0 for r in got if r.n >= 10) and [r.n for r in got] == [len(grams(t)) for t in texts]
+    rows = [(i, " ".join(long[i:i + rng.randint(0, 40)] if i % 2 else [word() for _ in range(rng.randint(1, 40))])) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    near = lambda x, y: len(grams(x) & grams(y)) / min(len(grams(x)), len(grams(y))) if grams(x) and grams(y) else float(grams(x) == grams(y))
+    for r in queries.QUERIES["op8_sketch"](spark, str(tmp_path)).collect():
+        t, nxt = rows[r.doc_id][1], rows[(r.doc_id - 1) % 200][1]
+        half = len(t) // 2
+        assert abs(r.near_edited - near(t, t[:len(t) - half] + nxt[:half])) < 1e-9 and abs(r.near_next - near(t, nxt)) < 1e-9
+
+
 def brute(rows, cosine):
     def good(r):
         return r[2] is not None and r[1] is not None and len(r[1]) and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])
