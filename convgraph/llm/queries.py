@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convgraph.llm import covertree, hpylm, labels, mixing, packing, quality, secretscan, simhash, sketch, toxicity, urlfilter
+from convgraph.llm import covertree, hpylm, labels, merkle, mixing, packing, quality, secretscan, simhash, sketch, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,53 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = secretscan.scan(docs, secretscan.train(docs)).select("doc_id", F.posexplode("findings").alias("finding", "f"))
     return found.select("doc_id", "finding", "f.start", "f.length", F.sha2("f.found", 256).alias("found_sha256"), "f.score", "f.secret")
+
+
+#: CRC-32 of a column's UTF-8 bytes, as a fold over them with the table of the reversed polynomial 0xEDB88320.
+CRC_TABLE = "crc_table(t) AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, s: xor(c >> 1, (c & 1) * 3988292384))))"
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({0})), 1),
+    lambda k: (strpos('0123456789ABCDEF', hex(encode({0}))[2 * k + 1]) - 1) * 16 + strpos('0123456789ABCDEF', hex(encode({0}))[2 * k + 2]) - 1)),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+def _leaf_sql(text: str) -> str:
+    cols = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in cols) + ")"
+
+
+@query("op11_merkle", f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('+' || lang, '') AS tag, {_leaf_sql("text")} AS leaf,
+             CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+                  ELSE {_leaf_sql("text")} END AS tested FROM documents, crc_table),
+p AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tag) AS m FROM d),
+lv(tag, level, pos, digest, m) AS (
+  SELECT tag, 0, pos, leaf, m FROM p
+  UNION ALL
+  SELECT tag, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), max((m + 7) // 8) FROM lv WHERE m > 1 GROUP BY tag, level, pos // 8),
+sub AS (SELECT tag, digest, row_number() OVER (ORDER BY encode(tag)) - 1 AS pos, count(*) OVER () AS m FROM lv WHERE m = 1),
+top(level, pos, digest, m) AS (
+  SELECT 0, pos, digest, m FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), max((m + 7) // 8) FROM top WHERE m > 1 GROUP BY level, pos // 8),
+alln AS (SELECT tag, level, pos, digest, m FROM lv UNION ALL SELECT NULL, level, pos, digest, m FROM top),
+runs AS (SELECT tag, level, pos // 8 AS run, list(digest ORDER BY pos) AS ds FROM alln WHERE m > 1 GROUP BY tag, level, pos // 8),
+lv_last AS (SELECT tag, level FROM lv WHERE m = 1),
+up(id, tag, level, pos, folded, sib) AS (
+  SELECT id, tag, 0, pos, tested, '' FROM p
+  UNION ALL
+  SELECT id, tag, level, pos, folded, sib FROM (
+    SELECT u.id, u.tag, u.level + 1 AS level, u.pos // 8 AS pos,
+           sha256(array_to_string(r.ds[:u.pos % 8], '') || u.folded || array_to_string(r.ds[u.pos % 8 + 2:], '')) AS folded,
+           u.sib || array_to_string(r.ds[:u.pos % 8], '') || array_to_string(r.ds[u.pos % 8 + 2:], '') AS sib
+    FROM up u JOIN runs r ON r.tag IS NOT DISTINCT FROM u.tag AND r.level = u.level AND r.run = u.pos // 8
+    UNION ALL
+    SELECT u.id, NULL, 0, s.pos, u.folded, u.sib FROM up u JOIN lv_last l ON l.tag = u.tag AND l.level = u.level JOIN sub s ON s.tag = u.tag) x),
+done AS (SELECT id, folded, sib FROM up WHERE tag IS NULL AND level = (SELECT max(level) FROM top))
+SELECT p.doc_id, p.leaf, sub.digest AS subroot, root.digest AS root, sha256(done.sib) AS proof_sha256, done.folded AS folded_root, done.folded = root.digest AS verified
+FROM p JOIN sub ON sub.tag = p.tag JOIN done ON done.id = p.id CROSS JOIN (SELECT digest FROM top WHERE m = 1) root
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = merkle.verify_documents(table(spark, sf_dir, "documents"))
+    hexed = [merkle.as_hex(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return d.select("doc_id", *hexed, F.sha2(merkle.as_hex(F.col("siblings")), 256).alias("proof_sha256"), merkle.as_hex(F.col("folded_root")).alias("folded_root"), "verified")
