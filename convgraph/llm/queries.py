@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convgraph.llm import covertree, hpylm, labels, merkle, mixing, packing, quality, secretscan, simhash, sketch, toxicity, urlfilter
+from convgraph.llm import covertree, hpylm, labels, merkle, mixing, packing, quality, secretscan, simhash, sketch, toxicity, urlfilter, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,24 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = merkle.verify_documents(table(spark, sf_dir, "documents"))
     hexed = [merkle.as_hex(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
     return d.select("doc_id", *hexed, F.sha2(merkle.as_hex(F.col("siblings")), 256).alias("proof_sha256"), merkle.as_hex(F.col("folded_root")).alias("folded_root"), "verified")
+
+
+@query("op13_variants", f"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS k, doc_id || ':' || run AS tagged FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, k, {CRC32.format("tagged")} AS h FROM g, crc_table),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+v AS (SELECT word, sum(k)::BIGINT AS n, length(word) AS len FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+e AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(len))::INT AS i FROM v)),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM e a JOIN e b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+          UNION SELECT e.word, v.word, v.n FROM e JOIN v ON v.word = e.cut
+          UNION SELECT v.word, e.word, e.n FROM e JOIN v ON v.word = e.cut),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, encode(near))) AS near, max(n) AS m FROM pairs GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN near END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n
+      FROM v LEFT JOIN best USING (word)),
+path(word, here) AS (SELECT word, word FROM f UNION ALL SELECT p.word, f.form FROM path p JOIN f ON f.word = p.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, path.here AS root, f.n, f.n_near, f.form_n FROM f JOIN path ON path.word = f.word JOIN f last ON last.word = path.here AND last.form IS NULL
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.document_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
