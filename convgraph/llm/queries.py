@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convgraph.llm import covertree, hpylm, labels, merkle, mixing, packing, quality, secretscan, simhash, sketch, toxicity, urlfilter, variants
+from convgraph.llm import covertree, hpylm, htmltext, labels, merkle, mixing, packing, quality, secretscan, simhash, sketch, toxicity, urlfilter, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,8 @@ SELECT f.word, f.form, path.here AS root, f.n, f.n_near, f.form_n FROM f JOIN pa
 """)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.document_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_html")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
