@@ -1,28 +1,34 @@
-"""Paired and clustered resampling, as rows (group, resample, draw).
+"""Paired and clustered resampling by weights: every unit gets its number of draws where it lies.
 
-The draw of position ``idx`` in resample ``b`` is a fixed integer function, so a
-result does not depend on the engine, the partitioning or a lost executor.
-Draws are generated in codegen, matched to values by an equi-join on
-(group, position) and averaged with map-side combining; no group of values is
-ever collected into one row, whatever its size.
+The units of a group are cut into blocks of BLOCK consecutive positions.  The number of draws of a resample that fall into
+a block is found by halving the draws down a tree over the blocks, each halving a binomial taken from hashes of (resample,
+node); so a block's task knows its draws without seeing the other blocks.  Within the block the draws are counted per unit,
+and the weights times the values are the block's share of the resample's sums.  Nothing is joined or broadcast, and one
+exchange adds up blocks: groups x resamples rows of sums.
+
+Positions, hashes and halvings are fixed integer functions (and correctly rounded operations on doubles), so a result does
+not depend on the engine, the partitioning or a lost executor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convgraph.functions.lineage import cut_lineage
 from convgraph.functions.splitwin import split_row_number
 
 # Fixed values of the draw function.
 MODULUS = 2147483647
-DRAW_CHUNK = 4096
-# Values up to this many rows are sent to every executor.
-BROADCAST_ROWS = 1_000_000
+BLOCK = 4096
 POSITION_SPLITS = 64
+# Resamples of one block that a task row stands for; a block's values are sent once for each.
+RESAMPLES = 1000
 
 
 def seed_column(seed: int, *parts: Column) -> Column:
@@ -39,47 +45,138 @@ def number_units(values: DataFrame, by: Sequence[str], unit: str) -> DataFrame:
     return out.withColumn("_i", F.col("_i") - 1)
 
 
-def draws(groups: DataFrame, n_boot: int, partitions: int | None = None) -> DataFrame:
-    """``groups(_g, _n, _seed)`` -> one row per resample and draw: (_g, _b, _i)."""
-    m = F.lit(MODULUS).cast("bigint")
-    parts = partitions or max(8, groups.sparkSession.sparkContext.defaultParallelism)
-    rows = groups.select("_g", "_n", "_seed", F.explode(F.sequence(
-        F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint"))).alias("_b"))
-    # dealt by chunk, so that the draws of one resample of a large group are spread as well
-    rows = rows.withColumn(
-        "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / DRAW_CHUNK)))).repartition(parts)
-    rows = rows.withColumn("_j", F.explode(F.sequence(
-        F.col("_c") * DRAW_CHUNK, F.least((F.col("_c") + 1) * DRAW_CHUNK, F.col("_n")) - 1)))
-    rows = rows.withColumn("_u", (F.col("_b") * 48271 + F.col("_seed")) % m)
-    rows = rows.withColumn("_v", ((F.col("_u") * F.col("_u")) % m + F.col("_j") * 69621 + 12345) % m)
-    rows = rows.withColumn("_w", ((F.col("_v") * F.col("_v")) % m + F.col("_u") * 16807) % m)
-    idx = ((F.col("_w") * F.col("_w")) % m + F.col("_v") * 48271) % m % F.col("_n")
-    # never NULL; saying so spares a filter that would compute the index twice
-    return rows.select("_g", F.col("_b").cast("int").alias("_b"), F.coalesce(idx.cast("int"), F.lit(0)).alias("_i"))
-
-
-def resample(
-    values: DataFrame, by: Sequence[str], unit: str, aggs: Mapping[str, Column], n_boot: int, seed: int
-) -> DataFrame:
-    """One row per group and resample with the given aggregates over the drawn units.
-
-    ``values`` holds one row per (group, unit).  Groups get a number, so that draws
-    carry three integers only.  The values are broadcast if their counted rows stay
-    below BROADCAST_ROWS; beyond that Spark shuffles both sides by (group, position),
-    which is evenly spread.
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo MODULUS (2^31 - 1) for 0 <= x < 2^63, by folding its bits."""
+    x = (x & MODULUS) + (x >> 31)
+    x = (x & MODULUS) + (x >> 31)
+    return np.where(x >= MODULUS, x - MODULUS, x)
+
+
+def _halved(draws: np.ndarray, u2: np.ndarray, start: int, size: int, left: int, units: int) -> np.ndarray:
+    """How many of the draws in a node of ``units`` units fall into its first ``left`` ones: a binomial count, from the sum
+    of twelve hashes as a standard normal deviate (blocks are large, so the normal form is close)."""
+    base = _mod(u2 + start * 69621 + size * 16807 + 7)
+    total = np.zeros(len(draws), dtype=np.int64)
+    for t in range(1, 13):
+        w = _mod(base * 48271 + t * 69621)
+        w = _mod(w * w + base)
+        total += _mod(w * w + t)
+    z = total / float(MODULUS) - 6.0
+    mean = draws * float(left) / float(units)
+    count = np.floor(mean + np.sqrt(mean * float(units - left) / float(units)) * z + 0.5)
+    return np.clip(count, 0, draws).astype(np.int64)
+
+
+def block_draws(b: np.ndarray, n: int, seed: int, block: int) -> np.ndarray:
+    """Draws that fall into ``block`` in the resamples ``b`` of a group of ``n`` units; over all blocks they add up to n."""
+    u = _mod(b * 48271 + seed)
+    u2 = _mod(u * u)
+    draws, start, size = np.full(len(b), n, dtype=np.int64), 0, -(-n // BLOCK)
+    while size > 1:
+        units = min(n, (start + size) * BLOCK) - start * BLOCK
+        half = size // 2
+        left = _halved(draws, u2, start, size, half * BLOCK, units)
+        if block < start + half:
+            draws, size = left, half
+        else:
+            draws, start, size = draws - left, start + half, size - half
+    return draws
+
+
+def _fold(x: np.ndarray, t: np.ndarray) -> None:
+    """Brings unsigned 64-bit ``x`` near 2^31 in place, keeping it modulo MODULUS; ``t`` is room of the same shape."""
+    for _ in range(2):
+        np.right_shift(x, 31, out=t)
+        np.bitwise_and(x, MODULUS, out=x)
+        np.add(x, t, out=x)
+
+
+def _places(first: np.ndarray, second: np.ndarray, draws: int, size: int) -> np.ndarray:
+    """Place in the block of each draw (columns) of each resample (rows), from the resample's two keys."""
+    w = first[:, None] + (np.arange(draws, dtype=np.uint64) * np.uint64(69621))[None, :]
+    t = np.empty_like(w)
+    np.multiply(w, w, out=w)
+    _fold(w, t)
+    w += second[:, None]
+    np.multiply(w, w, out=w)
+    _fold(w, t)
+    np.subtract(w, MODULUS, out=t)  # wraps around where w is the smaller one
+    np.minimum(w, t, out=w)
+    np.multiply(w, size, out=w)
+    np.right_shift(w, 31, out=w)
+    return w
+
+
+def block_weights(b: np.ndarray, n: int, seed: int, block: int, draws: np.ndarray | None = None) -> np.ndarray:
+    """How often each unit of the block is drawn, one row per resample of ``b``; ``draws`` as of ``block_draws``."""
+    size = min(n - block * BLOCK, BLOCK)
+    if draws is None:
+        draws = block_draws(b, n, seed, block)
+    u = _mod(b * 48271 + seed)
+    u2 = _mod(u * u)
+    e = _mod(u2 + block * 16807 + 12345)
+    first = _mod(e * e + u)
+    second = (_mod(first * 69621 + u2) // 4).astype(np.uint64)
+    first = first.astype(np.uint64)
+    if n <= BLOCK:  # every resample has n draws
+        at = _places(first, second, n, size) + (np.arange(len(b), dtype=np.uint64) * np.uint64(size))[:, None]
+        return np.bincount(at.ravel().view(np.int64), minlength=len(b) * size).reshape(len(b), size)
+    out = np.empty((len(b), size))
+    for k in range(len(b)):
+        out[k] = np.bincount(_places(first[k:k + 1], second[k:k + 1], int(draws[k]), size)[0].view(np.int64), minlength=size)
+    return out
+
+
+def _block_sums(by: Sequence[str], width: int, n_boot: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, row in batch.iterrows():
+                values = np.asarray(row["_values"], dtype=np.float64).reshape(-1, width)
+                known = ~np.isnan(values)
+                whole = bool(known.all())  # then every draw has a value
+                both = np.ascontiguousarray((values if whole else np.concatenate([np.where(known, values, 0.0), known], axis=1)).T)
+                last = min(row["_first"] + RESAMPLES, n_boot)
+                draws = block_draws(np.arange(row["_first"], last, dtype=np.int64), row["_n"], row["_seed"], row["_c"])
+                step = max(1, (1 << 13) // len(values))  # so many draws stay in a core's cache
+                parts = []
+                for b0 in range(row["_first"], last, step):
+                    b = np.arange(b0, min(b0 + step, last), dtype=np.int64)
+                    # einsum, unlike a matrix product, starts no threads of its own beside Spark's tasks
+                    parts.append(np.einsum("ij,kj->ik", block_weights(b, row["_n"], row["_seed"], row["_c"], draws[b - row["_first"]]).astype(np.float64), both))
+                sums = np.concatenate(parts)
+                out = pd.DataFrame({c: [row[c]] * len(sums) for c in by})
+                out["_b"] = np.arange(row["_first"], last, dtype=np.int32)
+                for k in range(width):
+                    out[f"_s{k}"] = sums[:, k]
+                    out[f"_k{k}"] = draws.astype(np.float64) if whole else sums[:, width + k]
+                yield out
+
+    return run
+
+
+def resample(values: DataFrame, by: Sequence[str], unit: str, data: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """One row per group and resample ``_b``: for every column of ``data`` its sum over the drawn units, ``s_<column>``, and
+    the number of draws that have a value, ``k_<column>``.
+
+    ``values`` holds one row per (group, unit).  A block of units is one row, and its resamples are dealt to tasks in runs.
     """
-    by = list(by)
-    data = [c for c in values.columns if c not in by and c != unit]
-    numbered = cut_lineage(number_units(values, by, unit).select(*by, F.col("_i").cast("int").alias("_i"), "_n", *data))
-    # one row per group: as many as the result table has
-    groups = cut_lineage(numbered.groupBy(*by).agg(F.max("_n").alias("_n")).withColumn(
-        "_g", F.row_number().over(Window.orderBy(*by))).withColumn("_seed", seed_column(seed, *[F.col(c) for c in by])))
-    keyed = numbered.drop("_n").join(groups.select(*by, "_g"), by).select("_g", "_i", *data)
-    if numbered.count() <= BROADCAST_ROWS:
-        keyed = F.broadcast(keyed)
-    r = draws(groups, n_boot).join(keyed, ["_g", "_i"]).groupBy("_g", "_b").agg(
-        *[c.alias(name) for name, c in aggs.items()])
-    return r.join(groups.select("_g", *by), "_g").drop("_g")
+    by, data = list(by), list(data)
+    numbered = number_units(values, by, unit).select(*by, "_i", "_n", F.array(*[F.col(c).cast("double") for c in data]).alias("_v"))
+    blocks = numbered.groupBy(*by, F.floor(F.col("_i") / BLOCK).alias("_c")).agg(
+        F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_rows"))
+    blocks = cut_lineage(blocks.select(*by, "_c", "_n", seed_column(seed, *[F.col(c) for c in by]).alias("_seed"), F.flatten("_rows._v").alias("_values")))
+    tasks = max(8, values.sparkSession.sparkContext.defaultParallelism * 2)
+    runs = blocks.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(RESAMPLES)))).repartition(tasks)
+    types = {f.name: f.dataType for f in blocks.schema}
+    schema = T.StructType([T.StructField(c, types[c]) for c in by] + [T.StructField("_b", T.IntegerType())] + [
+        T.StructField(f"_{x}{k}", T.DoubleType()) for k in range(len(data)) for x in "sk"])
+    sums = runs.mapInPandas(_block_sums(by, len(data), n_boot), schema)
+    return sums.groupBy(*by, "_b").agg(*[F.sum(f"_{x}{k}").alias(f"{x}_{c}") for k, c in enumerate(data) for x in "sk"])
+
+
+def mean_of(column: str) -> Column:
+    """Mean over the draws that have a value."""
+    return F.try_divide(F.col(f"s_{column}"), F.col(f"k_{column}"))
 
 
 def interval(col: str, low: float = 0.025, high: float = 0.975) -> tuple[Column, Column]:
@@ -92,7 +189,7 @@ def bootstrap_mean(facts: DataFrame, by: Sequence[str], unit: str, metric: str,
     """Mean and percentile interval per group; no interval below two values."""
     v = cut_lineage(facts.where(F.col(metric).isNotNull()).select(*by, unit, F.col(metric).cast("double").alias("_m")))
     point = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_m").alias("mean"))
-    r = resample(v, by, unit, {"mean_b": F.avg("_m")}, n_boot, seed)
+    r = resample(v, by, unit, ["_m"], n_boot, seed).withColumn("mean_b", mean_of("_m"))
     ci = r.groupBy(*by).agg(*interval("mean_b"))
     few = F.col("n") < 2
     return point.join(ci, list(by)).select(
@@ -164,9 +261,8 @@ def compare(pairs: DataFrame, unit: str, n_boot: int, seed: int, margin: float,
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("q_diff"),
         (F.stddev_samp("d") / F.sqrt(F.count(F.lit(1)))).alias("se"),
         F.avg(F.col("ta") - F.col("tb")).alias("tok_diff"), (F.avg("ta") / F.avg("tb")).alias("tok_ratio"))
-    r = resample(pairs.select(*by, unit, "d", "ta", "tb"), by, unit, {
-        "q": F.round(F.avg("d"), 9), "tok_diff_b": F.avg(F.col("ta") - F.col("tb")),
-        "tok_ratio_b": F.avg("ta") / F.avg("tb")}, n_boot, seed)
+    r = resample(pairs.select(*by, unit, "d", "ta", "tb", (F.col("ta") - F.col("tb")).alias("td")), by, unit, ["d", "ta", "tb", "td"], n_boot, seed)
+    r = r.select(*by, F.round(mean_of("d"), 9).alias("q"), mean_of("td").alias("tok_diff_b"), F.try_divide(mean_of("ta"), mean_of("tb")).alias("tok_ratio_b"))
     p = lambda c: F.percentile(F.col(c), F.array(F.lit(0.025), F.lit(0.975)))
     ci = r.groupBy(*by).agg(
         p("q").alias("_q"), F.avg(F.when(F.col("q") <= margin, 1.0).otherwise(0.0)).alias("p_noninferior"),
@@ -187,8 +283,8 @@ def retention(facts: DataFrame, arm: str, dag: str, full: str, n_boot: int, seed
         "model_key", "scenario_id", (F.col("c") - F.col("f")).alias("num"), (F.col("g") - F.col("f")).alias("den")))
     safe = lambda n, d: F.when(F.abs(d) > 1e-9, n / d)
     point = v.groupBy("model_key").agg(F.count(F.lit(1)).alias("n"), F.avg("num").alias("num"), F.avg("den").alias("den"))
-    r = resample(v, ["model_key"], "scenario_id", {"num_b": F.avg("num"), "den_b": F.avg("den")}, n_boot, seed)
-    r = r.withColumn("ratio_b", safe(F.col("num_b"), F.col("den_b")))
+    r = resample(v, ["model_key"], "scenario_id", ["num", "den"], n_boot, seed)
+    r = r.select("model_key", mean_of("num").alias("num_b"), mean_of("den").alias("den_b")).withColumn("ratio_b", safe(F.col("num_b"), F.col("den_b")))
     ci = r.groupBy("model_key").agg(*interval("ratio_b"), *interval("den_b"))
     return point.join(ci, "model_key").select(
         F.col("model_key").alias("model"), "n", (100 * F.col("num")).alias("cand_minus_full_pp"),
@@ -202,10 +298,18 @@ def variance_parts(pairs: DataFrame, by: Sequence[str], unit: str, n_boot: int,
     pairs = cut_lineage(pairs)
     parts = {"dec": F.var_samp("diff") / 2, "tot": F.var_samp("score")}
     point = pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_pairs"), parts["dec"].alias("dec"), parts["tot"].alias("tot"),
+        F.count(F.lit(1)).alias("n_pairs"), parts["dec"].alias("dec"), parts["tot"].alias("tot"), F.avg("diff").alias("mean_diff"), F.avg("score").alias("mean_score"),
         F.count_if(F.col("diff") == 0).alias("identical_score_pairs"))
-    r = resample(pairs.select(*by, unit, "diff", "score"), by, unit,
-                 {"dec_b": parts["dec"], "tot_b": parts["tot"]}, n_boot, seed)
+    # moments about the group's mean, which is near that of any resample
+    about = point.select(*by, F.col("mean_diff").alias("_md"), F.col("mean_score").alias("_ms"))
+    c = pairs.join(about, list(by)).select(*by, unit, (F.col("diff") - F.col("_md")).alias("d1"), (F.col("score") - F.col("_ms")).alias("s1"))
+    r = resample(c.withColumns({"d2": F.col("d1") * F.col("d1"), "s2": F.col("s1") * F.col("s1")}), by, unit, ["d1", "d2", "s1", "s2"], n_boot, seed)
+
+    def variance(x: str) -> Column:
+        k, s1 = F.col(f"k_{x}1"), F.col(f"s_{x}1")
+        return F.when(k > 1, F.greatest(F.lit(0.0), F.round((F.col(f"s_{x}2") - s1 * s1 / k) / (k - 1), 12)))
+
+    r = r.select(*by, (variance("d") / 2).alias("dec_b"), variance("s").alias("tot_b"))
     r = r.withColumn("sc_b", F.col("tot_b") - F.col("dec_b")).withColumn(
         "share_b", F.try_divide(F.col("dec_b"), F.col("tot_b")))
     ci = r.groupBy(*by).agg(*interval("dec_b"), *interval("tot_b"), *interval("sc_b"), *interval("share_b"))
@@ -234,10 +338,10 @@ def contrast_errors(
     err = F.array(*[F.struct(F.lit(c).alias("contrast"), (mean[a] - mean[b]).alias("err"))
                     for c, (a, b) in contrasts.items()])
     point = v.groupBy("judge").agg(err.alias("_e"), have.alias("_m")).select("judge", "_m", F.inline("_e"))
-    # one average per (judge, resample, method) first: no distinct count inside the big aggregate
-    r = resample(v, ["judge", ], unit, {"_by": F.map_from_entries(F.array(*[
-        F.struct(F.lit(m).alias("k"), mean[m].alias("v")) for m in names])),
-        "_none": F.lit(0)}, n_boot, seed)
+    # a method's values as a column of its own, null elsewhere
+    wide = v.select("judge", unit, *[F.when(F.col("method_label") == m, F.col("e")).alias(f"m{k}") for k, m in enumerate(names)])
+    r = resample(wide, ["judge"], unit, [f"m{k}" for k in range(len(names))], n_boot, seed)
+    r = r.select("judge", F.map_from_arrays(F.array(*[F.lit(m) for m in names]), F.array(*[mean_of(f"m{k}") for k in range(len(names))])).alias("_by"))
     full = r.where(F.forall(F.map_values("_by"), lambda x: x.isNotNull()))
     per = full.select("judge", F.inline(F.array(*[
         F.struct(F.lit(c).alias("contrast"), (F.col("_by")[a] - F.col("_by")[b]).alias("e")) for c, (a, b) in contrasts.items()])))

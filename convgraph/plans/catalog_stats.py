@@ -21,23 +21,37 @@ CONTRASTS = {"dag_minus_full": ("oracle_dag", "full_history"), "dag_minus_tree":
 
 
 def boot_sql(values: str, by: str, unit: str, aggs: str, n_boot: int = N_BOOT, data: str = "") -> str:
-    """CTEs num, grp, dr and bs: the numbered values, groups, draws and resamples of ``values``."""
+    """CTEs num, grp, nd, dr and bs: the numbered values, groups, draws halved down to blocks, draws and resamples of ``values``."""
     spread = f"{unit} % 64"
     key = ", ".join(f"g.{c}" for c in by.split(", "))
     eq = " AND ".join(f"d.{c} = n.{c}" for c in by.split(", "))
     m = 2147483647
+    deviate = " + ".join(f"mod2({t})" for t in range(1, 13))
+    base = f"(((rb * 48271 + s) % {m}) * ((rb * 48271 + s) % {m}) % {m} + st * 69621 + sz * 16807 + 7) % {m}"
+    for t in range(12, 0, -1):
+        w = f"((e * 48271 + {t} * 69621) % {m})"
+        deviate = deviate.replace(f"mod2({t})", f"(((({w} * {w}) + e) % {m}) * ((({w} * {w}) + e) % {m}) + {t}) % {m}")
     return f"""
   num AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {spread}, {unit}) - 1 AS i,
                  count(*) OVER (PARTITION BY {by}) AS nn FROM {values}),
   grp AS (SELECT {by}, max(nn) AS nn,
                  CAST('0x' || substring(sha256(concat_ws('|', '{SEED}', {by})), 1, 8) AS BIGINT) % {m} AS s
           FROM num GROUP BY {by}),
-  dr AS (SELECT {key}, rb, ((w * w) % {m} + v * 48271) % {m} % nn AS i FROM (
-    SELECT *, ((v * v) % {m} + u * 16807) % {m} AS w FROM (
-      SELECT *, ((u * u) % {m} + j * 69621 + 12345) % {m} AS v FROM (
-        SELECT g.*, bb.rb, j.j, (bb.rb * 48271 + g.s) % {m} AS u
-        FROM grp g CROSS JOIN (SELECT unnest(range({n_boot})) AS rb) bb
-        CROSS JOIN LATERAL (SELECT unnest(range(g.nn)) AS j) j) x) y) g),
+  nd({by}, nn, s, rb, st, sz, kd) AS (
+    SELECT g.*, rb, 0::BIGINT, (nn + 4095) // 4096, nn FROM grp g CROSS JOIN (SELECT unnest(range({n_boot})) AS rb) x
+    UNION ALL
+    SELECT {by}, nn, s, rb, CASE WHEN side = 0 THEN st ELSE st + half END, CASE WHEN side = 0 THEN half ELSE sz - half END, CASE WHEN side = 0 THEN l ELSE kd - l END
+    FROM (SELECT *, CAST(least(greatest(floor(mean + sqrt(mean * CAST(units - half * 4096 AS DOUBLE) / CAST(units AS DOUBLE)) * z + 0.5), 0), kd) AS BIGINT) AS l
+      FROM (SELECT *, CAST(kd AS DOUBLE) * CAST(half * 4096 AS DOUBLE) / CAST(units AS DOUBLE) AS mean, CAST({deviate} AS DOUBLE) / 2147483647.0::DOUBLE - 6.0::DOUBLE AS z
+        FROM (SELECT *, sz // 2 AS half, least(nn, (st + sz) * 4096) - st * 4096 AS units, {base} AS e FROM nd WHERE sz > 1) x1) x2) x3
+    CROSS JOIN (VALUES (0), (1)) sides(side)),
+  dr AS (SELECT {key}, rb, st * 4096 + (((w * w) % {m} * least(nn - st * 4096, 4096)) >> 31) AS i FROM (
+    SELECT *, ((c1 + j * 69621) * (c1 + j * 69621)) % {m} + c2 AS w FROM (
+      SELECT y.*, j.j FROM (
+        SELECT *, (c1 * 69621 + u2) % {m} // 4 AS c2 FROM (
+          SELECT *, (((u2 + st * 16807 + 12345) % {m}) * ((u2 + st * 16807 + 12345) % {m}) + u) % {m} AS c1 FROM (
+            SELECT *, (u * u) % {m} AS u2 FROM (SELECT *, (rb * 48271 + s) % {m} AS u FROM nd WHERE sz = 1) x1) x2) x3) y
+      CROSS JOIN LATERAL (SELECT unnest(range(y.kd)) AS j) j) x4) g),
   bs AS (SELECT {", ".join("d." + c for c in by.split(", "))}, d.rb, {aggs}
          FROM dr d JOIN num n ON {eq} AND n.i = d.i GROUP BY {", ".join("d." + c for c in by.split(", "))}, d.rb)"""
 

@@ -39,46 +39,114 @@ def test_split_percentile(skewed):
         assert got[k] == pytest.approx((np.percentile(v, 10), np.median(v)))
 
 
-def index(b, j, n, s, m=2147483647):
+def place(b, block, t, size, s, m=2147483647):
+    """Place in the block of its draw t in resample b."""
     u = (b * 48271 + s) % m
-    v = ((u * u) % m + j * 69621 + 12345) % m
-    w = ((v * v) % m + u * 16807) % m
-    return ((w * w) % m + v * 48271) % m % n
-
-
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_bootstrap_mean_equals_plain_loop(spark, monkeypatch, limit):
-    monkeypatch.setattr(resample, "BROADCAST_ROWS", limit)
+    u2 = u * u % m
+    first = (pow(u2 + block * 16807 + 12345, 2, m) + u) % m
+    second = (first * 69621 + u2) % m // 4
+    w = pow(first + t * 69621, 2, m) + second
+    return (w * w % m * size) >> 31
+
+
+def halved(k, u2, start, size, left, units, m=2147483647):
+    base = (u2 + start * 69621 + size * 16807 + 7) % m
+    total = 0
+    for t in range(1, 13):
+        w = (base * 48271 + t * 69621) % m
+        w = (w * w + base) % m
+        total += (w * w + t) % m
+    mean = float(k) * float(left) / float(units)
+    x = math.floor(mean + math.sqrt(mean * float(units - left) / float(units)) * (total / 2147483647.0 - 6.0) + 0.5)
+    return min(max(x, 0), k)
+
+
+def drawn(b, n, s, block, m=2147483647):
+    """Positions drawn in resample b of n units, block by block."""
+    u2 = pow((b * 48271 + s) % m, 2, m)
+    nodes, out = [(0, -(-n // block), n)], []
+    while nodes:
+        start, size, k = nodes.pop()
+        if size > 1:
+            half, units = size // 2, min(n, (start + size) * block) - start * block
+            left = halved(k, u2, start, size, half * block, units)
+            nodes += [(start, half, left), (start + half, size - half, k - left)]
+        else:
+            width = min(n - start * block, block)
+            out += [start * block + place(b, start, t, width, s) for t in range(k)]
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_bootstrap_mean_equals_plain_loop(spark, monkeypatch, block):
     rng = random.Random(5)
     rows = [(g, i * 3, rng.random()) for g, n in (("a", 37), ("b", 1), ("c", 90)) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, unit bigint, m double")
-    got = {r.g: r for r in resample.bootstrap_mean(df, ["g"], "unit", "m", 200, 11).collect()}
     seeds = {r.g: r.s for r in df.select("g").distinct().withColumn("s", resample.seed_column(11, F.col("g"))).collect()}
+    got = {r.g: r for r in resample.bootstrap_mean(df, ["g"], "unit", "m", 200, 11).collect()} if block == 4096 else None
+    monkeypatch.setattr(resample, "BLOCK", block)
     for g in "abc":
         v = [r[2] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] % 64, r[1]))]
         n = len(v)
+        sums = np.zeros(200)
+        for c in range(-(-n // block)):
+            sums += resample.block_weights(np.arange(200), n, seeds[g], c) @ np.array(v[c * block:(c + 1) * block])
+        means = [np.mean([v[i] for i in drawn(b, n, seeds[g], block)]) for b in range(200)]
+        assert sums / n == pytest.approx(means)
+        if got is None:
+            continue
         assert got[g].n == n and got[g].mean == pytest.approx(np.mean(v))
         if n < 2:
             assert got[g].ci_low is None
-            continue
-        means = [np.mean([v[index(b, j, n, seeds[g])] for j in range(n)]) for b in range(200)]
-        assert (got[g].ci_low, got[g].ci_high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+        else:
+            assert (got[g].ci_low, got[g].ci_high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+
+
+def test_groups_of_many_blocks(spark):
+    """Three blocks: weights add up to the units, and the sums are those of the plain loop."""
+    n, v = 9000, np.random.default_rng(2).random(9000)
+    df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "g string, unit bigint, m double").repartition(5)
+    s = df.limit(1).select(resample.seed_column(4, F.col("g"))).first()[0]
+    got = {r._b: r for r in resample.resample(df, ["g"], "unit", ["m"], 1200, 4).collect()}
+    assert len(got) == 1200 and all(r.k_m == n for r in got.values())
+    ordered = [v[i] for i in sorted(range(n), key=lambda i: (i % 64, i))]
+    for b in (0, 7, 1199):
+        assert got[b].s_m == pytest.approx(sum(ordered[i] for i in drawn(b, n, s, 4096)))
+    assert np.std([r.s_m / n for r in got.values()]) == pytest.approx(v.std() / math.sqrt(n), rel=0.08)
+
+
+def test_halving_has_the_spread_of_a_binomial():
+    b = np.arange(20000)
+    parts = np.stack([resample.block_draws(b, 20000, 77, c) for c in range(5)])
+    assert (parts.sum(axis=0) == 20000).all()
+    sizes = np.array([4096] * 4 + [20000 - 4 * 4096])
+    assert parts.mean(axis=1) == pytest.approx(sizes, rel=0.002)
+    assert parts.std(axis=1) == pytest.approx(np.sqrt(sizes * (1 - sizes / 20000)), rel=0.03)
+    assert np.corrcoef(parts[0], parts[1])[0, 1] == pytest.approx(-4096 / (20000 - 4096), abs=0.03)
+
+
+def test_draws_are_even_and_independent():
+    w = resample.block_weights(np.arange(4000), 60, 9, 0)
+    expected = 4000
+    assert ((w.sum(axis=0) - expected) ** 2 / expected).sum() < 110  # chi-square of 59 degrees
+    assert w.var(axis=0).mean() == pytest.approx(59 / 60, rel=0.03)
+    assert abs(np.corrcoef(w[:-1, 3], w[1:, 3])[0, 1]) < 0.06 and abs(np.corrcoef(w[:, 3], w[:, 4])[0, 1] + 1 / 59) < 0.06
 
 
 def test_bootstrap_spread_is_that_of_the_mean(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=145)
     df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "g string, unit bigint, m double")
-    r = resample.resample(df, ["g"], "unit", {"mb": F.avg("m")}, 2000, 3).agg(F.stddev("mb"), F.avg("mb")).first()
+    r = resample.resample(df, ["g"], "unit", ["m"], 2000, 3).withColumn("mb", resample.mean_of("m")).agg(F.stddev("mb"), F.avg("mb")).first()
     assert r[0] == pytest.approx(v.std() / math.sqrt(145), rel=0.08)
     assert r[1] == pytest.approx(v.mean(), abs=0.02)
 
 
-def test_draws_cross_chunks(spark, monkeypatch):
-    monkeypatch.setattr(resample, "DRAW_CHUNK", 8)
-    g = spark.createDataFrame([(1, 37, 5)], "_g int, _n bigint, _seed bigint")
-    got = sorted(r._i for r in resample.draws(g, 3).where("_b = 2").collect())
-    assert got == sorted(index(2, j, 37, 5) for j in range(37))
+def test_missing_values_are_not_drawn_into_means(spark):
+    df = spark.createDataFrame([("a", i, float(i) if i % 2 else None) for i in range(50)], "g string, unit bigint, m double")
+    r = resample.resample(df, ["g"], "unit", ["m"], 50, 3).collect()
+    assert all(0 < x.k_m < 50 and 1 <= x.s_m / x.k_m <= 49 for x in r)
+    assert resample.resample(df.where("false"), ["g"], "unit", ["m"], 5, 3).count() == 0
 
 
 def test_holm_golden(spark):
