@@ -1,27 +1,32 @@
 """Longer conversations by splicing branches of other conversations into them.
 
-Targets are a short list (the first few conversations of each family); donors are
-all branches of all conversations.  Everything is long; only the ranked donor
-queue of a target is an array, and its size is bounded by the wanted length.
+Donors are all branches of all conversations; targets are any list of conversations.
+Both are packed into blocks, and a task scores one block of donors against one block
+of targets as a matrix product.  It returns, per target, counts of what it saw and, per
+branch size, the best donors that can still fit: the pairs themselves are never rows.
+Everything else is long; only the ranked donor queue of a target is an array, and its
+size is bounded by the wanted length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convgraph.functions.lineage import cut_lineage
 from convgraph.functions.splitwin import split_row_number
-from convgraph.functions.vectors import dot
 from convgraph.operators import graph
 from convgraph.operators.facts import first_per_group
 
 # Fixed value: turns a spliced history may have above the wanted length.
 SLACK = 6
-# The target list is broadcast; a longer one is refused.
-MAX_TARGETS = 10_000
+# Rows of a block of donors and of a block of targets; a pair of blocks is one step of a task.
+DONORS, TARGETS = 1024, 256
 
 
 def donor_pool(turns: DataFrame, edges: DataFrame, closed: DataFrame, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -35,11 +40,7 @@ def targets(turns: DataFrame, families: Sequence[str] | None, per_family: int) -
     q = turns.where("rev = 0").select("sid", "family", F.col("idx").alias("base_n"))
     if families is not None:
         q = q.where(F.col("family").isin(list(families)))
-    out = cut_lineage(first_per_group(q, "family", "sid", per_family))
-    n = out.count()
-    if n > MAX_TARGETS:
-        raise ValueError(f"{n} targets; splice at most {MAX_TARGETS} at a time")
-    return out
+    return cut_lineage(first_per_group(q, "family", "sid", per_family))
 
 
 def target_lengths(t: DataFrame, lengths: Sequence[int]) -> DataFrame:
@@ -50,28 +51,88 @@ def target_lengths(t: DataFrame, lengths: Sequence[int]) -> DataFrame:
         F.array(F.lit(int(max(lengths)))))).alias("length"))
 
 
-def rank_donors(t: DataFrame, query_vectors: DataFrame, donors: DataFrame, donor_vectors: DataFrame) -> DataFrame:
-    """Cosine of every donor of another conversation with every target's query.
-
-    query_vectors(sid, u), donor_vectors(sid, root, u), unit length.  The target
-    list is bounded, so each donor is scored in place.
+def _score(room: int):
+    """One block of donors against one of targets.  Returns per target a row of counts (sid null) and the rows of the best
+    donors by size: as many of a size as still fit, since of one size the better ranked are taken first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for donors, targets in zip(batch["donors"], batch["targets"]):
+                d, t = pd.DataFrame(list(donors)), pd.DataFrame(list(targets))
+                missing = np.array([x is None for x in d["u"]])
+                width = len(t["u"].iloc[0])
+                du = np.stack([np.full(width, np.nan) if x is None else x for x in d["u"]])
+                cosine = np.einsum("ij,kj->ki", du, np.stack(t["u"].to_list()))  # each pair by itself: equal vectors tie exactly
+                other = d["sid"].to_numpy()[None, :] != t["target"].to_numpy()[:, None]
+                having: dict[str, list[int]] = {}
+                for i, items in enumerate(d["items"]):
+                    for x in items if items is not None else ():
+                        having.setdefault(x, []).append(i)
+                clash = np.zeros(cosine.shape, dtype=bool)
+                for k, items in enumerate(t["items"]):
+                    for x in items if items is not None else ():
+                        clash[k, having.get(x, [])] = True
+                clash &= other
+                n = d["n_turns"].to_numpy()
+                out = []
+                for k, (target, base_n) in enumerate(zip(t["target"], t["base_n"])):
+                    seen, free = other[k] & ~missing, other[k] & ~missing & ~clash[k]
+                    out.append({"target": target, "base_n": base_n, "n_donors": int(seen.sum()), "sum_cosine": float(cosine[k, seen].sum()),
+                                "max_cosine": float(cosine[k, seen].max()) if seen.any() else None, "n_rejected": int(clash[k].sum()),
+                                "n_admissible": int(free.sum()), "turns_admissible": int(n[free].sum())})
+                    at = np.flatnonzero(free & (n <= room - base_n))
+                    at = at[np.lexsort((d["root"].to_numpy()[at], d["sid"].to_numpy()[at], -cosine[k, at], n[at]))]
+                    rank = pd.Series(n[at]).groupby(n[at]).cumcount().to_numpy() + 1
+                    for i in at[rank * n[at] <= room - base_n]:
+                        out.append({"target": target, "base_n": base_n, "sid": d["sid"].iat[i], "root": d["root"].iat[i], "branch": d["branch"].iat[i],
+                                    "n_turns": n[i], "cosine": float(cosine[k, i])})
+                cols = ["target", "base_n", "sid", "root", "branch", "n_turns", "cosine", "n_donors", "sum_cosine", "max_cosine", "n_rejected",
+                        "n_admissible", "turns_admissible"]
+                res = pd.DataFrame(out, columns=cols)
+                whole = [c for c in cols if c not in ("cosine", "sum_cosine", "max_cosine")]
+                yield res.astype({c: "Int64" for c in whole})
+
+    return run
+
+
+def score_donors(t: DataFrame, query_vectors: DataFrame, donors: DataFrame, donor_vectors: DataFrame, closed: DataFrame, members: DataFrame,
+                 items: DataFrame, lengths: Sequence[int], slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
+    """Every donor of another conversation against every target, in blocks: (best donors, reports per target).
+
+    query_vectors(sid, u) and donor_vectors(sid, root, u) are of unit length.  A donor that shares an item with the target's
+    gold turns or query is rejected.  Best donors: (target, base_n, sid, root, branch, n_turns, cosine), complete for the
+    choice by ``choose_donors`` at these lengths.  Reports: (target, n_donors, mean_cosine, best_cosine, n_rejected,
+    n_admissible, turns_admissible).
     """
-    tv = t.join(query_vectors, "sid").select(F.col("sid").alias("target"), "base_n", F.col("u").alias("_tu"))
-    d = donors.join(donor_vectors, ["sid", "root"])
-    return d.join(F.broadcast(tv), F.col("sid") != F.col("target")).select(
-        "target", "base_n", "sid", "root", "branch", "n_turns", dot(F.col("u"), F.col("_tu")).alias("cosine"))
-
-
-def rejected_donors(t: DataFrame, closed: DataFrame, members: DataFrame, items: DataFrame) -> DataFrame:
-    """Donors that share an item with a target's gold turns or query: (target, sid, root)."""
     gold = closed.select("sid", "idx").unionByName(t.select("sid", F.col("base_n").alias("idx")))
-    mine = gold.join(F.broadcast(t.select("sid")), "sid").join(items, ["sid", "idx"]).select(
-        F.col("sid").alias("target"), "item").distinct()
-    theirs = members.join(items, ["sid", "idx"]).select("sid", "root", "item").distinct()
-    return theirs.join(mine, "item").where(F.col("sid") != F.col("target")).select("target", "sid", "root").distinct()
-
-
-def choose_donors(ranked: DataFrame, rejected: DataFrame, lengths: Sequence[int], slack: int = SLACK) -> DataFrame:
+    mine = gold.join(t.select("sid"), "sid").join(items, ["sid", "idx"]).select("sid", "item").distinct()
+    mine = cut_lineage(mine)
+    theirs = members.join(items, ["sid", "idx"]).join(mine.select("item").distinct(), "item", "left_semi")
+    theirs = theirs.groupBy("sid", "root").agg(F.collect_set("item").alias("items"))
+    d = cut_lineage(donors.join(donor_vectors, ["sid", "root"], "left").join(theirs, ["sid", "root"], "left"))
+    n_chunks = max(1, math.ceil(d.count() / DONORS))
+    chunk = F.pmod(F.xxhash64("sid", "root"), F.lit(n_chunks)).alias("chunk")
+    chunks = d.groupBy(chunk).agg(F.collect_list(F.struct("sid", "root", "branch", "n_turns", "u", "items")).alias("donors"))
+    tv = t.join(query_vectors, "sid").join(mine.groupBy("sid").agg(F.collect_set("item").alias("items")), "sid", "left")
+    tv = cut_lineage(tv.select(F.col("sid").alias("target"), "base_n", "u", "items"))
+    n_blocks = max(1, math.ceil(tv.count() / TARGETS))
+    block = F.pmod(F.xxhash64("target"), F.lit(n_blocks)).alias("block")
+    blocks = cut_lineage(tv.groupBy(block).agg(F.collect_list(F.struct("target", "base_n", "u", "items")).alias("targets")))
+    # every pair of blocks meets once; blocks of targets are repeated over salts, so that no block is one task
+    salts = max(1, min(n_chunks, d.sparkSession.sparkContext.defaultParallelism))
+    left = chunks.select("donors", F.pmod("chunk", F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
+    right = blocks.select("block", "targets", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    schema = ("target bigint, base_n bigint, sid bigint, root bigint, branch bigint, n_turns bigint, cosine double, n_donors bigint, sum_cosine double, "
+              "max_cosine double, n_rejected bigint, n_admissible bigint, turns_admissible bigint")
+    scored = cut_lineage(left.join(right, ["block", "salt"]).select("donors", "targets").mapInPandas(_score(int(max(lengths)) + slack), schema))
+    best = scored.where("sid is not null").select("target", "base_n", "sid", "root", "branch", "n_turns", "cosine")
+    reports = scored.where("sid is null").groupBy("target").agg(
+        F.sum("n_donors").alias("n_donors"), F.try_divide(F.sum("sum_cosine"), F.sum("n_donors")).alias("mean_cosine"), F.max("max_cosine").alias("best_cosine"),
+        *[F.sum(c).alias(c) for c in ("n_rejected", "n_admissible", "turns_admissible")])
+    return best, reports
+
+
+def choose_donors(best: DataFrame, lengths: Sequence[int], slack: int = SLACK) -> DataFrame:
     """Greedy fill of each length in turn, skipping donors that would overshoot.
 
     (target, pick, length, sid, root, branch, n_turns, cosine): ``pick`` counts
@@ -80,10 +141,8 @@ def choose_donors(ranked: DataFrame, rejected: DataFrame, lengths: Sequence[int]
     them fit, so only those enter the queue.
     """
     room = int(max(lengths)) + slack
-    ok = ranked.join(rejected, ["target", "sid", "root"], "left_anti").where(F.col("base_n") + F.col("n_turns") <= room)
     w = Window.partitionBy("target", "n_turns").orderBy(F.desc("cosine"), "sid", "root")
-    ok = ok.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= room)
-    ok = ok.where(F.col("_rk") * F.col("n_turns") <= room - F.col("base_n"))
+    ok = best.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") * F.col("n_turns") <= room - F.col("base_n"))
     item = F.struct((-F.col("cosine")).alias("o"), "sid", "root", "branch", "n_turns", "cosine")
     q = ok.groupBy("target", "base_n").agg(F.sort_array(F.collect_list(item)).alias("_q"))
     pick_t = "array<struct<length:int,at:int>>"
@@ -116,7 +175,7 @@ def assign_slots(t: DataFrame, closed: DataFrame, picks: DataFrame, seed: int, m
     Slots are shuffled by a seeded hash and used round-robin; without gold turns
     they are the start and the end.
     """
-    gold = closed.join(F.broadcast(t.select("sid")), "sid").select("sid", (F.col("idx") + 1).alias("slot"))
+    gold = closed.join(t.select("sid"), "sid").select("sid", (F.col("idx") + 1).alias("slot"))
     none = t.join(gold.select("sid").distinct(), "sid", "left_anti").select("sid", F.col("base_n").alias("slot"))
     slots = gold.unionByName(none).unionByName(t.select("sid", F.lit(0).cast("bigint").alias("slot"))).distinct()
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sid").cast("string"), F.col("slot").cast("string")))
@@ -133,11 +192,11 @@ def interleave(turns: DataFrame, members: DataFrame, wanted: DataFrame, picks: D
     ``wanted(sid, base_n, length)``, ``picks`` with slots.
     """
     want = wanted.select(F.col("sid").alias("target"), F.col("length").alias("want"), "base_n")
-    base = turns.select("sid", "idx", "cost").join(F.broadcast(want), F.col("sid") == F.col("target")).select(
+    base = turns.select("sid", "idx", "cost").join(want, F.col("sid") == F.col("target")).select(
         "target", "want", F.col("idx").alias("_at"), F.lit(1).alias("_base"), F.lit(None).cast("int").alias("pick"), "sid", "idx", "cost")
     blocks = picks.join(want, "target").where(F.col("length") <= F.col("want")).select(
         "target", "want", F.col("slot").alias("_at"), "pick", "sid", "root")
-    donor = members.join(F.broadcast(blocks), ["sid", "root"]).join(turns.select("sid", "idx", "cost"), ["sid", "idx"]).select(
+    donor = members.join(blocks, ["sid", "root"]).join(turns.select("sid", "idx", "cost"), ["sid", "idx"]).select(
         "target", "want", "_at", F.lit(0).alias("_base"), "pick", "sid", "idx", "cost")
     rows = base.unionByName(donor).withColumnRenamed("want", "length")
     out = split_row_number(rows, ["target", "length"], F.floor(F.col("_at") / 256),
@@ -164,11 +223,11 @@ def remap_edges(spliced: DataFrame, edges: DataFrame) -> DataFrame:
                                         F.lit(0).alias("pos")))
 
 
-def sidecar(t: DataFrame, picks: DataFrame, rejected: DataFrame, wanted: DataFrame, spliced: DataFrame, longest: int) -> DataFrame:
+def sidecar(t: DataFrame, picks: DataFrame, reports: DataFrame, wanted: DataFrame, spliced: DataFrame, longest: int) -> DataFrame:
     """(sid, family, base_n, n_donors, donor_turns, mean_cosine, n_rejected, sufficient)."""
     p = picks.groupBy(F.col("target").alias("sid")).agg(
         F.count(F.lit(1)).alias("n_donors"), F.sum("n_turns").alias("donor_turns"), F.avg(F.round("cosine", 4)).alias("mean_cosine"))
-    r = rejected.groupBy(F.col("target").alias("sid")).agg(F.count(F.lit(1)).alias("n_rejected"))
+    r = reports.select(F.col("target").alias("sid"), "n_rejected")
     z = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return t.join(p, "sid", "left").join(r, "sid", "left").select(
         "sid", "family", "base_n", z("n_donors").alias("n_donors"), z("donor_turns").alias("donor_turns"), "mean_cosine",
@@ -216,7 +275,7 @@ def preflight(turns: DataFrame, closed: DataFrame, members: DataFrame, items: Da
         _in_order(both.where("_b is not null"), ["target"], "_a", "_b"), "target").select(
         "target", ((F.col("_miss") == 0) & F.col("ordered")).alias("shorter_inside"))
     gold = closed.unionByName(t.select("sid", F.col("base_n").alias("idx")))
-    mine = gold.join(F.broadcast(t.select("sid")), "sid").join(items, ["sid", "idx"]).select(F.col("sid").alias("target"), "item").distinct()
+    mine = gold.join(t.select("sid"), "sid").join(items, ["sid", "idx"]).select(F.col("sid").alias("target"), "item").distinct()
     clash = spliced.where("origin = 'donor'").join(items, ["sid", "idx"]).join(mine, ["target", "item"]).groupBy(*key).agg(
         F.count(F.lit(1)).alias("_clash"))
     total = spliced.where("rev > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("n_history"), F.sum("cost").alias("full_tokens"))

@@ -70,8 +70,8 @@ class Splice(NamedTuple):
     members: DataFrame
     donors: DataFrame
     targets: DataFrame
-    ranked: DataFrame
-    rejected: DataFrame
+    best: DataFrame
+    reports: DataFrame
 
 
 def prepare(spark, sf_dir) -> Splice:
@@ -81,14 +81,14 @@ def prepare(spark, sf_dir) -> Splice:
     v = inputs.vectors(spark, sf_dir).select("vec_id", unit(F.col("embedding")).alias("u"))
     roots = donors.select("sid", "root").join(t.select("sid", F.col("idx").alias("root"), "vec_id"), ["sid", "root"])
     dv = roots.join(v, "vec_id").select("sid", "root", "u")
-    qv = t.where("rev = 0").join(F.broadcast(tg.select("sid")), "sid").join(v, "vec_id").select("sid", "u")
+    qv = t.where("rev = 0").join(tg.select("sid"), "sid").join(v, "vec_id").select("sid", "u")
     it = inputs.items(t).where(F.col("item").startswith("k"))
-    ranked = splice.rank_donors(tg, qv, donors, dv)
-    return Splice(t, e, closed, it, members, donors, tg, ranked, cut_lineage(splice.rejected_donors(tg, closed, members, it)))
+    best, reports = splice.score_donors(tg, qv, donors, dv, closed, members, it, LENGTHS)
+    return Splice(t, e, closed, it, members, donors, tg, best, reports)
 
 
 def placed(s: Splice) -> DataFrame:
-    picks = splice.choose_donors(s.ranked, s.rejected, LENGTHS)
+    picks = splice.choose_donors(s.best, LENGTHS)
     return cut_lineage(splice.assign_slots(s.targets, s.closed, picks, SEED, max(LENGTHS) + splice.SLACK))
 
 
@@ -115,29 +115,27 @@ def x2_targets(spark, sf_dir):
 @query("x3_rank_donors", splice_sql("""
   SELECT target, count(*) AS n_donors, round(avg(cosine), 6) AS mean_cosine, round(max(cosine), 6) AS best_cosine FROM rank0 GROUP BY 1""", False))
 def x3_rank_donors(spark, sf_dir):
-    return prepare(spark, sf_dir).ranked.groupBy("target").agg(
-        F.count(F.lit(1)).alias("n_donors"), r6(F.avg("cosine"), "mean_cosine"), r6(F.max("cosine"), "best_cosine"))
+    return prepare(spark, sf_dir).reports.select("target", "n_donors", r6("mean_cosine"), r6("best_cosine"))
 
 
 @query("x4_rejected_donors", splice_sql("SELECT target, count(*) AS n_rejected FROM rej GROUP BY 1", False))
 def x4_rejected_donors(spark, sf_dir):
-    return prepare(spark, sf_dir).rejected.groupBy("target").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return prepare(spark, sf_dir).reports.where("n_rejected > 0").select("target", "n_rejected")
 
 
 @query("j8_theta_join", splice_sql("""
   SELECT r.target, count(*) AS n_admissible, CAST(sum(n_turns) AS BIGINT) AS n_turns FROM rank0 r
   WHERE NOT EXISTS (SELECT 1 FROM rej x WHERE x.target = r.target AND x.sid = r.sid AND x.root = r.root) GROUP BY 1""", False))
 def j8_theta_join(spark, sf_dir):
-    s = prepare(spark, sf_dir)
-    ok = s.ranked.join(s.rejected, ["target", "sid", "root"], "left_anti")
-    return ok.groupBy("target").agg(F.count(F.lit(1)).alias("n_admissible"), F.sum("n_turns").alias("n_turns"))
+    r = prepare(spark, sf_dir).reports.where("n_admissible > 0")
+    return r.select("target", "n_admissible", F.col("turns_admissible").alias("n_turns"))
 
 
 @query("x5_choose_donors", splice_sql("""
   SELECT target, pick, CAST(length AS BIGINT) AS length, sid, root, branch, n_turns, round(cosine, 6) AS cosine FROM pick"""))
 def x5_choose_donors(spark, sf_dir):
     s = prepare(spark, sf_dir)
-    p = splice.choose_donors(s.ranked, s.rejected, LENGTHS)
+    p = splice.choose_donors(s.best, LENGTHS)
     return p.select("target", big("pick"), big("length"), "sid", "root", "branch", "n_turns", r6("cosine"))
 
 
@@ -176,7 +174,7 @@ def x7_remapped_edges(spark, sf_dir):
 def x8_sidecar(spark, sf_dir):
     s = prepare(spark, sf_dir)
     p, sp = build(s)
-    c = splice.sidecar(s.targets, p, s.rejected, splice.target_lengths(s.targets, LENGTHS), sp, max(LENGTHS))
+    c = splice.sidecar(s.targets, p, s.reports, splice.target_lengths(s.targets, LENGTHS), sp, max(LENGTHS))
     return c.select("sid", "family", "base_n", "n_donors", "donor_turns", r6("mean_cosine"), "n_rejected", "sufficient")
 
 
@@ -198,6 +196,6 @@ def x9_preflight(spark, sf_dir):
 def x10_preflight_summary(spark, sf_dir):
     s = prepare(spark, sf_dir)
     p, sp = build(s)
-    cars = splice.sidecar(s.targets, p, s.rejected, splice.target_lengths(s.targets, LENGTHS), sp, max(LENGTHS))
+    cars = splice.sidecar(s.targets, p, s.reports, splice.target_lengths(s.targets, LENGTHS), sp, max(LENGTHS))
     checks = splice.preflight(s.turns, s.closed, s.members, s.items, s.targets, sp, splice.remap_edges(sp, s.edges), LENGTHS)
     return splice.preflight_summary(checks, cars)
