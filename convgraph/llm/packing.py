@@ -23,22 +23,24 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from convgraph.functions.lineage import cut_lineage
 from convgraph.llm.common import rank_in_class
 
-CACHE_WORDS = 300_000  # chunks kept per Python worker; beyond it a chunk is encoded each time
+BATCH_CHARS = 8_000_000  # characters encoded together, about; bounds a task's memory
 
 
 class ByteBpe:
     """Ids of a byte-level BPE file.
 
-    Chunks between single spaces are encoded once and kept, because no token of such a vocabulary crosses from one
-    chunk into the next.  Texts where that does not hold (adjacent white space) are encoded whole; texts with the
-    string of a special token go to the file's own library, as do all texts if the vocabulary's ids are not in the
-    order of its merges.
+    The distinct chunks between single spaces of many texts are encoded together, in one string, because no token of such
+    a vocabulary crosses from one chunk into the next; the texts' ids are then gathered from them.  Texts where that does
+    not hold (adjacent white space) are encoded whole; texts with the string of a special token go to the file's own
+    library, as do all texts if the vocabulary's ids are not in the order of its merges.
     """
 
     def __init__(self, path: str):
@@ -59,31 +61,60 @@ class ByteBpe:
         # the split of byte-level BPE files that name no pattern of their own (fixed value)
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self._fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._kept: dict[str, bytes] = {}
+        self._length = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+        for tok, i in ranks.items():
+            self._length[i] = len(tok)
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self._fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self._fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = self._kept.get(chunk)
-        if ids is None:
-            ids = self._whole(chunk)
-            if len(self._kept) < CACHE_WORDS:
-                self._kept[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of one text."""
         if not text:
-            return b""
+            return np.zeros(0, dtype="<u4")
         if not self.exact or (self._special and self._special.search(text)):
             if self._slow is None:
                 self._slow = self._load()
-            return np.asarray(self._slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if self._crowded.search(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        return b"".join([self._chunk(first), *[self._chunk(" " + c) for c in rest]])
+            return np.asarray(self._slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return self._ids(text)
+
+    def by_chunks(self, text: str) -> bool:
+        """Whether the text's ids are those of its chunks."""
+        return bool(text) and self.exact and not (self._special and self._special.search(text)) and not self._crowded.search(text)
+
+    def encode_together(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts for which ``by_chunks`` holds, each followed by ``end``, in one array; and the number of each."""
+        chunks: list[str] = []
+        ends = np.zeros(len(texts), dtype=np.int64)
+        for k, t in enumerate(texts):
+            chunks += t.split(" ")
+            chunks.append("")  # no chunk of such a text is empty: this one stands for the end
+            ends[k] = len(chunks)
+        code, distinct = pd.factorize(np.array(chunks, dtype=object))
+        blank = int(code[-1])
+        spaced = " " + " ".join([c for c in distinct if c])
+        ids = self._ids(spaced)
+        at = np.cumsum(self._length[ids]) - self._length[ids]  # first byte of each id
+        begins = np.flatnonzero(np.frombuffer(spaced.encode(), dtype=np.uint8) == 32)
+        start = np.insert(np.searchsorted(at, begins), blank, 0)
+        count = np.insert(np.diff(np.append(np.searchsorted(at, begins), len(ids))), blank, 1)
+        # the end, and the first chunks, which have no space before them
+        firsts, first_code = list(dict.fromkeys(t.partition(" ")[0] for t in texts)), {}
+        pool = [ids, np.array([end], dtype="<u4")]
+        start[blank] = len(ids)
+        size, starts, counts = len(ids) + 1, [], []
+        for c in firsts:
+            first_code[c] = len(distinct) + len(starts)
+            pool.append(self._ids(c))
+            starts.append(size)
+            counts.append(len(pool[-1]))
+            size += counts[-1]
+        start, count, ids = np.concatenate([start, starts]).astype(np.int64), np.concatenate([count, counts]).astype(np.int64), np.concatenate(pool)
+        begin = ends - np.diff(np.concatenate(([0], ends)))
+        code[begin] = [first_code[t.partition(" ")[0]] for t in texts]
+        n = count[code]
+        place = np.cumsum(n) - n
+        return ids[np.repeat(start[code] - place, n) + np.arange(int(n.sum()))], np.add.reduceat(n, begin)
 
 
 @functools.cache
@@ -109,20 +140,37 @@ def tokenizer(path: str) -> ByteBpe:
 def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", window: int = 1024, end_id: int = 0) -> DataFrame:
     """Rows (doc_id, start, length, doc_tokens, ids): the windows of each document's ids; ids as 32-bit little-endian binary."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, end = tokenizer(path), np.array([end_id], dtype="<u4").tobytes()
-        for pdf in batches:
-            rows: list[tuple] = []
-            for key, t in zip(pdf["doc_id"], pdf["text"]):
-                ids = (bpe.encode(t) if t else b"") + end
-                n = len(ids) // 4
-                key = None if pd.isna(key) else int(key)
-                rows += [(key, s, min(window, n - s), n, ids[4 * s:4 * (s + window)]) for s in range(0, n, window)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        cut, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "length", "doc_tokens")] + [T.StructField("ids", T.BinaryType())])
+
+    def windows(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """The pieces of documents whose ids follow each other; the ids' bytes are shared, not copied per piece."""
+        n = -(-counts // window)
+        row = np.repeat(np.arange(len(counts)), n)
+        start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * window
+        length = np.minimum(window, counts[row] - start)
+        cuts = np.concatenate(([0], np.cumsum(length * 4))).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(ids))])
+        cols = [doc_ids.take(pa.array(row)), pa.array(start), pa.array(length), pa.array(counts[row]), binary]
+        return pa.RecordBatch.from_arrays(cols, schema.names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, end = tokenizer(path), np.array([end_id], dtype="<u4")
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                together, apart, chars = [], [], 0
+                while at < len(texts) and chars < BATCH_CHARS:
+                    chars += len(texts[at] or "") + 1
+                    (together if texts[at] and bpe.by_chunks(texts[at]) else apart).append(at)
+                    at += 1
+                if together:
+                    yield windows(keys.take(pa.array(together)), *bpe.encode_together([texts[k] for k in together], end_id))
+                if apart:
+                    ids = [np.concatenate([bpe.encode(texts[k] or ""), end]) for k in apart]
+                    yield windows(keys.take(pa.array(apart)), np.concatenate(ids), np.array([len(x) for x in ids], dtype=np.int64))
+
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
 
 class CapacityTree:

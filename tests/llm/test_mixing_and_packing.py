@@ -100,7 +100,19 @@ def test_tokenizer_equals_the_library():
     parts = ["the", "Der", "ñandú", " ", "  ", "\n", "\r\n", "\t", "!!", "don't", "it's", "123", "é", "中文", "🙂", "<|endoftext|>", "\u00a0", "\u2003", "a_b", "'s", "\x1c", "\x85", "—", ""]
     for _ in range(1500):
         t = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12)))
-        assert np.frombuffer(bpe.encode(t), dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+        assert bpe.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    # many texts at once
+    texts = [t for t in ("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 12))) for _ in range(1500)) if bpe.by_chunks(t)]
+    ids, n = bpe.encode_together(texts, 7)
+    at = np.cumsum(n)
+    assert len(texts) > 200 and [x.tolist() for x in np.split(ids, at[:-1])] == [lib.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+
+
+def test_large_ids_beside_null_ids(spark):
+    ids = [2**53 + 1, None, -(2**62) - 1, 9007199254740995]
+    rows = [(i, "some text", "s") for i in ids] + [(2**53 + 1, "two  spaces", "s")]
+    got = packing.pack(docs(spark, rows).coalesce(1), packing.default_tokenizer()).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, (i for i, *_ in rows)))
 
 
 def test_pack_round_trip(spark):

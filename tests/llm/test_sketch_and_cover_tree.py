@@ -41,57 +41,59 @@ def test_small_tables(spark, tmp_path):
         check_edits(rows, queries.QUERIES["op8_sketch"](spark, str(p)).collect())
 
 
-def test_likeness_follows_true_containment(spark):
-    got = queries.QUERIES["op8_sketch"](spark, SF).collect()
+def values(fingerprint):
+    return {fingerprint[i:i + 6] for i in range(0, len(fingerprint), 6)}
+
+
+def alike(a, b):
+    return len(a & b) / min(len(a), len(b)) if a and b else float(a == b)
+
+
+def test_likeness_is_that_of_the_printed_fingerprints(spark):
+    got = {r.doc_id: r for r in queries.QUERIES["op8_sketch"](spark, SF).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    check_edits(list(texts.items()), got)
-    grams = lambda t: set(zip(*[t.lower().split()[i:] for i in range(5)]))
+    check_edits(list(texts.items()), got.values())
     order = sorted(texts, reverse=True)
-    off = []
-    for r in got:
-        t, nxt = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
-        half = len(t) // 2
-        a, b = grams(t), grams(t[:len(t) - half] + nxt[:half])
+    grams = lambda t: set(zip(*[t.lower().split()[i:] for i in range(5)]))
+    off, by_text = [], {}
+    for k, i in enumerate(order):
+        r, nxt = got[i], order[(k + 1) % len(order)]
+        assert r.near_edited == pytest.approx(alike(values(r.fingerprint), values(r.edited_fingerprint)), abs=0)
+        assert r.near_next == pytest.approx(alike(values(r.fingerprint), values(got[nxt].fingerprint)), abs=0)
+        assert len(values(r.fingerprint)) * 6 == len(r.fingerprint)
+        assert by_text.setdefault(texts[i], r.fingerprint) == r.fingerprint
+        t = texts[i]
+        a, b = grams(t), grams(t[:len(t) - len(t) // 2] + texts[nxt][:len(t) // 2])
         if min(len(a), len(b)) > 400:
             off.append(r.near_edited - len(a & b) / min(len(a), len(b)))
-            assert len(r.fingerprint) == len(set(r.fingerprint[i:i + 16] for i in range(0, len(r.fingerprint), 16))) * 16
-    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.09
-    by_text = {}
-    for r in got:
-        assert by_text.setdefault(texts[r.doc_id], r.fingerprint) == r.fingerprint and 0 <= r.near_next <= 1
+    assert abs(np.mean(off)) < 0.05 and np.std(off) < 0.1
+    assert sum(len(r.fingerprint) for r in got.values()) < 0.1 * sum(map(len, texts.values()))
 
 
 def test_merge_and_containment(spark):
-    words = [f"w{i}" for i in range(3000)]
-    df = spark.createDataFrame([(" ".join(words), " ".join(words[:300]), " ".join(words[2000:]))], "a string, b string, c string")
-    for c in "abc":
+    words = [f"w{i}" for i in range(6000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[:600]), " ".join(words[4000:]), "")], "a string, b string, c string, d string")
+    for c in "abcd":
         df = sketch.with_sketch(df, c, f"s{c}")
-    r = df.select(sketch.containment(F.col("sb"), F.col("sa")).alias("in_a"), sketch.containment(F.col("sa"), F.col("sb")).alias("a_in"),
-                  sketch.likeness(F.col("sb"), F.col("sc")).alias("bc"), (sketch.merge(F.col("sa"), F.col("sc")) == F.col("sa")).alias("sub")).first()
+    a, b, c, d = (F.col(f"s{x}") for x in "abcd")
+    r = df.select(sketch.containment(b, a).alias("in_a"), sketch.containment(a, b).alias("a_in"), sketch.likeness(b, c).alias("bc"), (sketch.merge(a, c) == a).alias("sub"),
+                  F.size(a).alias("n"), sketch.likeness(a, d).alias("ad"), sketch.likeness(d, d).alias("dd"), sketch.containment(d, a).alias("da")).first()
     assert r.in_a == 1.0 and abs(r.a_in - 0.1) < 0.06 and r.bc == 0.0 and r.sub
+    assert abs(r.n - 6000 / 12) < 90 and (r.ad, r.dd, r.da) == (0.0, 1.0, 0.0)
 
 
-def test_short_texts(spark, tmp_path):
+def test_short_texts_estimate_without_bias(spark):
+    """A twelfth of the shingles of a short text is few, but over many texts the shares add up, and nothing is null."""
     rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    grams = lambda t: {tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
-    long = [word() for _ in range(3000)]
-    texts = [" ".join(long[at:at + n]) for n in range(5, 41) for at in (7, 900)]
-    df = spark.createDataFrame([(i, t, " ".join(long)) for i, t in enumerate(texts)], "doc_id long, a string, b string")
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n)) for n in range(1, 41) for _ in range(12)]
+    df = spark.createDataFrame([(i, t, " ".join(texts[i % 7::7])) for i, t in enumerate(texts)], "doc_id long, a string, b string")
     for c in "ab":
         df = sketch.with_sketch(df, c, f"s{c}")
     a, b = F.col("sa"), F.col("sb")
-    got = df.orderBy("doc_id").select(sketch.containment(a, b).alias("inside"), sketch.likeness(a, b).alias("near"), (sketch.merge(a, b) == b).alias("sub"), sketch.containment(a, a).alias("own"),
-                                      F.size("sa").alias("n")).collect()
-    assert all(r.inside in (1.0, None) and r.near in (1.0, None) and r.sub and r.own == 1.0 for r in got)
-    assert all(r.inside == 1.0 for r in got if r.n >= 10) and [r.n for r in got] == [len(grams(t)) for t in texts]
-    rows = [(i, " ".join(long[i:i + rng.randint(0, 40)] if i % 2 else [word() for _ in range(rng.randint(1, 40))])) for i in range(200)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    near = lambda x, y: len(grams(x) & grams(y)) / min(len(grams(x)), len(grams(y))) if grams(x) and grams(y) else float(grams(x) == grams(y))
-    for r in queries.QUERIES["op8_sketch"](spark, str(tmp_path)).collect():
-        t, nxt = rows[r.doc_id][1], rows[(r.doc_id - 1) % 200][1]
-        half = len(t) // 2
-        assert abs(r.near_edited - near(t, t[:len(t) - half] + nxt[:half])) < 1e-9 and abs(r.near_next - near(t, nxt)) < 1e-9
+    got = df.select(sketch.containment(a, b).alias("inside"), sketch.likeness(a, b).alias("near"), F.size("sa").alias("n"), F.size(F.split("a", " ")).alias("words")).collect()
+    whole = [r for r in got if r.words >= 5]
+    assert all(r.inside == float(r.n > 0) == r.near for r in whole)
+    assert sum(r.n for r in whole) / sum(r.words - 4 for r in whole) == pytest.approx(1 / 12, rel=0.15)
 
 
 def brute(rows, cosine):
