@@ -14,7 +14,7 @@ shared buckets mask out, and equal keys are links.  A key has at most 65 fingerp
 
 Similar texts.  Five-word shingles at a resemblance of 0.8 move a 64-bit fingerprint by about ten bits, far beyond a
 radius that covering tables can afford (radius 14: 32,767 tables).  ``similar_documents`` therefore takes candidates
-from an exact rule on the shingle sets themselves (prefixes in the order of rarity) and verifies them by resemblance.
+from an exact rule on the shingle sets themselves (prefixes in one order of all shingles) and verifies them by resemblance.
 
 Defined cases: null text counts as empty; no words give fingerprint zero, linked like any other; fewer words than a
 shingle give one shingle of all words; equal texts always share a class; repeated ids are rows of their own class
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convgraph.functions.lineage import cut_lineage
+from convgraph.functions.lineage import cut_lineage, release
 from convgraph.llm.common import components
 
 BITS, SEED = 64, 42
@@ -116,63 +116,103 @@ def hex_print(fp: Column) -> Column:
 # --- similar texts ---------------------------------------------------------------------------------------------------
 
 PIVOTS = 4  # members of a posting that its others are compared with before the exact search
-HASHES_PER_RANGE = 1 << 16  # shingle hashes that are counted together, about
+HASHES_PER_RANGE = 1 << 16  # shingle hashes of prefixes that are grouped together, about
 SALTS = 8  # parts of a posting that the exact search joins in different tasks
 SLACK = 1e-9  # against rounding: bounds may let a pair through, the resemblance itself decides
+SAMPLED = 32  # one text in so many tells which shingles are frequent
+FREQUENT = 2048  # a shingle of one sampled text in so many, and of four at least, is frequent
 
 
-def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+def _frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """Hashes of frequent shingles, the less frequent first.
+
+    They only steer the order of shingles: any one order finds every pair, and one with frequent shingles last makes
+    short postings.  Their number is at most FREQUENT times the mean size of a text's set.
+    """
+    some = docs.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0).select("rid", "text")
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"rid": pdf["rid"], "grams": [np.unique(shingle_hashes(t, k)).astype(np.int64) for t in pdf["text"]]})
+            for t in pdf["text"]:
+                yield pd.DataFrame({"g": np.unique(shingle_hashes(t, k)).astype(np.int64)})
 
-    return docs.select("rid", "text").mapInPandas(make, "rid bigint, grams array<bigint>")
+    counted = some.mapInPandas(make, "g bigint").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    least = max(4, some.count() // FREQUENT)
+    rows = counted.where(F.col("df") >= least).orderBy("df", "g").toPandas()
+    return rows["g"].to_numpy(dtype=np.int64)
 
 
-def _shared_shingles(docs: DataFrame, k: int) -> DataFrame:
-    """(rid, g, df): shingles that more than one text has, with the number of texts; one row (rid, 0, -n) has the size of each set.
+def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(rid, same, n, grams, light): digest of the word sequence, size of the shingle set and the prefix that meets every
+    similar set: the first n - ceil(similarity * n) + 1 in the order (infrequent by hash, then frequent); ``light`` of them
+    are infrequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
 
-    Hashes are counted by ranges, so a frequent one is a few rows of an even range.
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = shared.value
+        by_hash = np.argsort(frequent)
+        known = frequent[by_hash]
+        for pdf in batches:
+            n, grams, light = [], [], []
+            for t in pdf["text"]:
+                g = np.unique(shingle_hashes(t, k)).astype(np.int64)
+                place = np.zeros(len(g), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                    place = np.where(known[at] == g, by_hash[at] + 1, 0)
+                m = len(g) - int(np.ceil(similarity * len(g) - SLACK)) + 1
+                order = np.lexsort((g, place))[:m]
+                n.append(len(g))
+                grams.append(g[order])
+                light.append(int((place[order] == 0).sum()))
+            yield pd.DataFrame({"rid": pdf["rid"], "same": pdf["same"], "n": n, "grams": grams, "light": light})
+
+    return docs.mapInPandas(make, "rid bigint, same binary, n int, grams array<bigint>, light int")
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """(g, rid, n, pos): members of the prefixes that more than one set may have.
+
+    Infrequent hashes travel as arrays by range of the hash and go on if two sets of their range have them; frequent ones,
+    of which there may be any number, are kept without being brought together.
     """
-    ranges = max(1, min(1 << 31, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // (6 * HASHES_PER_RANGE)))
+    total = prefixes.agg(F.sum(F.size("grams"))).first()[0] or 0
+    ranges = max(1, min(1 << 31, total // HASHES_PER_RANGE))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for start in range(0, len(whole), 1000):
                 pdf = whole.iloc[start:start + 1000]
-                sets = [np.unique(shingle_hashes(t, k)) for t in pdf["text"]]
-                rid, n = pdf["rid"].to_numpy(dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
-                g, r = np.concatenate(sets), np.repeat(rid, n)
-                at = (((g >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                size = np.array([len(x) for x in pdf["grams"]], dtype=np.int64)
+                if not size.sum():
+                    continue
+                g = np.concatenate(pdf["grams"].to_list()).astype(np.int64)
+                pos = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
+                at = (((g.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                at[pos >= np.repeat(pdf["light"].to_numpy(), size)] = -1 - int(pdf["rid"].iloc[0])  # a group of this batch alone
                 order = np.argsort(at, kind="stable")
                 used, first = np.unique(at[order], return_index=True)
-                out = {"at": [-1 - int(rid[0]) % ranges, *used], "rs": [rid, *np.split(r[order], first[1:])], "gs": [n, *np.split(g[order].astype(np.int64), first[1:])]}
-                yield pd.DataFrame({c: x[:len(used) + 1] for c, x in out.items()})
+                cols = {"rs": np.repeat(pdf["rid"].to_numpy(), size), "gs": g, "ns": np.repeat(pdf["n"].to_numpy(), size).astype(np.int32), "ps": pos.astype(np.int32)}
+                yield pd.DataFrame({"at": used} | {c: np.split(x[order], first[1:]) for c, x in cols.items()})
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, r = np.concatenate(pdf["gs"].to_list()), np.concatenate(pdf["rs"].to_list())
-        if pdf["at"].iloc[0] < 0:
-            return pd.DataFrame({"rid": r, "g": 0, "df": -g})
-        _, back, n = np.unique(g, return_inverse=True, return_counts=True)
-        df = n[back]
-        return pd.DataFrame({"rid": r[df > 1], "g": g[df > 1], "df": df[df > 1]})
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, rid, n, pos = (np.concatenate(pdf[c].to_list()) for c in ("gs", "rs", "ns", "ps"))
+        if pdf["at"].iloc[0] >= 0:
+            _, back, count = np.unique(g, return_inverse=True, return_counts=True)
+            keep = count[back] > 1
+            g, rid, n, pos = g[keep], rid[keep], n[keep], pos[keep]
+        return pd.DataFrame({"g": g, "rid": rid, "n": n, "pos": pos})
 
-    dealt = docs.select("rid", "text").mapInPandas(deal, "at bigint, rs array<bigint>, gs array<bigint>")
-    return dealt.groupBy("at").applyInPandas(count, "rid bigint, g bigint, df bigint")
+    dealt = prefixes.mapInPandas(deal, "at bigint, rs array<bigint>, gs array<bigint>, ns array<int>, ps array<int>")
+    return dealt.groupBy("at").applyInPandas(meet, "g bigint, rid bigint, n int, pos int")
 
 
-def _postings(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(g, rid, n, pos): the shared shingles of each set's prefix, in the order of rarity and then of the hash.
+def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"rid": pdf["rid"], "grams": [np.unique(shingle_hashes(t, k)).astype(np.int64) for t in pdf["text"]]})
 
-    Two sets of a resemblance of ``similarity`` have a common shingle among the first n - ceil(similarity * n) + 1 of
-    each, whatever the order; with the rare ones first, few sets meet there.
-    """
-    d = _shared_shingles(docs, k).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("c"))
-    d = d.select("rid", (-F.get("c", F.lit(0))["df"]).cast("int").alias("n"), F.expr("slice(c, 2, size(c))").alias("c"))
-    d = d.withColumn("own", F.col("n") - F.size("c"))  # shingles of this set alone come first and meet none
-    m = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(SLACK)).cast("int") + 1 - F.col("own")
-    d = d.withColumn("m", m).where("m > 0").select("rid", "n", "own", F.posexplode(F.slice("c", F.lit(1), F.col("m"))).alias("at", "x"))
-    return d.select(F.col("x.g").alias("g"), "rid", "n", (F.col("own") + F.col("at")).alias("pos"))
+    return docs.select("rid", "text").mapInPandas(make, "rid bigint, grams array<bigint>")
 
 
 def _may_be_alike(x: str, y: str, similarity: float) -> Column:
@@ -185,9 +225,12 @@ def _may_be_alike(x: str, y: str, similarity: float) -> Column:
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` (x, y: structs with rid) whose whole sets have the resemblance."""
     pairs = cut_lineage(pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
-    left, right = sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), sets.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
+    left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a")
+    right = sets.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    out = cut_lineage(left.join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    release(pairs)
+    return out
 
 
 def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -202,13 +245,18 @@ def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle:
     """
     words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase), r"[\x20\x09-\x0D]+", " "))
     d = docs.select(F.col(rid).alias("rid"), F.col(text).alias("text"), F.unhex(F.md5(words)).alias("same"))
-    exact = cut_lineage(d.select("rid", "same"))
+    prefixes = cut_lineage(_prefixes(d, shingle, similarity))  # texts are read here, and again only where sets are compared
+    exact = cut_lineage(prefixes.select("rid", "same"))
     heads = cut_lineage(exact.groupBy("same").agg(F.min("rid").alias("rid")))
-    rows = cut_lineage(_postings(d.join(heads.select("rid"), "rid", "left_semi"), shingle, similarity))
+    only = cut_lineage(heads.select("rid"))
+    rows = cut_lineage(_postings(prefixes.join(only, "rid", "left_semi")))
+    release(prefixes, only)
     pivots = F.array(*[F.min_by(F.struct("rid", "n", "pos"), F.xxhash64("rid", F.lit(k))) for k in range(PIVOTS)])
     busy = rows.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.array_distinct(pivots).alias("pivots")).where("members > 1")
-    rows = cut_lineage(rows.join(busy, "g"))
-    sets = cut_lineage(_shingle_sets(d.join(rows.select("rid").distinct(), "rid", "left_semi"), shingle))
+    met, rows = rows, cut_lineage(rows.join(busy, "g"))
+    release(met)
+    wanted = cut_lineage(rows.select("rid").distinct())  # ids alone: few enough to be broadcast unless most texts are alike
+    sets = cut_lineage(_shingle_sets(d.join(wanted, "rid", "left_semi"), shingle))
     member = F.struct("rid", "n", "pos")
     pairs = rows.select(member.alias("x"), F.explode("pivots").alias("y")).where("x.rid <> y.rid").where(_may_be_alike("x", "y", similarity))
     alike = _alike(pairs, sets, similarity)
@@ -222,6 +270,7 @@ def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle:
     minor = apart.where("not main").select("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("root").alias("other"), F.col("x").alias("y"))
     pairs = apart.join(minor, ["g", "salt"]).where("root <> other").where("main or x.rid < y.rid").where(_may_be_alike("x", "y", similarity))
     alike = alike.unionByName(_alike(pairs, sets, similarity))
+    release(sets, rows, placed, apart, wanted)
     # copies follow their head and take no part in the search for components, where a large group would be a hot node
     comp = components(alike)
     named = heads.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("same", F.coalesce("root", "rid").alias("root"))

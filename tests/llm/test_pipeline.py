@@ -74,3 +74,19 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
         got = pipe.run(spark, str(d)).collect()
         assert bool(got) == bool(r)
+
+
+def test_columns_of_any_name_pass_all_stages(spark, tmp_path):
+    names = ["_found", "_between", "_judged", "_toxic", "_rid", "findings", "rid", "row", "toxic", "same", "size", "rank", "copy", "a b.c"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, f"text of document number {i} with some words of its own {i * i}", "en", "web", 1, *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (name, stage) in enumerate(pipe.STAGES[:-1]):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        got = docs.collect()
+        assert got and all([r[n] for n in names] == [f"{n}{r.doc_id}" for n in names] for r in got), name
+    assert pipe.pack_sequences(spark, docs, str(tmp_path)).count() >= len(got)

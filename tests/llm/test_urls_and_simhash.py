@@ -150,3 +150,28 @@ def test_similar_documents_misses_no_pair(spark):
     want = {i: find(i) for i in range(len(texts))}
     assert {r.rid: r.root for r in simhash.similar_documents(df, rid="rid").collect()} == want
     assert simhash.similar_documents(df.limit(0), rid="rid").count() == 0
+
+
+def test_one_shingle_in_every_text(spark, monkeypatch):
+    """A line that all texts share is kept out of the ranges and decides nothing."""
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    monkeypatch.setattr(simhash, "HASHES_PER_RANGE", 8)
+    rng = random.Random(9)
+    line = "this very line stands at the end of all texts"
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(rng.randint(3, 30))) + " " + line for _ in range(60)]
+    texts += [t + " x" for t in texts[:20]] + texts[:5] + [line, line + " too", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {r.rid: r.root for r in simhash.similar_documents(df, rid="rid").collect()} == {i: find(i) for i in range(len(texts))}
