@@ -9,17 +9,15 @@ grows with the length of a conversation.
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convgraph.functions.lineage import cut_lineage
 
-# Conversations up to this many turns are folded as one array.  Longer ones are
-# cut into blocks of this size, which are contracted and solved in parallel.
-FOLD_LIMIT = 4096
+# Conversations are cut into blocks of so many turns, which are folded in parallel.
+BLOCK = 1024
+# Blocks of the contracted graph, which holds only turns touched by edges between blocks, are so many times as wide.
+WIDER = 16
 
 
 def query_turns(turns: DataFrame) -> DataFrame:
@@ -30,112 +28,68 @@ def primary_parent(edges: DataFrame) -> DataFrame:
     return edges.where("pos = 0").select("sid", "child", "parent")
 
 
-def _longest(turns: DataFrame) -> int:
-    top = turns.agg(F.max("idx")).first()[0]
-    return 0 if top is None else int(top) + 1
+def _bit(mask: Column, i: Column) -> Column:
+    return F.call_function("getbit", F.get(mask, F.shiftright(i, 6).cast("int")), i.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _fold_reach(edge_array: Column, start: Column) -> Column:
-    """Nodes reachable from ``start`` through edges sorted by child, latest first.
+def _with_bit(mask: Column, i: Column) -> Column:
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), i.bitwiseAND(F.lit(63)).cast("int"))
+    return F.transform(mask, lambda w, k: F.when(k == F.shiftright(i, 6), w.bitwiseOR(one)).otherwise(w))
 
-    A child is only reached from later turns, so one pass is enough.
-    """
-    return F.aggregate(
-        edge_array,
-        start,
-        lambda acc, e: F.when(F.array_contains(acc, e["child"]) & ~F.array_contains(acc, e["parent"]),
-                              F.array_append(acc, e["parent"])).otherwise(acc),
-    )
 
+def _mask(words: Column, places: Column) -> Column:
+    """A bit for each of ``places``, in words of 64."""
+    return F.aggregate(places, F.array_repeat(F.lit(0).cast("bigint"), words), _with_bit)
 
-def _closure_by_fold(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """starts(sid, node), edges(sid, child, parent) of small graphs -> (sid, idx)."""
-    per_sid = edges.groupBy("sid").agg(
-        F.sort_array(F.collect_list(F.struct("child", "parent")), asc=False).alias("_e"))
-    s = starts.groupBy("sid").agg(F.collect_set("node").alias("_s"))
-    return (
-        s.join(per_sid, "sid")
-        .select("sid", F.explode(F.array_except(_fold_reach(F.col("_e"), F.col("_s")), F.col("_s"))).alias("idx"))
-    )
 
+def _spread(steps: Column, mask: Column) -> Column:
+    """Adds to the bits of ``mask`` what can be reached from them.
+
+    ``steps`` are (child, parent) by child, latest first: a child is only reached
+    from later turns, so one pass is enough, and a step reads and sets one bit.
+    """
+    return F.aggregate(steps, mask, lambda acc, e: F.when(_bit(acc, e["c"]) & (e["p"] >= 0), _with_bit(acc, e["p"])).otherwise(acc))
+
+
+def _reach(starts: DataFrame, edges: DataFrame, block: int) -> DataFrame:
+    """Turns reachable from ``starts(sid, node)`` through ``edges(sid, child, parent)``, the starts included: (sid, idx).
 
-def _block_exits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one block: which outside parents each entry node leads to."""
-    reach: dict[int, set[int]] = {}
-    low = int(pdf["blk"].iloc[0]) * int(pdf["size"].iloc[0])
-    for child, grp in pdf.sort_values("child").groupby("child", sort=True):
-        out: set[int] = set()
-        for p in grp["parent"]:
-            p = int(p)
-            out |= reach.get(p, set()) if p >= low else {p}
-        reach[int(child)] = out
-    entries = pdf.loc[pdf["is_entry"], "child"].unique()
-    rows = [(pdf["sid"].iloc[0], int(c), int(p)) for c in entries for p in sorted(reach[int(c)])]
-    return pd.DataFrame(rows, columns=["sid", "child", "parent"])
-
-
-def _closure_by_blocks(starts: DataFrame, edges: DataFrame, size: int) -> DataFrame:
-    """Closure of graphs longer than ``size``.
-
-    Each block of ``size`` consecutive turns is replaced, in parallel, by direct
-    edges from its entry nodes to the parents outside it.  The contracted graph
-    holds only nodes touched by edges between blocks; it is solved by the same
-    method on wider blocks until no conversation spans more than one.  The nodes
-    reached there are then the start nodes of all blocks, again in parallel.
+    A block of turns is a row with its edges, and a set of its turns is a bit mask.  Where edges lead from block to
+    block, every block is first replaced by direct edges from the turns at which it is entered to the turns outside that
+    are reached from them; that smaller graph is solved in the same way on wider blocks, and the turns reached there are
+    the starts of all blocks.  So blocks are folded in parallel, once to contract and once to fill.
     """
-    blk = lambda c: F.floor(F.col(c) / F.lit(size)).cast("bigint")
-    e = cut_lineage(edges.select("sid", "child", "parent").withColumn("blk", blk("child")))
-    crossing = e.where(blk("parent") != F.col("blk")).select("sid", F.col("parent").alias("node"))
-    entry = cut_lineage(crossing.union(starts.select("sid", "node")).distinct())
-    marked = e.join(entry.withColumn("is_entry", F.lit(True)).withColumnRenamed("node", "child"),
-                    ["sid", "child"], "left").select(
-        "sid", "blk", "child", "parent", F.coalesce("is_entry", F.lit(False)).alias("is_entry"),
-        F.lit(size).cast("bigint").alias("size"))
-    contracted = cut_lineage(
-        marked.groupBy("sid", "blk").applyInPandas(
-            _block_exits, "sid bigint, child bigint, parent bigint"))
-    span = contracted.groupBy("sid").agg(F.max("child").alias("hi"), F.count(F.lit(1)).alias("n_edges"))
-    top = span.agg(F.max("n_edges"), F.max("hi")).first()
-    if top[0] is None:
-        reached_entries = starts.select("sid", F.col("node").alias("idx")).limit(0)
-    elif top[0] <= size * 4 or top[1] < size:
-        reached_entries = _closure_by_fold(starts, contracted)
-    else:
-        reached_entries = _closure_by_blocks(starts, contracted, size * 16)
-    live = cut_lineage(
-        reached_entries.select("sid", F.col("idx").alias("node"))
-        .union(starts.select("sid", "node")).distinct().withColumn("blk", blk("node")))
-    by_block = e.groupBy("sid", "blk").agg(
-        F.sort_array(F.collect_list(F.struct("child", "parent")), asc=False).alias("_e"))
-    seeds = live.groupBy("sid", "blk").agg(F.collect_set("node").alias("_s"))
-    inside = seeds.join(by_block, ["sid", "blk"]).select(
-        "sid", F.explode(_fold_reach(F.col("_e"), F.col("_s"))).alias("idx"))
-    return inside.join(starts.select("sid", F.col("node").alias("idx")), ["sid", "idx"], "left_anti").distinct()
-
-
-def closure(
-    turns: DataFrame,
-    edges: DataFrame,
-    primary_only: bool = False,
-    fold_limit: int = FOLD_LIMIT,
-    longest: int | None = None,
-) -> DataFrame:
+    blk = lambda c: F.floor(F.col(c) / block).cast("bigint").alias("blk")
+    here = lambda c: F.col(c) - F.floor(F.col(c) / block).cast("bigint") * block
+    e = cut_lineage(edges.select("sid", "child", "parent", blk("child")))
+    low = F.col("blk") * block
+    inner = e.groupBy("sid", "blk").agg(F.sort_array(F.collect_list(F.struct((F.col("child") - low).alias("c"), (F.col("parent") - low).alias("p"))), asc=False).alias("_e"))
+    crossing = e.where(F.col("parent") < low).select("sid", F.col("parent").alias("node"))
+    words = (F.shiftright(F.greatest(F.array_max("_s"), F.coalesce(F.get("_e", F.lit(0))["c"], F.lit(0))), 6) + 1).cast("int")
+    seeds = starts.select("sid", "node")
+    if not crossing.isEmpty():
+        entries = crossing.union(seeds).distinct().groupBy("sid", blk("node")).agg(F.collect_list(here("node")).alias("_s")).join(inner, ["sid", "blk"])
+        outside = lambda m: F.array_distinct(F.transform(F.filter("_e", lambda x: (x["p"] < 0) & _bit(m, x["c"])), lambda x: x["p"]))
+        one = entries.select("sid", "blk", "_e", words.alias("_w"), F.explode("_s").alias("_n"))
+        one = one.select("sid", "blk", "_n", "_e", _spread(F.col("_e"), _mask(F.col("_w"), F.array("_n"))).alias("_m"))
+        short = one.select("sid", "blk", "_n", F.explode(outside(F.col("_m"))).alias("_p"))
+        contracted = short.select("sid", (F.col("_n") + low).alias("child"), (F.col("_p") + low).alias("parent"))
+        seeds = _reach(starts, contracted, block * WIDER).select("sid", F.col("idx").alias("node"))
+    d = seeds.groupBy("sid", blk("node")).agg(F.collect_set(here("node")).alias("_s")).join(inner, ["sid", "blk"], "left")
+    full = _spread(F.coalesce("_e", F.array().cast("array<struct<c:bigint,p:bigint>>")), _mask(F.col("_w"), F.col("_s")))
+    d = d.withColumn("_w", words).select("sid", "blk", "_w", full.alias("_m"))
+    places = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("_w").cast("bigint") * 64 - 1), lambda i: _bit(F.col("_m"), i))
+    return d.select("sid", "blk", F.explode(places).alias("_i")).select("sid", (F.col("_i") + low).alias("idx"))
+
+
+def closure(turns: DataFrame, edges: DataFrame, primary_only: bool = False, block: int = BLOCK) -> DataFrame:
     """Ancestors of each query, the query excluded: (sid, idx).
 
-    ``primary_only`` follows only first parents.  ``longest`` saves the job that
-    looks for conversations above ``fold_limit``.
+    ``primary_only`` follows only first parents.  Conversations may be of any length.
     """
     e = (edges.where("pos = 0") if primary_only else edges).select("sid", "child", "parent")
     starts = query_turns(turns).select("sid", F.col("query_idx").alias("node"))
-    n = _longest(turns) if longest is None else longest
-    if n <= fold_limit:
-        return _closure_by_fold(starts, e)
-    small = starts.where(F.col("node") < fold_limit)
-    big = starts.where(F.col("node") >= fold_limit)
-    e_small = e.join(small.select("sid"), "sid", "left_semi")
-    e_big = e.join(F.broadcast(big.select("sid")) if big.count() <= 100_000 else big.select("sid"),
-                   "sid", "left_semi")
-    return _closure_by_fold(small, e_small).union(_closure_by_blocks(big, e_big, fold_limit))
+    return _reach(starts, e, block).join(starts.withColumnRenamed("node", "idx"), ["sid", "idx"], "left_anti")
 
 
 def active_branch(turns: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
@@ -161,36 +115,35 @@ def branch_heads(turns: DataFrame, edges: DataFrame) -> DataFrame:
     return turns.where("rev > 0").select("sid", "idx", "rev").join(used, ["sid", "idx"], "left_anti")
 
 
-def _roots_by_fold(links: DataFrame) -> DataFrame:
-    """links(sid, idx, up) -> (sid, idx, root); ``up`` is an earlier member or NULL."""
-    steps = links.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("idx", "up"))).alias("_t"))
-    start = F.array().cast("array<struct<idx:bigint,root:bigint>>")
+def _roots(links: DataFrame, block: int) -> DataFrame:
+    """links(sid, idx, up) -> (sid, idx, root); ``up`` is an earlier member or NULL.
+
+    Blocks of turns are folded in parallel: a member's root, or the turn outside the block that its chain leads to.
+    Those turns are then followed from block to block, twice as far in each round.
+    """
+    low = F.floor(F.col("idx") / block).cast("bigint") * block
+    rows = links.groupBy("sid", low.alias("_low")).agg(F.sort_array(F.collect_list(F.struct("idx", "up"))).alias("_t")).withColumn("_ids", F.col("_t.idx"))
 
     def step(acc: Column, t: Column) -> Column:
-        above = F.filter(acc, lambda m: m["idx"] == t["up"])
-        root = F.coalesce(F.get(above, F.lit(0))["root"], t["idx"])
-        return F.array_append(acc, F.struct(t["idx"].cast("bigint").alias("idx"),
-                                            root.cast("bigint").alias("root")))
-
-    return steps.select("sid", F.inline(F.aggregate("_t", start, step)))
-
-
-def _roots_by_doubling(links: DataFrame, longest: int) -> DataFrame:
-    """The same by pointer doubling: log2 of the longest chain rounds, spread by turn."""
-    ptr = cut_lineage(links.select("sid", "idx", F.coalesce("up", "idx").alias("root")))
-    for _ in range(max(1, math.ceil(math.log2(max(longest, 2))))):
-        nxt = ptr.select("sid", F.col("idx").alias("root"), F.col("root").alias("far"))
-        ptr = cut_lineage(ptr.join(nxt, ["sid", "root"]).select("sid", "idx", F.col("far").alias("root")))
-    return ptr
-
-
-def donor_branches(
-    turns: DataFrame,
-    edges: DataFrame,
-    gold: DataFrame,
-    fold_limit: int = FOLD_LIMIT,
-    longest: int | None = None,
-) -> DataFrame:
+        above = F.get(acc, (F.array_position(F.col("_ids"), t["up"]) - 1).cast("int"))
+        to = F.when(t["up"].isNull(), t["idx"]).when(t["up"] < F.col("_low"), -1 - t["up"]).otherwise(above)  # below zero: a turn outside
+        return F.array_append(acc, to)
+
+    to = F.aggregate("_t", F.array().cast("array<bigint>"), step)
+    local = cut_lineage(rows.select("sid", F.inline(F.arrays_zip(F.col("_ids").alias("idx"), to.alias("to")))).toDF("sid", "idx", "to"))
+    far = local.where("to < 0").select("sid", "idx", (-1 - F.col("to")).alias("node"))
+    if far.isEmpty():
+        return local.select("sid", "idx", F.col("to").alias("root"))
+    ptr = far.select("sid", "node").distinct().join(local.withColumnRenamed("idx", "node"), ["sid", "node"])
+    ptr = cut_lineage(ptr.select("sid", "node", "to"))
+    while not ptr.where("to < 0").isEmpty():
+        onward = ptr.select("sid", (-1 - F.col("node")).alias("to"), F.col("to").alias("_further"))
+        ptr = cut_lineage(ptr.join(onward, ["sid", "to"], "left").select("sid", "node", F.coalesce("_further", "to").alias("to")))
+    found = far.join(ptr, ["sid", "node"]).select("sid", "idx", F.col("to").alias("root"))
+    return local.where("to >= 0").select("sid", "idx", F.col("to").alias("root")).unionByName(found)
+
+
+def donor_branches(turns: DataFrame, edges: DataFrame, gold: DataFrame, block: int = BLOCK) -> DataFrame:
     """Non-gold history turns grouped by membership of their primary parent.
 
     (sid, idx, root): ``root`` is the first turn of the branch; branch numbers in
@@ -200,10 +153,7 @@ def donor_branches(
     up = primary_parent(edges).select("sid", F.col("child").alias("idx"), F.col("parent").alias("up"))
     linked = members.join(up, ["sid", "idx"], "left")
     kept = members.select("sid", F.col("idx").alias("up"), F.lit(True).alias("_in"))
-    links = linked.join(kept, ["sid", "up"], "left").select(
-        "sid", "idx", F.when(F.col("_in"), F.col("up")).alias("up"))
-    n = _longest(turns) if longest is None else longest
-    return _roots_by_fold(links) if n <= fold_limit else _roots_by_doubling(links, n)
+    return _roots(linked.join(kept, ["sid", "up"], "left").select("sid", "idx", F.when(F.col("_in"), F.col("up")).alias("up")), block)
 
 
 def branch_numbers(branches: DataFrame) -> DataFrame:
@@ -224,7 +174,7 @@ def is_subsequence(a: Column, b: Column) -> Column:
     return walked == n
 
 
-def follows_pattern(turns: DataFrame, value: str, pattern: list[str], out: str, block: int = FOLD_LIMIT) -> DataFrame:
+def follows_pattern(turns: DataFrame, value: str, pattern: list[str], out: str, block: int = 4 * BLOCK) -> DataFrame:
     """Whether ``pattern`` is a subsequence of each conversation's ``value``s: (sid, out).
 
     The walk through one block of turns maps "matched so far" to "matched after",
@@ -248,7 +198,7 @@ def in_order(closed: DataFrame) -> DataFrame:
     """Chronological ordinal of each closure turn: (sid, idx, ord)."""
     from convgraph.functions.splitwin import split_row_number
 
-    return split_row_number(closed.select("sid", "idx"), ["sid"], F.floor(F.col("idx") / FOLD_LIMIT),
+    return split_row_number(closed.select("sid", "idx"), ["sid"], F.floor(F.col("idx") / (4 * BLOCK)),
                             [F.col("idx")], "ord")
 
 

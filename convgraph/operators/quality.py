@@ -146,7 +146,7 @@ def _checklist_rules(c: Corpus) -> DataFrame:
     return one.unionByName(short)
 
 
-def closure_rules(c: Corpus, clean: DataFrame, longest: int | None = None) -> DataFrame:
+def closure_rules(c: Corpus, clean: DataFrame) -> DataFrame:
     """V19 and V20 on conversations without an error so far (``clean(sid)``)."""
     t = c.turns.join(clean, "sid", "left_semi")
     size = t.groupBy("sid").agg(F.max("pos").alias("_last"))
@@ -156,7 +156,7 @@ def closure_rules(c: Corpus, clean: DataFrame, longest: int | None = None) -> Da
     at = lambda name: idx.select("sid", F.col("turn_id").alias(name), F.col("idx").alias(f"_{name}"))
     edges = c.parents.join(at("turn_id"), ["sid", "turn_id"]).join(at("parent_id"), ["sid", "parent_id"]).select(
         "sid", F.col("_turn_id").alias("child"), F.col("_parent_id").alias("parent"), "pos")
-    closed = cut_lineage(graph.closure(idx, edges, longest=longest))
+    closed = cut_lineage(graph.closure(idx, edges))
     names = closed.join(idx.select("sid", "idx", "turn_id"), ["sid", "idx"]).select("sid", "turn_id", F.lit(1).alias("_c"))
     ev = c.marks.where("kind = 'evidence'").join(clean, "sid", "left_semi").select("sid", "turn_id", F.lit(1).alias("_e")).distinct()
     differ = names.join(ev, ["sid", "turn_id"], "full").where("_c is null or _e is null").select("sid").distinct()
@@ -167,12 +167,12 @@ def closure_rules(c: Corpus, clean: DataFrame, longest: int | None = None) -> Da
     return mismatch.unionByName(_rows(stale.join(names, ["sid", "turn_id"], "left_anti"), "V20 superseder outside the closure"))
 
 
-def violations(c: Corpus, longest: int | None = None) -> DataFrame:
+def violations(c: Corpus) -> DataFrame:
     # the hits are few and feed both the result and the choice of clean conversations
     first = cut_lineage(_scenario_rules(c).unionByName(_turn_rules(c)).unionByName(_reference_rules(c)))
     bad = first.where("severity = 'error'").select("sid").distinct()
     clean = cut_lineage(c.scenarios.select("sid").join(bad, "sid", "left_anti"))
-    rows = first.unionByName(closure_rules(c, clean, longest)).unionByName(_checklist_rules(c))
+    rows = first.unionByName(closure_rules(c, clean)).unionByName(_checklist_rules(c))
     return rows.groupBy("sid", "rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 

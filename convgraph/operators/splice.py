@@ -29,9 +29,9 @@ SLACK = 6
 DONORS, TARGETS = 1024, 256
 
 
-def donor_pool(turns: DataFrame, edges: DataFrame, closed: DataFrame, longest: int | None = None) -> tuple[DataFrame, DataFrame]:
+def donor_pool(turns: DataFrame, edges: DataFrame, closed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (sid, idx, root) and donors (sid, root, branch, n_turns) of all conversations."""
-    members = cut_lineage(graph.donor_branches(turns, edges, closed, longest=longest))
+    members = cut_lineage(graph.donor_branches(turns, edges, closed))
     return members, graph.branch_numbers(members)
 
 

@@ -82,7 +82,7 @@ class Pool(NamedTuple):
 
 
 def build(spark, sf_dir) -> Pool:
-    t, e, closed, _ = conversation_graph(spark, sf_dir)
+    t, e, closed = conversation_graph(spark, sf_dir)
     cos = select.similarity(t, inputs.vectors(spark, sf_dir), digits=4)
     return Pool(t, e, closed, cut_lineage(candidates.candidate_pool(t, e, cut_lineage(cos), inputs.items(t))))
 

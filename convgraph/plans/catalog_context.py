@@ -54,9 +54,9 @@ def with_selection(body: str) -> str:
 
 
 def selections_and_metrics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t, e, closed, longest = conversation_graph(spark, sf_dir)
+    t, e, closed = conversation_graph(spark, sf_dir)
     cos = select.similarity(t, inputs.vectors(spark, sf_dir), carry=("cost",))
-    sel = select.select_context(t, e, METHODS, cosine=cos, longest=longest)
+    sel = select.select_context(t, e, METHODS, cosine=cos)
     flagged = metrics.flag_evidence(t, inputs.evidence(closed))
     plan = metrics.instances(t, [(m.name, m.budget) for m in METHODS])
     return t, sel, metrics.selection_metrics(flagged, sel, plan)
@@ -163,8 +163,29 @@ BRANCH_SQL = """
 @query("g6_donor_branches", with_views("turns edges clo", f""",{BRANCH_SQL}
   SELECT sid, root, branch, n_turns FROM bnum"""))
 def g6_donor_branches(spark, sf_dir):
-    t, e, closed, longest = conversation_graph(spark, sf_dir)
-    return graph.branch_numbers(graph.donor_branches(t, e, closed, longest=longest))
+    t, e, closed = conversation_graph(spark, sf_dir)
+    return graph.branch_numbers(graph.donor_branches(t, e, closed))
+
+
+ONE_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT 0::BIGINT AS sid, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, count(*) OVER () - row_number() OVER (ORDER BY ts, event_id) AS rev, user_id AS u FROM events),
+edges AS (SELECT * FROM (
+  SELECT sid, idx AS child, 0 AS pos, idx - 1 - u % 3 AS parent FROM turns UNION ALL SELECT sid, idx, 1, idx // 2 FROM turns WHERE u % 40 = 0) x WHERE parent >= 0),
+clo_all AS (SELECT sid, idx FROM turns WHERE rev = 0 UNION SELECT e.sid, e.parent FROM clo_all c JOIN edges e ON e.child = c.idx),
+clo AS (SELECT c.sid, c.idx FROM clo_all c JOIN turns t ON t.idx = c.idx WHERE t.rev > 0)"""
+
+
+@query("g1_long", ONE_SQL + " SELECT sid, idx FROM clo")
+def g1_long(spark, sf_dir):
+    return graph.closure(*inputs.one_conversation(spark, sf_dir))
+
+
+@query("g6_long", f"""{ONE_SQL},{BRANCH_SQL}
+  SELECT sid, root, branch, n_turns FROM bnum""")
+def g6_long(spark, sf_dir):
+    t, e = inputs.one_conversation(spark, sf_dir)
+    return graph.branch_numbers(graph.donor_branches(t, e, cut_lineage(graph.closure(t, e))))
 
 
 @query("g7_subsequence", with_views("turns", """,
@@ -183,7 +204,7 @@ def g7_subsequence(spark, sf_dir):
          round(count(c.idx)::DOUBLE / count(*) FILTER (WHERE t.rev > 0), 6) AS closure_ratio
   FROM turns t LEFT JOIN clo c ON c.sid = t.sid AND c.idx = t.idx GROUP BY t.sid"""))
 def g8_closure_ratio(spark, sf_dir):
-    t, _, closed, _ = conversation_graph(spark, sf_dir)
+    t, _, closed = conversation_graph(spark, sf_dir)
     return graph.closure_ratio(t, closed).select("sid", "n_closure", big("n_history"), r6("closure_ratio"))
 
 
@@ -257,7 +278,7 @@ def c6_oracle_dag(spark, sf_dir):
 
 @query("c8_matched_retrieval", with_views("mretr", _PER_SID_SQL.format(b="budget", t="mretr")))
 def c8_matched_retrieval(spark, sf_dir):
-    t, _, closed, _ = conversation_graph(spark, sf_dir)
+    t, _, closed = conversation_graph(spark, sf_dir)
     cos = select.similarity(t, inputs.vectors(spark, sf_dir), carry=("cost",))
     return _per_sid(select.matched_retrieval(t, cos, closed))
 

@@ -81,7 +81,7 @@ def p6_plan_candidates(spark, sf_dir):
                                WHEN label = 'semantic_retrieval@1024' THEN 1024 END AS BIGINT) AS budget
   FROM m CROSS JOIN (VALUES ('full_history'), ('oracle_dag'), ('semantic_retrieval@matched'), ('semantic_retrieval@1024')) a(label)"""))
 def p7_matched_arms(spark, sf_dir):
-    t, _, closed, _ = conversation_graph(spark, sf_dir)
+    t, _, closed = conversation_graph(spark, sf_dir)
     cost = select.from_closure(t, closed, "oracle_dag").groupBy("sid").agg(F.sum("cost").alias("c"))
     m = t.where("rev = 0").select("sid").join(cost, "sid", "left").select("sid", F.coalesce("c", F.lit(0)).alias("matched_budget"))
     return facts.matched_arms(m, 1024)

@@ -16,9 +16,9 @@ SHORT = "the answer must not guess"
 LONG = "the answer names the agreed plan and date"
 
 
-def corpus(spark, sf_dir) -> tuple[Corpus, int]:
+def corpus(spark, sf_dir) -> Corpus:
     """Conversations as scenarios; the residue of sid by 26 decides which defect is planted."""
-    t, e, closed, longest = conversation_graph(spark, sf_dir)
+    t, e, closed = conversation_graph(spark, sf_dir)
     r, i = F.col("sid") % 26, F.col("idx")
     tid = lambda c: F.concat(F.lit("t"), c.cast("string"))
     is_q = F.col("rev") == 0
@@ -53,7 +53,7 @@ def corpus(spark, sf_dir) -> tuple[Corpus, int]:
     check = last.select("sid", "r", F.explode(F.sequence(F.lit(1), n_items)).alias("k")).select(
         "sid", F.when((F.col("r") == 22) & (F.col("k") == 3), "c2").otherwise(F.concat(F.lit("c"), F.col("k").cast("string"))).alias("item_id"),
         F.when((F.col("k") == 2) & (F.col("r") != 24), SHORT).otherwise(LONG).alias("criterion"), (F.col("r") != 23).alias("required"))
-    return Corpus(scen, turns, par, marks.unionByName(extra), check), longest
+    return Corpus(scen, turns, par, marks.unionByName(extra), check)
 
 
 VIEWS["qt"] = f"""
@@ -123,8 +123,8 @@ NEEDS.update({"qt": ("turns",), "qp": ("edges",), "qm": ("flagged",), "qs": ("tu
 
 @query("v1_v25_violations", with_views("qall", "SELECT sid, rule, severity, count(*) AS n FROM qall GROUP BY 1, 2, 3"))
 def v1_v25_violations(spark, sf_dir):
-    c, longest = corpus(spark, sf_dir)
-    return quality.violations(c, longest)
+    c = corpus(spark, sf_dir)
+    return quality.violations(c)
 
 
 @query("v26_corpus_report", with_views("qall", """
@@ -134,15 +134,15 @@ def v1_v25_violations(spark, sf_dir):
          coalesce(any_value(d), 0) AS n_distractors, coalesce(any_value(ne), 0) AS n_errors, coalesce(any_value(nw), 0) AS n_warnings
   FROM qt t LEFT JOIN m ON m.sid = t.sid LEFT JOIN v ON v.sid = t.sid GROUP BY t.sid"""))
 def v26_corpus_report(spark, sf_dir):
-    c, longest = corpus(spark, sf_dir)
-    return quality.report(c, quality.violations(c, longest))
+    c = corpus(spark, sf_dir)
+    return quality.report(c, quality.violations(c))
 
 
 @query("v26_admitted", with_views("qall", """
   SELECT family, count(*) AS n FROM qs WHERE sid NOT IN (SELECT sid FROM qall WHERE severity = 'error') GROUP BY 1"""))
 def v26_admitted(spark, sf_dir):
-    c, longest = corpus(spark, sf_dir)
-    return quality.admitted(c, quality.violations(c, longest)).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    c = corpus(spark, sf_dir)
+    return quality.admitted(c, quality.violations(c)).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
 TARGETS = {f: 12 for f in FAMILIES} | {"absent": 3}
@@ -178,7 +178,7 @@ NEEDS.update({"lt": ("flagged",), "lreg": ("turns",), "leff": ("lreg", "lt", "ev
 def long_corpus(spark, sf_dir):
     from convgraph.operators.metrics import flag_evidence
 
-    t, e, closed, longest = conversation_graph(spark, sf_dir)
+    t, e, closed = conversation_graph(spark, sf_dir)
     f = flag_evidence(t, inputs.evidence(closed))
     eid = F.col("event_id")
     word = F.concat(F.lit("word"), (eid % 10).cast("string"), F.lit(" "))
@@ -191,7 +191,7 @@ def long_corpus(spark, sf_dir):
     names = F.array(F.lit("click"), F.lit("View"), F.concat(F.lit("k"), (s % 100).cast("string")),
                     F.concat(F.lit("Word"), (s % 10).cast("string")), F.lit("Purchase"), F.when(s % 2 == 0, F.lit("error")))
     reg = t.where("rev = 0").select("sid", F.explode(F.filter(names, lambda x: x.isNotNull())).alias("name"))
-    return cut_lineage(turns), reg, e, closed, longest
+    return cut_lineage(turns), reg, e, closed
 
 
 @query("q1_thin_turns", with_views("lt", """
@@ -233,8 +233,8 @@ def _branch_sql() -> str:
 def q4_branch_entities(spark, sf_dir):
     from convgraph.operators.graph import donor_branches
 
-    t, reg, e, closed, longest = long_corpus(spark, sf_dir)
-    b = donor_branches(t, e, closed, longest=longest)
+    t, reg, e, closed = long_corpus(spark, sf_dir)
+    b = donor_branches(t, e, closed)
     return longrules.branch_entities(t, b, longrules.effective_registry(t, reg), 2)
 
 

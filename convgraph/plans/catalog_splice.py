@@ -75,8 +75,8 @@ class Splice(NamedTuple):
 
 
 def prepare(spark, sf_dir) -> Splice:
-    t, e, closed, longest = conversation_graph(spark, sf_dir)
-    members, donors = splice.donor_pool(t, e, closed, longest)
+    t, e, closed = conversation_graph(spark, sf_dir)
+    members, donors = splice.donor_pool(t, e, closed)
     tg = splice.targets(t, None, PER_FAMILY)
     v = inputs.vectors(spark, sf_dir).select("vec_id", unit(F.col("embedding")).alias("u"))
     roots = donors.select("sid", "root").join(t.select("sid", F.col("idx").alias("root"), "vec_id"), ["sid", "root"])
@@ -100,8 +100,8 @@ def build(s: Splice) -> tuple[DataFrame, DataFrame]:
 
 @query("x1_donor_pool", splice_sql("SELECT count(*) AS n_donors, CAST(sum(n_turns) AS BIGINT) AS n_turns, count(DISTINCT sid) AS n_sids, max(n_turns) AS longest FROM bnum", False))
 def x1_donor_pool(spark, sf_dir):
-    t, e, closed, longest = conversation_graph(spark, sf_dir)
-    _, donors = splice.donor_pool(t, e, closed, longest)
+    t, e, closed = conversation_graph(spark, sf_dir)
+    _, donors = splice.donor_pool(t, e, closed)
     return donors.agg(F.count(F.lit(1)).alias("n_donors"), F.sum("n_turns").alias("n_turns"), F.count_distinct("sid").alias("n_sids"),
                       F.max("n_turns").alias("longest"))
 

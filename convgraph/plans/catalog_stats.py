@@ -191,35 +191,35 @@ def r7_pooled_guard(spark, sf_dir):
 
 @query("r8_per_family", with_views("facts", "," + compare_sql("none", N_BOOT_FAMILY, "family") + """
   SELECT model, family, a, b, n, round(round(q_diff, 9), 6) AS q_diff, round(round(q_lo, 9), 6) AS q_ci_low, round(round(q_hi, 9), 6) AS q_ci_high,
-         abs(q_diff) <= 0.075 AS within_noise_floor FROM cmpres"""))
+         round(abs(q_diff), 9) <= 0.075 AS within_noise_floor FROM cmpres"""))
 def r8_per_family(spark, sf_dir):
     c = _comparisons(spark, sf_dir, "none", N_BOOT_FAMILY, ("family",))
     return c.select("model", "family", "a", "b", "n", *[r96(x) for x in _Q[:3]],
-                    (F.abs("q_diff") <= 0.075).alias("within_noise_floor"))
+                    (F.round(F.abs("q_diff"), 9) <= 0.075).alias("within_noise_floor"))
 
 
 @query("p27_comparison_flags", with_views("facts", "," + compare_sql("common") + """
   SELECT model, a, b, CASE WHEN model = 'pooled' THEN 'pooled' ELSE 'reference_vs_baseline' END AS direction,
-         a = 'oracle_dag' AND model IN ('F', 'O') AS confirmatory, abs(q_diff) <= 0.075 AS within_noise_floor FROM cmpres"""))
+         a = 'oracle_dag' AND model IN ('F', 'O') AS confirmatory, round(abs(q_diff), 9) <= 0.075 AS within_noise_floor FROM cmpres"""))
 def p27_comparison_flags(spark, sf_dir):
     c = _comparisons(spark, sf_dir)
     return c.select("model", "a", "b", F.when(F.col("model") == "pooled", "pooled").otherwise("reference_vs_baseline").alias("direction"),
                     ((F.col("a") == "oracle_dag") & F.col("model").isin("F", "O")).alias("confirmatory"),
-                    (F.abs("q_diff") <= 0.075).alias("within_noise_floor"))
+                    (F.round(F.abs("q_diff"), 9) <= 0.075).alias("within_noise_floor"))
 
 
 @query("a24_judges_agree", with_views("facts", "," + compare_sql("none") + """
   , alt AS (SELECT x.model_key AS model, c.a, c.b, avg(x.checklist_score_alt - y.checklist_score_alt) AS d FROM cmp c
      JOIN facts x ON x.method_label = c.a JOIN facts y ON y.method_label = c.b AND y.scenario_id = x.scenario_id AND y.model_key = x.model_key
      WHERE x.checklist_score_alt IS NOT NULL AND y.checklist_score_alt IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 5)
-  SELECT count(*) AS n, count(*) FILTER (WHERE (r.q_diff >= -0.03) = (alt.d >= -0.03)) AS n_agree
+  SELECT count(*) AS n, count(*) FILTER (WHERE (round(r.q_diff, 9) >= -0.03) = (round(alt.d, 9) >= -0.03)) AS n_agree
   FROM cmpres r JOIN alt USING (model, a, b)"""))
 def a24_judges_agree(spark, sf_dir):
     f = facts_table(spark, sf_dir)
     on = ["model", "a", "b"]
     one = lambda m, n: resample.paired_values(f, COMPARISONS, metric=m, pooled="none").groupBy(*on).agg(F.avg("d").alias(n))
     j = one("checklist_score", "x").join(one("checklist_score_alt", "y"), on)
-    return j.agg(COUNT(), F.count_if((F.col("x") >= MARGIN) == (F.col("y") >= MARGIN)).alias("n_agree"))
+    return j.agg(COUNT(), F.count_if((F.round("x", 9) >= MARGIN) == (F.round("y", 9) >= MARGIN)).alias("n_agree"))
 
 
 R93 = "round(round({}, 9), 3) + 0.0"  # both engines print the same three decimals

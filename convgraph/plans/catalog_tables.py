@@ -168,7 +168,7 @@ def attempts(spark, sf_dir):
 def a17_validation_by_family(spark, sf_dir):
     from convgraph.operators.graph import closure_ratio
 
-    t, _, closed, _ = conversation_graph(spark, sf_dir)
+    t, _, closed = conversation_graph(spark, sf_dir)
     per = t.where("rev > 0").groupBy("sid").agg(F.first("family").alias("family"), F.sum("cost").alias("tokens"))
     first = facts.first_by_key(attempts(spark, sf_dir), ["scenario_id"], ["attempt"]).select(
         F.col("scenario_id").alias("sid"), "pass")
@@ -299,11 +299,11 @@ def c11_dry_run(spark, sf_dir):
     from convgraph.operators.select import Method
     from convgraph.operators.spend import dry_run
 
-    t, e, closed, longest = conversation_graph(spark, sf_dir)
+    t, e, closed = conversation_graph(spark, sf_dir)
     cos = select.similarity(t, inputs.vectors(spark, sf_dir), carry=("cost",))
     methods = [Method("full_history"), *[Method(m, b) for m in ("rolling_summary", "semantic_retrieval") for b in inputs.BUDGETS],
                Method("oracle_dag")]
-    sel = select.select_context(t, e, methods, cosine=cos, longest=longest)
+    sel = select.select_context(t, e, methods, cosine=cos)
     plan = instances(t, [(m.name, m.budget) for m in methods])
     out = dry_run(plan, sel, {m: p[0] for m, p in PRICES.items()})
     return out.select("model_key", "method", "budget", "n", "input_tokens", r6("mean_tokens"), r6("usd"))

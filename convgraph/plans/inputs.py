@@ -60,17 +60,24 @@ class Conversations(NamedTuple):
     turns: DataFrame
     edges: DataFrame
     closed: DataFrame
-    longest: int
 
 
 def conversation_graph(spark: SparkSession, sf_dir: str) -> Conversations:
     # numbering turns shuffles the log once; every later step reads the result
     t = cut_lineage(turns(spark, sf_dir))
     e = edges(t)
-    # the longest conversation, from counts alone, decides once how closures are computed
-    top = table(spark, sf_dir, "events").groupBy("user_id").count().agg(F.max("count")).first()[0]
-    longest = int(top or 0)
-    return Conversations(t, e, cut_lineage(graph.closure(t, e, longest=longest)), longest)
+    return Conversations(t, e, cut_lineage(graph.closure(t, e)))
+
+
+def one_conversation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All events as one conversation in order of time, with a near first parent and, for some turns, a far second one."""
+    ev = table(spark, sf_dir, "events").select(F.lit(0).cast("bigint").alias("sid"), "ts", "event_id", F.col("user_id").alias("u"))
+    n = split_row_number(ev, ["sid"], F.date_trunc("hour", "ts"), [F.col("ts"), F.col("event_id")], "_pos", "_n")
+    t = cut_lineage(n.select("sid", (F.col("_pos") - 1).alias("idx"), (F.col("_n") - F.col("_pos")).alias("rev"), "u"))
+    i, u = F.col("idx"), F.col("u")
+    parents = F.array(F.struct(F.lit(0).alias("pos"), (i - 1 - u % 3).alias("parent")), F.struct(F.lit(1).alias("pos"), F.when(u % 40 == 0, F.floor(i / 2)).alias("parent")))
+    e = t.select("sid", i.alias("child"), F.inline(parents)).where("parent >= 0").select("sid", "child", "parent", "pos")
+    return t, e
 
 
 VIEWS: dict[str, str] = {

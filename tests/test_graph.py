@@ -1,4 +1,4 @@
-"""Graph operators against plain Python, on the array path and on the block path."""
+"""Graph operators against plain Python, in one block and in many."""
 
 import random
 
@@ -44,12 +44,12 @@ def graphs(spark):
     return turns, edges, t, e
 
 
-@pytest.mark.parametrize("limit", [4096, 64, 8])
+@pytest.mark.parametrize("block", [1024, 64, 8])
 @pytest.mark.parametrize("primary", [False, True])
-def test_closure_is_the_same_on_arrays_and_blocks(graphs, limit, primary):
+def test_closure_is_the_same_for_all_blocks(graphs, block, primary):
     turns, edges, t, e = graphs
     got = {}
-    for r in graph.closure(t, e, primary_only=primary, fold_limit=limit).collect():
+    for r in graph.closure(t, e, primary_only=primary, block=block).collect():
         assert r.idx not in got.setdefault(r.sid, set())
         got[r.sid].add(r.idx)
     for sid in {s for s, _, _ in turns}:
@@ -57,8 +57,8 @@ def test_closure_is_the_same_on_arrays_and_blocks(graphs, limit, primary):
         assert got.get(sid, set()) == reach(edges, sid, last, primary)
 
 
-@pytest.mark.parametrize("limit", [4096, 8])
-def test_donor_branches(graphs, limit):
+@pytest.mark.parametrize("block", [1024, 8, 3])
+def test_donor_branches(graphs, block):
     turns, edges, t, e = graphs
     gold = graph.closure(t, e, primary_only=True)
     gold_set = {(r.sid, r.idx) for r in gold.collect()}
@@ -67,7 +67,7 @@ def test_donor_branches(graphs, limit):
     for s, i, rev in sorted(turns):
         if rev > 0 and (s, i) not in gold_set:
             want[(s, i)] = want.get((s, primary.get((s, i))), i)
-    got = {(r.sid, r.idx): r.root for r in graph.donor_branches(t, e, gold, fold_limit=limit).collect()}
+    got = {(r.sid, r.idx): r.root for r in graph.donor_branches(t, e, gold, block=block).collect()}
     assert got == want
 
 
