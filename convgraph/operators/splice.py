@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convgraph.functions.digest import ordered_digest
 from convgraph.functions.lineage import cut_lineage
 from convgraph.functions.splitwin import split_row_number
 from convgraph.operators import graph
@@ -223,6 +224,57 @@ def remap_edges(spliced: DataFrame, edges: DataFrame) -> DataFrame:
                                         F.lit(0).alias("pos")))
 
 
+def remap_marks(spliced: DataFrame, superseders: DataFrame, evidence: DataFrame, gold: DataFrame) -> DataFrame:
+    """Marks of the new turns: (target, length, new_idx, kind, value).
+
+    ``superseders(sid, idx, by)`` and ``evidence(sid, idx)`` of the target follow their turns (``value`` of a superseder is
+    the new place of the later turn, and it is lost if that turn is none of the conversation's); every history turn
+    outside the target's ``gold`` closure is a distractor, spliced ones included.
+    """
+    key = ["target", "length"]
+    own = spliced.where("origin = 'base' and sid = target").select(*key, "sid", "idx", "new_idx")
+    later = own.select(*key, F.col("idx").alias("by"), F.col("new_idx").alias("value"))
+    none = F.lit(None).cast("bigint").alias("value")
+    stale = own.join(superseders, ["sid", "idx"]).join(later, [*key, "by"]).select(*key, "new_idx", F.lit("superseded").alias("kind"), "value")
+    proof = own.join(evidence.select("sid", "idx"), ["sid", "idx"]).select(*key, "new_idx", F.lit("evidence").alias("kind"), none)
+    kept = own.join(gold.select("sid", "idx"), ["sid", "idx"], "left_semi").select(*key, "new_idx")
+    rest = spliced.where("rev > 0").join(kept, [*key, "new_idx"], "left_anti").select(*key, "new_idx", F.lit("distractor").alias("kind"), none)
+    return stale.unionByName(proof).unionByName(rest)
+
+
+def donor_lists(picks: DataFrame, wanted: DataFrame, spliced: DataFrame) -> DataFrame:
+    """Per target and length: the donors used in the order in which they were chosen, as ``sid#branch``, and the history's
+    real length: (target, length, used, n_used, actual_length).  A list is as long as the wanted length allows."""
+    key = ["target", "length"]
+    want = wanted.select(F.col("sid").alias("target"), F.col("length").alias("want"))
+    name = F.concat(F.col("sid").cast("string"), F.lit("#"), F.col("branch").cast("string")).alias("name")
+    used = picks.join(want, "target").where(F.col("length") <= F.col("want")).groupBy("target", F.col("want").alias("length")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pick", name))), lambda x: x["name"]), " ").alias("used"), F.count(F.lit(1)).alias("n_used"))
+    real = spliced.where("rev > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("actual_length"))
+    return real.join(used, key, "left").select(*key, F.coalesce("used", F.lit("")).alias("used"), F.coalesce("n_used", F.lit(0)).cast("bigint").alias("n_used"), "actual_length")
+
+
+def text_checks(turns: DataFrame, closed: DataFrame, new_closed: DataFrame, checklist: DataFrame, new_checklist: DataFrame, new_turns: DataFrame) -> DataFrame:
+    """Whether the spliced conversations still say what their targets said: (target, length, context_same, query_same,
+    checklist_same).
+
+    ``turns(sid, idx, rev, body)`` are the old turns as rendered, ``new_turns(target, length, new_idx, rev, body)`` the new
+    ones; ``closed`` and ``new_closed(target, length, new_idx)`` their closures; ``checklist(sid, item_id, text)`` and
+    ``new_checklist(target, length, item_id, text)``.  Texts are compared by ordered digests, each text read where it lies.
+    """
+    key = ["target", "length"]
+    made = new_turns.where("rev = 0").select(*key, F.sha2("body", 256).alias("_new_query"))
+    old_context = ordered_digest(closed.join(turns, ["sid", "idx"]), ["sid"], "idx", "body", "_old").drop("n")
+    new_context = ordered_digest(new_closed.join(new_turns, [*key, "new_idx"]), key, "new_idx", "body", "_new").drop("n")
+    old_list = ordered_digest(checklist, ["sid"], "item_id", "text", "_old_list").drop("n")
+    new_list = ordered_digest(new_checklist, key, "item_id", "text", "_new_list").drop("n")
+    query = turns.where("rev = 0").select("sid", F.sha2("body", 256).alias("_old_query"))
+    d = made.join(new_context, key, "left").join(new_list, key, "left").withColumn("sid", F.col("target"))
+    d = d.join(query, "sid", "left").join(old_context, "sid", "left").join(old_list, "sid", "left")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    return d.select(*key, same("_old", "_new").alias("context_same"), same("_old_query", "_new_query").alias("query_same"), same("_old_list", "_new_list").alias("checklist_same"))
+
+
 def sidecar(t: DataFrame, picks: DataFrame, reports: DataFrame, wanted: DataFrame, spliced: DataFrame, longest: int) -> DataFrame:
     """(sid, family, base_n, n_donors, donor_turns, mean_cosine, n_rejected, sufficient)."""
     p = picks.groupBy(F.col("target").alias("sid")).agg(
@@ -245,6 +297,15 @@ def _in_order(pairs: DataFrame, key: Sequence[str], a: str, b: str) -> DataFrame
     return joined.groupBy(*key).agg(F.bool_and(F.col("_ok") & F.col("_j")).alias("ordered"))
 
 
+def new_closure(spliced: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """Closure of the new conversations' queries: (target, length, new_idx)."""
+    key = splice_key(F.col("target"), F.col("length")).alias("sid")
+    nt = spliced.select(key, F.col("new_idx").alias("idx"), "rev")
+    found = graph.closure(nt, new_edges.select(key, "child", "parent", "pos")).withColumnRenamed("sid", "_k").withColumnRenamed("idx", "new_idx")
+    back = spliced.select("target", "length", splice_key(F.col("target"), F.col("length")).alias("_k"), "new_idx")
+    return found.join(back, ["_k", "new_idx"]).select("target", "length", "new_idx")
+
+
 def preflight(turns: DataFrame, closed: DataFrame, members: DataFrame, items: DataFrame, t: DataFrame, spliced: DataFrame,
               new_edges: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """Checks per target and length.
@@ -254,12 +315,8 @@ def preflight(turns: DataFrame, closed: DataFrame, members: DataFrame, items: Da
     disjoint: no spliced turn shares an item with the gold turns or the query.
     """
     key = ["target", "length"]
-    nt = spliced.select(splice_key(F.col("target"), F.col("length")).alias("sid"), F.col("new_idx").alias("idx"), "rev")
-    ne = new_edges.select(splice_key(F.col("target"), F.col("length")).alias("sid"), "child", "parent", "pos")
-    new_closed = graph.closure(nt, ne)
-    back = spliced.select(*key, splice_key(F.col("target"), F.col("length")).alias("_k"), F.col("new_idx"), "origin", "sid", "idx")
-    got = new_closed.withColumnRenamed("sid", "_k").withColumnRenamed("idx", "new_idx").join(back, ["_k", "new_idx"]).select(
-        *key, "origin", "sid", "idx", F.lit(1).alias("_n"))
+    back = spliced.select(*key, "new_idx", "origin", "sid", "idx")
+    got = new_closure(spliced, new_edges).join(back, [*key, "new_idx"]).select(*key, "origin", "sid", "idx", F.lit(1).alias("_n"))
     old = closed.join(back.where("origin = 'base' and sid = target"), ["sid", "idx"]).select(
         *key, "origin", "sid", "idx", F.lit(1).alias("_o"))
     same = old.join(got, [*key, "origin", "sid", "idx"], "full").groupBy(*key).agg(

@@ -7,7 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convgraph.functions.digest import digest_sql
 from convgraph.functions.lineage import cut_lineage
+from convgraph.functions.text import render_turn
 from convgraph.functions.vectors import unit
 from convgraph.operators import splice
 from convgraph.plans import inputs
@@ -55,7 +57,7 @@ PICK_SQL = SPLICE_SQL.rstrip() + """,
     UNION ALL SELECT w.target, w.length, p.slot, 0, p.pick, b.sid, b.idx, t.cost FROM want w JOIN placed p ON p.target = w.target AND p.length <= w.length
       JOIN branch b ON b.sid = p.sid AND b.root = p.root JOIN turns t ON t.sid = b.sid AND t.idx = b.idx) x)
 """
-_V = "turns edges clo items unitv"
+_V = "turns edges clo ev items unitv"
 
 
 def splice_sql(body: str, full: bool = True) -> str:
@@ -199,3 +201,85 @@ def x10_preflight_summary(spark, sf_dir):
     cars = splice.sidecar(s.targets, p, s.reports, splice.target_lengths(s.targets, LENGTHS), sp, max(LENGTHS))
     checks = splice.preflight(s.turns, s.closed, s.members, s.items, s.targets, sp, splice.remap_edges(sp, s.edges), LENGTHS)
     return splice.preflight_summary(checks, cars)
+
+
+# marks and texts of the event conversations: a superseded turn, a rendered turn, three checklist items
+STALE_SQL = "SELECT t.sid, t.idx, t.idx + 2 AS by FROM turns t JOIN turns s ON s.sid = t.sid AND s.idx = t.idx + 2 AND s.rev > 0 WHERE t.idx % 11 = 4"
+BODY_SQL = "'User: ' || props || chr(10) || 'Assistant: ' || event_type || chr(10)"
+EDGES_SQL = """
+  ed AS (SELECT c.target, c.length, c.new_idx AS child, p.new_idx AS parent FROM edges e JOIN sp c ON c.sid = e.sid AND c.idx = e.child AND c.is_base = 1
+      JOIN sp p ON p.target = c.target AND p.length = c.length AND p.sid = e.sid AND p.idx = e.parent AND p.is_base = 1
+    UNION ALL SELECT target, length, new_idx, prev FROM (SELECT *, lag(new_idx) OVER (PARTITION BY target, length, pick ORDER BY new_idx) AS prev FROM sp WHERE is_base = 0) x WHERE prev IS NOT NULL),
+  nclo0 AS (SELECT target, length, new_idx FROM sp WHERE new_idx = n_all - 1
+    UNION SELECT ed.target, ed.length, ed.parent FROM nclo0 n JOIN ed ON ed.target = n.target AND ed.length = n.length AND ed.child = n.new_idx),
+  nclo AS (SELECT n.* FROM nclo0 n JOIN sp USING (target, length, new_idx) WHERE new_idx < n_all - 1)"""
+
+
+def superseders(turns: DataFrame) -> DataFrame:
+    later = turns.where("rev > 0").select("sid", (F.col("idx") - 2).alias("idx"), F.col("idx").alias("by"))
+    return turns.where("idx % 11 = 4").select("sid", "idx").join(later, ["sid", "idx"])
+
+
+def bodies(turns: DataFrame) -> DataFrame:
+    return turns.select("sid", "idx", "rev", render_turn(F.col("props"), F.col("event_type")).alias("body"))
+
+
+def checklist(turns: DataFrame) -> DataFrame:
+    items = F.array(*[F.struct(F.lit(k).alias("item_id"), F.concat(F.lit(f"item {k} of "), F.col("family")).alias("text")) for k in range(3)])
+    return turns.where("rev = 0").select("sid", F.inline(items))
+
+
+@query("x7_remapped_marks", splice_sql(f"""
+  , st AS ({STALE_SQL}),
+  m AS (SELECT a.target, a.length, 'superseded' AS kind, a.new_idx, b.new_idx AS value FROM sp a JOIN st ON st.sid = a.sid AND st.idx = a.idx AND a.is_base = 1 AND a.sid = a.target
+          JOIN sp b ON b.target = a.target AND b.length = a.length AND b.sid = a.sid AND b.idx = st.by AND b.is_base = 1
+    UNION ALL SELECT a.target, a.length, 'evidence', a.new_idx, NULL FROM sp a JOIN ev ON ev.sid = a.sid AND ev.idx = a.idx AND a.is_base = 1
+    UNION ALL SELECT a.target, a.length, 'distractor', a.new_idx, NULL FROM sp a LEFT JOIN clo c ON c.sid = a.sid AND c.idx = a.idx AND a.is_base = 1
+          WHERE c.idx IS NULL AND a.new_idx < a.n_all - 1)
+  SELECT target, CAST(length AS BIGINT) AS length, kind, count(*) AS n, CAST(sum(new_idx) AS BIGINT) AS places, CAST(sum(value) AS BIGINT) AS values FROM m GROUP BY 1, 2, 3"""))
+def x7_remapped_marks(spark, sf_dir):
+    s = prepare(spark, sf_dir)
+    _, sp = build(s)
+    m = splice.remap_marks(sp, superseders(s.turns), inputs.evidence(s.closed), s.closed)
+    return m.groupBy("target", big("length"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("new_idx").alias("places"), F.sum("value").alias("values"))
+
+
+@query("x8_donor_lists", splice_sql("""
+  SELECT w.target, CAST(w.length AS BIGINT) AS length, coalesce(u.used, '') AS used, coalesce(u.n, 0) AS n_used, r.n AS actual_length
+  FROM want w JOIN (SELECT target, length, count(*) AS n FROM sp WHERE new_idx < n_all - 1 GROUP BY 1, 2) r USING (target, length)
+  LEFT JOIN (SELECT w.target, w.length, string_agg(p.sid || '#' || p.branch, ' ' ORDER BY p.pick) AS used, count(*) AS n FROM want w JOIN pick p ON p.target = w.target AND p.length <= w.length GROUP BY 1, 2) u
+    USING (target, length)"""))
+def x8_donor_lists(spark, sf_dir):
+    s = prepare(spark, sf_dir)
+    p, sp = build(s)
+    return splice.donor_lists(p, splice.target_lengths(s.targets, LENGTHS), sp).withColumn("length", F.col("length").cast("bigint"))
+
+
+def text_tables(s: Splice, sp: DataFrame) -> dict[str, DataFrame]:
+    """Inputs of the text checks: old and new turns, closures and checklists."""
+    body = bodies(s.turns)
+    new_turns = sp.select("target", "length", "new_idx", "rev", "sid", "idx").join(body.select("sid", "idx", "body"), ["sid", "idx"])
+    old = checklist(s.turns)
+    versions = sp.select("target", "length").distinct()
+    return {"turns": body, "closed": s.closed, "new_closed": cut_lineage(splice.new_closure(sp, splice.remap_edges(sp, s.edges))), "checklist": old,
+            "new_checklist": versions.join(old.withColumnRenamed("sid", "target"), "target"), "new_turns": new_turns.select("target", "length", "new_idx", "rev", "body")}
+
+
+@query("x9_text_checks", splice_sql(f"""
+  ,{EDGES_SQL},
+  body AS (SELECT sid, idx, rev, {BODY_SQL} AS body FROM turns),
+  oldc AS ({digest_sql("(SELECT c.sid, c.idx, b.body FROM clo c JOIN body b ON b.sid = c.sid AND b.idx = c.idx) q", "sid", "idx", "body")}),
+  newc AS ({digest_sql("(SELECT n.target, n.length, n.new_idx, b.body FROM nclo n JOIN sp USING (target, length, new_idx) JOIN body b ON b.sid = sp.sid AND b.idx = sp.idx) q", "target, length", "new_idx", "body")}),
+  oldl AS ({digest_sql("(SELECT sid, k, 'item ' || k || ' of ' || family AS text FROM turns CROSS JOIN (SELECT unnest(range(3)) AS k) x WHERE rev = 0) q", "sid", "k", "text")}),
+  newl AS ({digest_sql("(SELECT w.target, w.length, k, 'item ' || k || ' of ' || family AS text FROM want w JOIN turns t ON t.sid = w.target AND t.rev = 0 CROSS JOIN (SELECT unnest(range(3)) AS k) x) q", "target, length", "k", "text")})
+  SELECT w.target, CAST(w.length AS BIGINT) AS length, newc.digest IS NOT DISTINCT FROM oldc.digest AS context_same, sha256(nb.body) = sha256(ob.body) AS query_same,
+         newl.digest IS NOT DISTINCT FROM oldl.digest AS checklist_same, coalesce(newc.digest, '') AS context_digest
+  FROM want w LEFT JOIN newc USING (target, length) LEFT JOIN oldc ON oldc.sid = w.target LEFT JOIN newl USING (target, length) LEFT JOIN oldl ON oldl.sid = w.target
+  JOIN sp q ON q.target = w.target AND q.length = w.length AND q.new_idx = q.n_all - 1 JOIN body nb ON nb.sid = q.sid AND nb.idx = q.idx JOIN body ob ON ob.sid = w.target AND ob.rev = 0"""))
+def x9_text_checks(spark, sf_dir):
+    s = prepare(spark, sf_dir)
+    _, sp = build(s)
+    t = text_tables(s, sp)
+    digest = splice.ordered_digest(t["new_closed"].join(t["new_turns"], ["target", "length", "new_idx"]), ["target", "length"], "new_idx", "body", "context_digest").drop("n")
+    d = splice.text_checks(**t).join(digest, ["target", "length"], "left")
+    return d.withColumn("length", F.col("length").cast("bigint")).withColumn("context_digest", F.coalesce("context_digest", F.lit("")))

@@ -73,3 +73,44 @@ def test_nothing_to_score(spark):
     for name in ("donors", "t"):
         best, reports = splice.score_donors(**(tables | {name: tables[name].where("false")}), lengths=(20,))
         assert best.count() == 0 and reports.count() == 0
+
+
+def text_world(spark):
+    df = spark.createDataFrame
+    turns = [(1, i, 4 - i, f"body {i}") for i in range(5)]
+    order = [("x", 9), (1, 0), ("x", 8), (1, 1), (1, 2), (1, 3), (1, 4)]
+    new = [(1, 7, k, 6 - k, f"body {i}" if s == 1 else f"other {i}") for k, (s, i) in enumerate(order)]
+    return dict(turns=df(turns, "sid bigint, idx bigint, rev bigint, body string"), closed=df([(1, 0), (1, 2)], "sid bigint, idx bigint"),
+                new_closed=df([(1, 7, 1), (1, 7, 4)], "target bigint, length bigint, new_idx bigint"),
+                checklist=df([(1, 0, "a"), (1, 1, "b")], "sid bigint, item_id int, text string"),
+                new_checklist=df([(1, 7, 0, "a"), (1, 7, 1, "b")], "target bigint, length bigint, item_id int, text string"),
+                new_turns=df(new, "target bigint, length bigint, new_idx bigint, rev bigint, body string"))
+
+
+def test_text_checks_find_planted_faults(spark):
+    from pyspark.sql import functions as F
+
+    t = text_world(spark)
+    flags = lambda t: tuple(splice.text_checks(**t).select("context_same", "query_same", "checklist_same").first())
+    assert flags(t) == (True, True, True)
+    changed = t["new_turns"].withColumn("body", F.when(F.col("new_idx") == 4, "body 2.").otherwise(F.col("body")))
+    assert flags(t | {"new_turns": changed}) == (False, True, True)
+    moved = t["new_turns"].withColumn("body", F.when(F.col("new_idx") == 4, "body 0").when(F.col("new_idx") == 1, "body 2").otherwise(F.col("body")))
+    assert flags(t | {"new_turns": moved}) == (False, True, True)
+    assert flags(t | {"new_closed": t["new_closed"].where("new_idx = 1")}) == (False, True, True)
+    assert flags(t | {"new_turns": t["new_turns"].withColumn("body", F.when(F.col("rev") == 0, "?").otherwise(F.col("body")))}) == (True, False, True)
+    assert flags(t | {"new_checklist": t["new_checklist"].where("item_id = 0")}) == (True, True, False)
+
+
+def test_digest_of_many_runs_is_that_of_the_order(spark):
+    import hashlib
+
+    from convgraph.functions.digest import ordered_digest
+
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = [None if i % 50 == 3 else f"text {i}" for i in range(1000)]
+    df = spark.createDataFrame([("k", i * 3, t) for i, t in enumerate(texts)], "k string, o bigint, t string").repartition(7)
+    leaves = ["-" if t is None else h(t) for t in texts]
+    want = h("".join(h("".join(leaves[a:a + 256])) for a in range(0, 1000, 256)))
+    assert [tuple(r) for r in ordered_digest(df, ["k"], "o", "t").collect()] == [("k", want, 1000)]
+    assert ordered_digest(df.where("false"), ["k"], "o", "t").count() == 0
