@@ -22,16 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+# Spark's setting that removes the shuffle files of a finished query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result feeds several later steps: they read it instead of
     computing it again, with its true size known to the planner and only the
-    columns they need; losing an executor does not lose it.
+    columns they need; losing an executor does not lose it.  Once it is written,
+    the shuffle files that led to it are of no more use and are removed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
