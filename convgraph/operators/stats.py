@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from convgraph.functions.lineage import cut_lineage
+from convgraph.functions.splitwin import split_cumsum, split_row_number
 
 def holm(df: DataFrame, by: Sequence[str], p: str, expect: int | None = None, alpha: float = 0.05) -> DataFrame:
     """Step-down adjusted p values within each set; only sets of ``expect`` rows are adjusted.
@@ -122,21 +123,29 @@ def quotas(eligible: DataFrame, total: int, stratum: str = "family", unit: str =
     """Sample sizes proportional to the units of each stratum, at least ``floor``, summing to ``total``.
 
     What rounding leaves goes round by largest remainders; what the floor adds is taken back from the largest quotas,
-    which keep the floor as long as ``total`` allows it.  There is one small row per stratum, settled on the driver.
+    one by one, the first stratum first among equals.  Taking back lowers the largest quotas to one level, which is found
+    from running sums; so there is one small row per stratum and no loop.
     """
-    n = eligible.groupBy(stratum).agg(F.count_distinct(unit).alias("_n"))
-    rows = sorted(n.collect(), key=lambda r: (r[0] is None, r[0]))
-    units = sum(r[1] for r in rows)
-    exact = [total * r[1] / units for r in rows]
-    quota = [max(floor, int(x)) for x in exact]
-    by_rest = sorted(range(len(rows)), key=lambda i: int(exact[i]) - exact[i])
-    for k in range(max(0, total - sum(quota))):
-        quota[by_rest[k % len(rows)]] += 1
-    while sum(quota) > total:
-        above = [i for i in range(len(rows)) if quota[i] > floor] or range(len(rows))
-        quota[max(above, key=lambda i: (quota[i], -i))] -= 1
-    schema = T.StructType([T.StructField(stratum, n.schema[stratum].dataType), T.StructField("quota", T.LongType())])
-    return eligible.sparkSession.createDataFrame([(r[0], q) for r, q in zip(rows, quota)], schema)
+    n = cut_lineage(eligible.groupBy(stratum).agg(F.count_distinct(unit).alias("_n")))
+    units = n.agg(F.sum("_n")).first()[0] or 1
+    one = F.lit(0)
+    x = F.lit(total) * F.col("_n") / F.lit(units)
+    q = n.select(stratum, one.alias("_one"), F.greatest(F.lit(floor), F.floor(x)).alias("_q"), (F.floor(x) - x).alias("_rest"))
+    extra = max(0, total - (q.agg(F.sum("_q")).first()[0] or 0))
+    q = split_row_number(q, ["_one"], F.floor(F.col("_rest") * 4096), [F.col("_rest"), F.col(stratum)], "_rk")
+    q = cut_lineage(q.select(stratum, "_one", (F.col("_q") + F.when(F.col("_rk") <= extra, 1).otherwise(0)).alias("_q")))
+    excess = max(0, (q.agg(F.sum("_q")).first()[0] or 0) - total)
+    # in falling order, bringing the first k quotas down to the k-th one takes what lies above it
+    d = split_row_number(q, ["_one"], -F.col("_q"), [F.desc("_q"), F.col(stratum)], "_k")
+    d = split_cumsum(d, ["_one"], -F.col("_q"), [F.desc("_q"), F.col(stratum)], F.col("_q"), "_sum")
+    d = d.withColumn("_above", F.col("_sum") - F.col("_k") * F.col("_q"))
+    top = d.where(F.col("_above") <= excess).agg(F.max("_k").alias("k"), F.max_by("_q", "_k").alias("q"), F.max_by("_above", "_k").alias("c")).first()
+    if not excess or top is None or top.k is None:
+        return q.select(stratum, F.col("_q").cast("bigint").alias("quota"))
+    level, rest = top.q - (excess - top.c) // top.k, (excess - top.c) % top.k
+    high = split_row_number(q.where(F.col("_q") >= top.q), ["_one"], F.ascii(F.col(stratum).cast("string")), [F.col(stratum).cast("string")], "_i")
+    high = high.select(stratum, (F.lit(level) - F.when(F.col("_i") <= rest, 1).otherwise(0)).alias("quota"))
+    return high.unionByName(q.where(F.col("_q") < top.q).select(stratum, F.col("_q").alias("quota"))).select(stratum, F.col("quota").cast("bigint").alias("quota"))
 
 
 def quota_sample(

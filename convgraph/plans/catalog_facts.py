@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convgraph.functions.lineage import cut_lineage
 from convgraph.operators import facts, select
 from convgraph.operators.select import Method
 from convgraph.plans import inputs
 from convgraph.plans.fact_inputs import (MODELS, answers, answers_log, candidate_items, facts_table, item_log,
                                          judged_instances, verdict_log, verdicts)
 from convgraph.plans.inputs import conversation_graph, table, with_views
-from convgraph.plans.registry import big, query, r6
+from convgraph.plans.registry import CRC_TABLE, big, crc32_sql, query, r6
 
 COUNT = lambda a="n": F.count(F.lit(1)).alias(a)
 COMPARISONS = [("oracle_dag", "full_history"), ("oracle_dag", "oracle_tree"),
@@ -139,7 +140,9 @@ def s6_pending_work(spark, sf_dir):
     return left.groupBy("model_key", F.col("method").alias("method_label")).agg(COUNT())
 
 
-@query("s7_hash_shard")
+@query("s7_hash_shard", with_views("alog", f""",
+  {CRC_TABLE}, k AS (SELECT DISTINCT key FROM alog)
+  SELECT {crc32_sql("key")} % 4 AS shard, count(*) AS n FROM k, crc_table GROUP BY 1"""))
 def s7_hash_shard(spark, sf_dir):
     a = answers_log(spark, sf_dir).select("key").distinct()
     parts = [facts.shard(a, "key", k, 4).agg(F.lit(k).cast("bigint").alias("shard"), COUNT()) for k in range(4)]
@@ -151,6 +154,27 @@ def s8_limited_work(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(50)
 
 
+@query("s10_selection_cache", with_views("win", """
+  SELECT CAST(t.sid AS VARCHAR) AS scenario_id, t.budget, count(w.idx) AS n, CAST(coalesce(sum(w.idx), 0) AS BIGINT) AS sum_idx, CAST(0 AS BIGINT) AS computed_again
+  FROM (SELECT DISTINCT sid, CAST(budget AS BIGINT) AS budget FROM turns CROSS JOIN budgets) t LEFT JOIN win w ON w.sid = t.sid AND w.budget = t.budget GROUP BY 1, 2"""))
+def s10_selection_cache(spark, sf_dir):
+    """Selections of all conversations and budgets, written in two runs and read back; a third run finds nothing to do."""
+    import uuid
+
+    from convgraph.functions.lineage import shared_dir
+    from convgraph.sources import caches
+
+    t = cut_lineage(inputs.turns(spark, sf_dir))
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    caches.update_selection_cache(t.where("sid % 3 = 0"), inputs.BUDGETS[:1], select.sliding_window, path)
+    caches.update_selection_cache(t, inputs.BUDGETS, select.sliding_window, path)
+    again = caches.update_selection_cache(t, inputs.BUDGETS, select.sliding_window, path)
+    rows = caches.read_cache_folder(spark, path)
+    ids = F.transform("selected", lambda x: x.cast("bigint"))
+    return rows.select("scenario_id", "budget", F.size("selected").cast("bigint").alias("n"), F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_idx"),
+                       F.lit(again).cast("bigint").alias("computed_again"))
+
+
 @query("s9_selection_cache", with_views("win", """
   SELECT sid, CAST(budget AS BIGINT) AS budget, count(*) AS n, CAST(sum(idx) AS BIGINT) AS sum_idx FROM win GROUP BY 1, 2"""))
 def s9_selection_cache(spark, sf_dir):

@@ -126,6 +126,17 @@ def t1_stream_dedupe(spark, sf_dir):
     return out.agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+@query("t1_stream_spans", """
+  SELECT concat(user_id, '|', event_type) AS key, arg_min(event_id, (ts, event_id)) AS event_id, CAST(0 AS BIGINT) AS late FROM events GROUP BY 1""")
+def t1_stream_spans(spark, sf_dir):
+    """First record per key by event time, emitted when its span of time has closed."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = ingest.read_log(spark, sf_dir, schema, "parquet", "events.parquet")
+    keyed = stream.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "event_id", "ts")
+    got = ingest.first_record_stream(keyed, "key", "ts", ["ts", "event_id"], "60 days", "1 day")
+    return got.rows.select("key", "event_id", F.lit(got.late).cast("bigint").alias("late"))
+
+
 @query("t2_stream_spend", with_views("ledger", f"""
   SELECT scope, model, coalesce(purpose, '?') AS purpose, {SUMS_SQL}, CASE WHEN sum(sum(usd)) OVER (PARTITION BY scope) >= 60 THEN 'stop' WHEN sum(sum(usd)) OVER (PARTITION BY scope) >= 25 THEN 'warn' ELSE 'ok' END AS status
   FROM ledger GROUP BY 1, 2, 3"""))

@@ -425,7 +425,20 @@ def r20_coverage(spark, sf_dir):
     return stats.coverage(item_scores(spark, sf_dir), n)
 
 
-@query("r21_quota_sample", None)
+@query("r21_quota_sample", with_views("ans", f""",
+  el AS (SELECT key, scenario_id, family, model_key, method_label, md5(concat_ws('|', '{SEED}', key)) AS h FROM ans),
+  un AS (SELECT family, CAST(count(DISTINCT scenario_id) AS DOUBLE) AS n FROM el GROUP BY 1),
+  q0 AS (SELECT family, greatest(2, floor(160 * n / u)) AS q, floor(160 * n / u) - 160 * n / u AS rest FROM un CROSS JOIN (SELECT sum(n) AS u FROM un) t),
+  q1 AS (SELECT family, CAST(q + CASE WHEN row_number() OVER (ORDER BY rest, family) <= 160 - (SELECT sum(q) FROM q0) THEN 1 ELSE 0 END AS BIGINT) AS q FROM q0),
+  ex AS (SELECT greatest(0, CAST(sum(q) AS BIGINT) - 160) AS e FROM q1),
+  o AS (SELECT *, row_number() OVER (ORDER BY q DESC, family) AS k, CAST(sum(q) OVER (ORDER BY q DESC, family ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM q1),
+  top AS (SELECT max(k) AS k, arg_max(q, k) AS q, arg_max(s - k * q, k) AS c FROM o CROSS JOIN ex WHERE s - k * q <= e),
+  quota AS (SELECT o.family, CASE WHEN e = 0 OR o.q < top.q THEN o.q ELSE top.q - (e - c) // top.k
+              - CASE WHEN row_number() OVER (PARTITION BY o.q >= top.q ORDER BY o.family) <= (e - c) % top.k THEN 1 ELSE 0 END END AS quota FROM o CROSS JOIN top CROSS JOIN ex),
+  fi AS (SELECT *, CASE WHEN h <> min(h) OVER (PARTITION BY family, scenario_id) THEN 1 ELSE 0 END AS again FROM el),
+  rd AS (SELECT *, row_number() OVER (PARTITION BY family, model_key, method_label ORDER BY again, h) AS round FROM fi),
+  tk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY again, round, md5(concat_ws('|', '{SEED}', model_key, method_label)), h) AS take FROM rd WHERE round <= 160)
+  SELECT key, scenario_id, tk.family, model_key, method_label FROM tk JOIN quota USING (family) WHERE take <= quota"""))
 def r21_quota_sample(spark, sf_dir):
     return stats.quota_sample(answers(spark, sf_dir).select("key", "scenario_id", "family", "model_key", "method_label"), 160, SEED)
 

@@ -24,6 +24,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: CRC-32 in SQL: the table of the reversed polynomial 0xEDB88320, and a fold over the UTF-8 bytes of a text.
+CRC_TABLE = ("crc_table(t) AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), "
+             "lambda c, s: xor(c >> 1, (c & 1) * 3988292384))))")
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of ``text`` where ``crc_table`` is joined."""
+    digit = f"strpos('0123456789ABCDEF', hex(encode({text}))[2 * k + {{}}]) - 1"
+    byte = f"lambda k: ({digit.format(1)}) * 16 + {digit.format(2)}"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({text})), 1), {byte})), "
+            "lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)")
+
+
 def big(c: str, alias: str | None = None):
     return F.col(c).cast("bigint").alias(alias or c)
 

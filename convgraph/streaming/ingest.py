@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,51 @@ def first_by_key_stream(stream: DataFrame, key: str, order: list[str], path: str
     rows = spark.read.parquet(f"{out}/data").drop("batch")
     last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
     return last.select(key, "_r.*")
+
+
+class Ingested(NamedTuple):
+    """``rows``: first records; ``late``: rows dropped behind the watermark; ``state``: rows kept after each batch."""
+
+    rows: DataFrame
+    late: int
+    state: list[int]
+
+
+def first_record_stream(stream: DataFrame, key: str, ts: str, order: list[str], delay: str, horizon: str, path: str | None = None) -> Ingested:
+    """Earliest record per key by event time, emitted once per ``horizon`` of event time, with the state freed after it.
+
+    Records may come up to ``delay`` out of order; later ones are dropped and counted.  A key's record is kept as state
+    until the watermark has passed its span of ``horizon``; then it is written and forgotten, so the state holds the keys
+    of the open spans only, however long the log is.  At the end of the log one clock row, written beside the output,
+    moves the watermark past all spans.  The result takes the earliest span of each key.
+    """
+    spark = stream.sparkSession
+    out = path or work_dir(spark)
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withColumn("_clock", F.lit(False))
+    clock = f"{out}/clock"
+    spark.createDataFrame([], rows.schema).write.parquet(clock)
+    ticks = spark.readStream.schema(rows.schema).parquet(clock)
+    rest = [c for c in rows.columns if c not in (key, "_clock")]
+    first = rows.unionByName(ticks).withWatermark(ts, delay).groupBy(F.window(ts, horizon).alias("_span"), key, "_clock").agg(
+        F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"), F.max(ts).alias("_last"))
+    late, state = 0, []
+
+    def run() -> None:
+        nonlocal late
+        q = (first.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        for p in q.recentProgress:
+            for op in p["stateOperators"]:
+                late += op["numRowsDroppedByWatermark"]
+                state.append(op["numRowsTotal"])
+
+    run()
+    # an event time beyond any span that is still open
+    tick = spark.range(1).select(*[(F.current_timestamp() + F.expr("INTERVAL 1000 YEARS") if c == ts else F.lit(c == "_clock") if c == "_clock"
+                                    else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    tick.write.mode("append").parquet(clock)
+    run()
+    done = spark.read.schema(first.schema).parquet(f"{out}/data").where("not _clock")
+    found = done.groupBy(key).agg(F.min_by("_r", "_span.start").alias("_r"))
+    return Ingested(found.select(key, "_r.*"), late, state)

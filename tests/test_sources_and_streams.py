@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,47 @@ def test_streams_equal_batch(spark, tmp_path):
     assert {(r.key, r.v) for r in exact.collect()} == {("a", 1), ("b", 2), ("c", 4)}
 
 
+def test_first_records_by_spans_keep_a_bounded_state(spark, tmp_path):
+    """Twenty days of records, a few hours out of order, in twenty files: each key once, old spans forgotten, late rows counted."""
+    src = tmp_path / "days"
+    src.mkdir()
+    rng, rows = random.Random(6), []
+    for day in range(20):
+        part = [(f"k{day}_{j % 30}", j, f"2024-01-{day + 1:02d}T{rng.randrange(24):02d}:{rng.randrange(60):02d}:00Z") for j in range(90)]
+        if day == 12:
+            part += [("old", 1, "2024-01-02T00:00:00Z"), ("old", 2, "2024-01-03T00:00:00Z")]
+        rows += part
+        (src / f"{day:02d}.json").write_text("".join(json.dumps({"key": k, "v": v, "ts": t}) + "\n" for k, v, t in part))
+        os.utime(src / f"{day:02d}.json", (1_700_000_000 + 60 * day,) * 2)
+    schema = spark.createDataFrame([], "key string, v int, ts timestamp").schema
+    got = ingest.first_record_stream(ingest.read_log(spark, str(src), schema, max_files=1), "key", "ts", ["ts", "v"], "6 hours", "1 day")
+    want = {}
+    for k, v, t in rows:
+        if k != "old":
+            want[k] = min(want.get(k, (t, v)), (t, v))
+    assert {(r.key, r.v) for r in got.rows.collect()} == {(k, v) for k, (_, v) in want.items()}
+    assert got.late == 2 and max(got.state) <= 3 * 30 + 1 and len(got.state) >= 20
+
+
+def test_selection_cache_is_filled_once(spark, tmp_path):
+    from convgraph.operators import select
+
+    t = spark.createDataFrame([(s, i, 3 - i, 10 * (i + 1)) for s in range(4) for i in range(4)], "sid bigint, idx bigint, rev bigint, cost bigint")
+    path, seen = str(tmp_path / "cache"), []
+
+    def choose(turns, budgets):
+        seen.append(sorted(r.sid for r in turns.select("sid").distinct().collect()))
+        return select.sliding_window(turns, budgets)
+
+    assert caches.update_selection_cache(t.where("sid < 2"), [30, 50], choose, path) == 4
+    assert caches.update_selection_cache(t, [30, 50], choose, path) == 4
+    assert caches.update_selection_cache(t, [30, 50, 5], choose, path) == 4
+    assert caches.update_selection_cache(t, [30, 50, 5], choose, path) == 0
+    assert seen == [[0, 1], [2, 3], [0, 1, 2, 3]]
+    got = {(r.scenario_id, r.budget): r.selected for r in caches.read_cache_folder(spark, path).collect()}
+    assert len(got) == 12 and got["0", 50] == ["1", "2"] and got["3", 30] == ["2"] and got["2", 5] == []
+
+
 def test_spend_stream(spark, tmp_path):
     src = tmp_path / "calls"
     c = spark.createDataFrame(CALLS, "ts double, ref string, model string, purpose string, scope string, input_tokens bigint, output_tokens bigint")
