@@ -154,6 +154,148 @@ def s8_limited_work(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").limit(50)
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared one, for a round trip."""
+    import uuid
+
+    from convgraph.functions.lineage import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scenarios(spark, sf_dir):
+    """The conversations as scenario documents: pairs of messages are turns, each the child of the one before."""
+    c = table(spark, sf_dir, "conversations").withColumn("k", F.floor(F.col("turn") / 2).cast("int"))
+    said = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
+    t = c.groupBy("conv_id", "k").agg(said("user").alias("u"), said("assistant").alias("a"))
+    turn = F.struct("k", F.concat(F.lit("t"), F.col("k") + 1).alias("turn_id"), F.col("k").alias("turn_index"), F.col("u").alias("user_message"), F.col("a").alias("assistant_message"),
+                    F.when(F.col("k") > 0, F.array(F.concat(F.lit("t"), "k"))).alias("gold_parents"))
+    d = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    turns = F.transform("turns", lambda x: x.dropFields("k"))
+    return d.select(F.concat(F.lit("s"), "conv_id").alias("scenario_id"), F.concat(F.lit("family_"), F.col("conv_id") % 13).alias("family"), turns.alias("turns"))
+
+
+TURNS_SQL = """
+  SELECT 's' || conv_id AS scenario_id, 'family_' || conv_id % 13 AS family, turn // 2 AS k, max(text) FILTER (WHERE role = 'user') AS u,
+         max(text) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id, turn // 2"""
+
+
+@query("s1_scenario_documents", f"""
+  SELECT scenario_id, family, '1.0' AS benchmark_version, count(*) AS n_turns, CAST(sum(coalesce(length(u), 0) + coalesce(length(a), 0)) AS BIGINT) AS n_chars,
+         CAST(count(*) - 1 AS BIGINT) AS n_edges, md5(string_agg(coalesce(u, '') || coalesce(a, ''), '' ORDER BY k)) AS digest FROM ({TURNS_SQL}) x GROUP BY 1, 2""")
+def s1_scenario_documents(spark, sf_dir):
+    """Scenario documents written (S2), read with defaults and flattened (S1)."""
+    from convgraph.sources import documents
+
+    path = _folder(spark, "scenarios")
+    documents.write_scenarios(_scenarios(spark, sf_dir).withColumn("benchmark_version", F.lit("1.0")), path)
+    s = documents.read_scenarios(spark, path, lines=True)
+    texts = F.transform("turns", lambda t: F.concat(F.coalesce(t["user_message"], F.lit("")), F.coalesce(t["assistant_message"], F.lit(""))))
+    edges = F.aggregate("turns", F.lit(0).cast("bigint"), lambda n, t: n + F.size(t["gold_parents"]))
+    return s.select("scenario_id", "family", "benchmark_version", F.size("turns").cast("bigint").alias("n_turns"), F.length(F.array_join(texts, "")).cast("bigint").alias("n_chars"),
+                    edges.alias("n_edges"), F.md5(F.array_join(texts, "")).alias("digest"))
+
+
+def _event_log(spark, sf_dir, path: str, broken: str) -> None:
+    """The events as JSON lines; ``broken``: a cut line at the end of a file, or before another line."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    lines = e.select("event_id", F.to_json(F.struct(*e.columns)).alias("j"))
+    lines.where("event_id % 100 <> 0").select("j").write.mode("append").text(path)
+    rest = lines.where("event_id % 100 = 0")
+    cut, nl = F.substring("j", 1, 15), F.lit("\n")
+    rest.select(F.concat("j", nl, cut) if broken == "tail" else F.concat(cut, nl, "j")).coalesce(1).limit(1).write.mode("append").text(path)
+    rest.coalesce(1).offset(1).select("j").write.mode("append").text(path)
+
+
+EVENT_LOG = "event_id bigint, user_id bigint, event_type string, value double"
+
+
+@query("s3_log_scan", """
+  SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(count(DISTINCT user_id) AS BIGINT) AS users, CAST(1 AS BIGINT) AS n_cut_tails FROM events GROUP BY 1""")
+def s3_log_scan(spark, sf_dir):
+    """A JSON-lines log read past the half-written line at the end of a file."""
+    from convgraph.sources import logs
+
+    path = _folder(spark, "log")
+    _event_log(spark, sf_dir, path, "tail")
+    tails = logs.broken_lines(spark, path, EVENT_LOG).agg(F.sum("n_tail").alias("n_cut_tails"))
+    d = logs.read_log(spark, path, EVENT_LOG, "tail").groupBy("event_type").agg(COUNT(), F.sum("event_id").alias("ids"), F.count_distinct("user_id").alias("users"))
+    return d.join(F.broadcast(tails))  # one row
+
+
+@query("s4_strict_scan", "SELECT CAST(count(*) AS BIGINT) AS n_lines, true AS tail_raises, true AS middle_raises FROM events")
+def s4_strict_scan(spark, sf_dir):
+    """A strict scan raises on any broken line, the tolerant one on a line that is not the last."""
+    from convgraph.sources import logs
+
+    tail, middle = _folder(spark, "log"), _folder(spark, "log")
+    _event_log(spark, sf_dir, tail, "tail")
+    _event_log(spark, sf_dir, middle, "middle")
+
+    def raises(path: str, on_bad: str) -> bool:
+        try:
+            logs.read_log(spark, path, EVENT_LOG, on_bad).agg(F.sum("event_id")).collect()
+        except Exception as e:  # noqa: BLE001
+            return "whole records" in str(e) or "MALFORMED" in str(e)
+        return False
+
+    n = logs.broken_lines(spark, tail, EVENT_LOG).agg(F.sum(F.col("n_lines") - F.col("n_broken")).alias("n_lines"))
+    return n.select("n_lines", F.lit(raises(tail, "fail")).alias("tail_raises"), F.lit(raises(middle, "tail")).alias("middle_raises"))
+
+
+@query("s5_appended_records", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def s5_appended_records(spark, sf_dir):
+    """Records appended to a JSON-lines log in two runs, read back."""
+    from convgraph.sources import logs, sinks
+
+    path, o = _folder(spark, "append"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    sinks.append_records(o.where("o_orderkey % 2 = 0"), path)
+    sinks.append_records(o.where("o_orderkey % 2 <> 0"), path)
+    return logs.read_log(spark, path, "o_orderkey bigint, o_orderstatus string", "fail").groupBy("o_orderstatus").agg(COUNT(), F.sum("o_orderkey").alias("keys"))
+
+
+@query("s11_sidecars", """
+  SELECT n_name, r_name, count(c_custkey) AS n_customers, CAST(coalesce(sum(c_custkey), 0) AS BIGINT) AS keys FROM nation JOIN region ON r_regionkey = n_regionkey
+  LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+def s11_sidecars(spark, sf_dir):
+    """One sidecar document per nation, in a folder of its own, read back flattened with the name."""
+    from convgraph.sources import documents
+
+    path = _folder(spark, "sidecars")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+    d = n.join(c, "n_nationkey", "left").select("n_name", F.struct(F.col("r_name").alias("name")).alias("region"), F.struct("n", "keys").alias("customers"))
+    d.repartition("n_name").write.partitionBy("n_name").option("pretty", "true").json(path)
+    got = documents.read_sidecars(spark, path, "n_name string, region struct<name:string>, customers struct<n:bigint,keys:bigint>")
+    z = lambda x: F.coalesce(x, F.lit(0)).cast("bigint")
+    return got.select("n_name", F.col("region.name").alias("r_name"), z(F.col("customers.n")).alias("n_customers"), z(F.col("customers.keys")).alias("keys"))
+
+
+@query("s12_csv_table", "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY 1, 2")
+def s12_csv_table(spark, sf_dir):
+    """A result table written as CSV and read back."""
+    from convgraph.sources import logs, sinks
+
+    path = _folder(spark, "csv")
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(COUNT(), F.round(F.sum("o_totalprice"), 2).alias("price"))
+    sinks.write_csv(o, path, single_file=True)
+    return logs.read_table(spark, path, "o_orderpriority string, o_orderstatus string, n bigint, price double")
+
+
+@query("s13_pivot_table", """
+  SELECT CAST(l_shipdate_year AS VARCHAR) AS year, l_returnflag, l_linestatus, CAST(count(*) AS DOUBLE) AS n
+  FROM (SELECT year(l_shipdate) AS l_shipdate_year, * FROM lineitem) x GROUP BY 1, 2, 3""")
+def s13_pivot_table(spark, sf_dir):
+    """A pivot with two header rows, written and read back in long form."""
+    from convgraph.sources import logs, sinks
+
+    path = _folder(spark, "pivot")
+    heads = ("l_returnflag", "l_linestatus")
+    long = table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year"), *heads).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sinks.write_pivot(long, "year", heads, "n", path)
+    return logs.read_pivot(spark, path, "year", heads, "n")
+
+
 @query("s10_selection_cache", with_views("win", """
   SELECT CAST(t.sid AS VARCHAR) AS scenario_id, t.budget, count(w.idx) AS n, CAST(coalesce(sum(w.idx), 0) AS BIGINT) AS sum_idx, CAST(0 AS BIGINT) AS computed_again
   FROM (SELECT DISTINCT sid, CAST(budget AS BIGINT) AS budget FROM turns CROSS JOIN budgets) t LEFT JOIN win w ON w.sid = t.sid AND w.budget = t.budget GROUP BY 1, 2"""))

@@ -9,9 +9,12 @@ from pyspark.sql.types import StructType
 from convgraph.sources.schemas import SCENARIO
 
 
-def read_documents(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """Documents with the keys of ``schema``; unknown keys are ignored, missing ones NULL."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, schema: str | StructType, lines: bool = False) -> DataFrame:
+    """Documents with the keys of ``schema``; unknown keys are ignored, missing ones NULL.
+
+    A file is one document, or with ``lines`` one document per line, as ``write_scenarios`` writes them.
+    """
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def with_defaults(scenarios: DataFrame) -> DataFrame:
@@ -29,9 +32,9 @@ def with_defaults(scenarios: DataFrame) -> DataFrame:
         "distractor_turn_ids": F.coalesce("distractor_turn_ids", no_ids)})
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
+def read_scenarios(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """All scenarios of a folder.  Order, where it matters, is by ``scenario_id``."""
-    return with_defaults(read_documents(spark, path, SCENARIO))
+    return with_defaults(read_documents(spark, path, SCENARIO, lines))
 
 
 def write_scenarios(scenarios: DataFrame, path: str, mode: str = "append") -> None:
@@ -52,3 +55,9 @@ def explode_turns(scenarios: DataFrame, cost) -> tuple[DataFrame, DataFrame]:
         "sid", F.col("t.turn_id").alias("_id"), F.col("_p").cast("bigint").alias("parent"))
     e = t.select("sid", F.col("_p").cast("bigint").alias("child"), F.posexplode("t.gold_parents").alias("pos", "_id"))
     return turns, e.join(at, ["sid", "_id"]).select("sid", "child", "parent", "pos")
+
+
+def read_sidecars(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Sidecars, one JSON document of any number of lines per file, with the file's ``name`` (without folder and ending)."""
+    d = read_documents(spark, path, schema)
+    return d.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("name"), *d.columns)

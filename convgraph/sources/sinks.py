@@ -27,3 +27,19 @@ def append_records(df: DataFrame, path: str) -> None:
 def matching_lines(text: Column, pattern: str) -> Column:
     """Number of lines of a text that contain ``pattern``."""
     return F.regexp_count(text, F.lit(f"(?m)^.*{pattern}.*$"))
+
+
+def write_pivot(long: DataFrame, index: str, heads: tuple[str, ...], value: str, path: str, mode: str = "overwrite") -> None:
+    """``long(index, *heads, value)`` as a CSV pivot with one header row per entry of ``heads``: a result table in one file.
+
+    The combinations of heads, as many as the table has columns, come to the driver.
+    """
+    columns = sorted(tuple(r) for r in long.select(*heads).distinct().collect())
+    cells = [F.max(F.when(F.lit(True) if not heads else F.expr(" AND ".join(f"`{h}` <=> '{x}'" for h, x in zip(heads, c))), F.col(value))).cast("string").alias(f"c{k}")
+             for k, c in enumerate(columns)]
+    body = long.groupBy(F.col(index).cast("string").alias("_i")).agg(*cells) if cells else long.select(F.col(index).cast("string").alias("_i")).distinct()
+    rows = body.withColumn("_row", F.lit(len(heads)))
+    names = ["_row", "_i", *[f"c{k}" for k in range(len(columns))]]
+    head = long.sparkSession.createDataFrame([(k, h, *[str(c[k]) for c in columns]) for k, h in enumerate(heads)], ", ".join(["_row int", *[f"{n} string" for n in names[1:]]]))
+    out = head.unionByName(rows.select(*names)).orderBy("_row", "_i").drop("_row")
+    out.coalesce(1).write.mode(mode).option("emptyValue", "").option("nullValue", "").csv(path)

@@ -164,3 +164,39 @@ def test_spend_stream(spark, tmp_path):
     t = ledger.run_spend(ingest.read_log(spark, str(src), c.schema, max_files=1), {"us.a": (2.0, 4.0), "b": (1.0, 1.0)}, 2, 4)
     assert {(r.model, r.purpose): (r.usd, r.status) for r in t.collect()} == {
         ("us.a", "?"): (2.0, "stop"), ("global.a", "p"): (2.0, "stop"), ("b", "?"): (1.0, "stop"), ("us.a", "p"): (2.0, "stop")}
+
+
+def test_only_the_last_line_of_a_file_may_be_broken(spark, tmp_path):
+    schema = "a int, b string"
+    good = ['{"a": 1, "b": "x"}', '{"a": 2}', "", '{"a": 3, "b": "y"}']
+    (tmp_path / "tail").mkdir()
+    (tmp_path / "tail" / "1.json").write_text("\n".join([*good, '{"a": 4, "b']))
+    (tmp_path / "tail" / "2.json").write_text('{"a": 9}\n')
+    assert sorted(r.a for r in logs.read_log(spark, str(tmp_path / "tail"), schema, "tail").collect()) == [1, 2, 3, 9]
+    got = {r.file.rsplit("/", 1)[1]: (r.n_lines, r.n_broken, r.n_tail) for r in logs.broken_lines(spark, str(tmp_path / "tail"), schema).collect()}
+    assert got == {"1.json": (4, 1, 1), "2.json": (1, 0, 0)}
+    (tmp_path / "mid").mkdir()
+    (tmp_path / "mid" / "3.json").write_text("\n".join([good[0], '{"a": 4, "b', good[1]]))
+    with pytest.raises(ValueError, match="3.json"):
+        logs.read_log(spark, str(tmp_path / "mid"), schema, "tail")
+    assert logs.read_log(spark, str(tmp_path / "none"), schema, "tail").count() == 0
+
+
+def test_sidecars_by_file_name(spark, tmp_path):
+    from convgraph.sources import documents
+
+    (tmp_path / "s1.json").write_text(json.dumps({"target": "s1", "base_history": 7, "chosen": [{"donor": "a#0", "turns": 3, "cosine": 0.5}]}, indent=2))
+    (tmp_path / "s2.json").write_text(json.dumps({"target": "s2", "extra": 1}, indent=2))
+    got = {r.name: r for r in documents.read_sidecars(spark, str(tmp_path), schemas.SPLICE_SIDECAR).collect()}
+    assert got["s1"].base_history == 7 and got["s1"].chosen[0].donor == "a#0" and got["s2"].chosen is None
+
+
+def test_pivot_round_trip(spark, tmp_path):
+    rows = [("f1", "m1", "a", 1.5), ("f1", "m2", "a", -2.0), ("f2", "m1", "b", 3.25)]
+    long = spark.createDataFrame(rows, "family string, model string, method string, v double")
+    sinks.write_pivot(long, "family", ("model", "method"), "v", str(tmp_path / "p"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "p")).collect()]
+    assert text[:2] == ["model,m1,m1,m2", "method,a,b,a"]
+    assert sorted(map(tuple, logs.read_pivot(spark, str(tmp_path / "p"), "family", ("model", "method"), "v").collect())) == sorted(rows)
+    sinks.write_pivot(long.limit(0), "family", ("model", "method"), "v", str(tmp_path / "e"))
+    assert logs.read_pivot(spark, str(tmp_path / "e"), "family", ("model", "method"), "v").count() == 0
