@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from convgraph.functions.lineage import cut_lineage
 from convgraph.operators import facts, gates, resample, stats, tables
 from convgraph.plans.catalog_candidates import RECALL_SQL, _P, recall as recall_rows
 from convgraph.plans.catalog_facts import COMPARISON_SQL, COMPARISONS, COUNT, aligned, item_scores
@@ -515,6 +516,33 @@ def a12_frontier(spark, sf_dir):
         r6("distractor_leakage", "leakage_ref"), r6("distractor_leakage_alt", "leakage_alt"))
 
 
+BY_JUDGE_SQL = """,
+  byj AS (SELECT 'ref' AS judge, model_key, method_label, scenario_id, checklist_score AS m, distractor_leakage AS leak FROM facts
+          UNION ALL SELECT 'alt', model_key, method_label, scenario_id, checklist_score_alt, distractor_leakage_alt FROM facts),
+  vals AS (SELECT * FROM byj WHERE m IS NOT NULL),"""
+
+
+def by_judge(f):
+    """One row per fact and judge: (judge, model_key, method_label, scenario_id, m, leak)."""
+    each = F.array(*[F.struct(F.lit(j).alias("judge"), F.col(f"checklist_score{x}").cast("double").alias("m"), F.col(f"distractor_leakage{x}").alias("leak"))
+                     for j, x in (("ref", ""), ("alt", "_alt"))])
+    return f.select("model_key", "method_label", "scenario_id", F.inline(each))
+
+
+@query("a12_score_intervals", with_views("facts", BY_JUDGE_SQL + boot_sql("vals", "judge, model_key, method_label", "scenario_id", "avg(n.m) AS mb") + f""",
+  ci AS (SELECT judge, model_key, method_label, {ci_sql('mb', 'q_ci_low', 'q_ci_high')} FROM bs GROUP BY 1, 2, 3)
+  SELECT b.judge, b.model_key, b.method_label, count(m) AS n, round(avg(m), 6) AS checklist, any_value(q_ci_low) AS q_ci_low, any_value(q_ci_high) AS q_ci_high,
+         round(avg(leak), 6) AS leakage FROM byj b JOIN ci USING (judge, model_key, method_label) GROUP BY 1, 2, 3 HAVING count(m) >= 5"""))
+def a12_score_intervals(spark, sf_dir):
+    """Frontier scores with an interval under each judge, for cells of five scores or more."""
+    d = cut_lineage(by_judge(facts_table(spark, sf_dir)))
+    by = ["judge", "model_key", "method_label"]
+    ci = resample.bootstrap_mean(d, by, "scenario_id", "m", N_BOOT, SEED).where("n >= 5")
+    leak = d.groupBy(*by).agg(F.avg("leak").alias("leakage"))
+    return ci.join(leak, by).select(*by, "n", r6("mean", "checklist"), r6("ci_low", "q_ci_low"),
+                                    r6("ci_high", "q_ci_high"), r6("leakage"))
+
+
 @query("a13_arms", with_views("facts", _frontier_sql("checklist_score") + f""",
   ci AS (SELECT model_key, method_label, {ci_sql('mb', 'q_ci_low', 'q_ci_high')} FROM bs GROUP BY 1, 2),
   t AS (SELECT model_key, method_label, count(*) AS n, avg(context_tokens) AS tok, avg(checklist_score) AS q FROM facts GROUP BY 1, 2)
@@ -688,15 +716,14 @@ def d7_judge_bar(spark, sf_dir):
 
 
 @query("d7_adopted_judge", with_views("aligned iscore", "," + JUDGE_SQL + """
-  , ps AS (SELECT *, row_number() OVER (ORDER BY usd, judge) AS rk FROM jt WHERE kappa >= 0.6),
+  , ps AS (SELECT *, row_number() OVER (ORDER BY usd, judge) AS rk FROM jt WHERE round(kappa, 4) >= 0.6 AND round(mad, 4) <= 0.05 AND n_violations = 0),
   fold AS (SELECT rk, judge, kappa, usd FROM ps WHERE rk = 1 UNION ALL
     SELECT p.rk, CASE WHEN p.kappa - f.kappa >= 0.1 AND p.usd < 2 * f.usd THEN p.judge ELSE f.judge END,
       CASE WHEN p.kappa - f.kappa >= 0.1 AND p.usd < 2 * f.usd THEN p.kappa ELSE f.kappa END,
       CASE WHEN p.kappa - f.kappa >= 0.1 AND p.usd < 2 * f.usd THEN p.usd ELSE f.usd END FROM fold f JOIN ps p ON p.rk = f.rk + 1)
-  SELECT judge AS adopted, (SELECT count(*) FROM ps) AS n_passers FROM fold ORDER BY rk DESC LIMIT 1"""))
+  SELECT (SELECT judge FROM fold ORDER BY rk DESC LIMIT 1) AS adopted, (SELECT count(*) FROM ps) AS n_passers"""))
 def d7_adopted_judge(spark, sf_dir):
-    j = _judge_table(spark, sf_dir).withColumn("passes", F.col("kappa") >= gates.T.kappa)
-    return gates.adopt_judge(j)
+    return gates.adopt_judge(gates.judge_bar(_judge_table(spark, sf_dir)))
 
 
 @query("d8_judge_bar_v2", with_views("aligned iscore", "," + JUDGE_SQL + """
