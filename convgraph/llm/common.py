@@ -19,6 +19,15 @@ def id_remainder(doc_id: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(mod))
 
 
+IDS = 1_000_000  # ids up to which a list of them is sent to every executor (16 MB); a longer one is joined by a shuffle
+
+
+def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``ids``, a written table of distinct ids; wide rows stay where they are if the
+    counted list is short."""
+    return df.join(F.broadcast(ids) if ids.count() <= IDS else ids, key, "left_semi")
+
+
 def split_bits(rows: int, per_split: int = 1000) -> int:
     """Bits of a hash that cut ``rows`` rows into splits of about ``per_split``."""
     return max(1, math.ceil(math.log2(max(2, rows / per_split))))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convgraph.functions.lineage import cut_lineage, release
-from convgraph.llm.common import components
+from convgraph.llm.common import among, components
 
 BITS, SEED = 64, 42
 BLOCK = 1 << 16  # shingles whose bits are counted at a time
@@ -208,11 +208,30 @@ def _postings(prefixes: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(rid, n, grams, bits): all distinct shingle hashes, and a bit for each of them in a row of 8 to 16 bits per hash."""
+
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"rid": pdf["rid"], "grams": [np.unique(shingle_hashes(t, k)).astype(np.int64) for t in pdf["text"]]})
+            grams = [np.unique(shingle_hashes(t, k)) for t in pdf["text"]]
+            bits = []
+            for g in grams:
+                row = np.zeros(1 << max(3, (8 * len(g) - 1).bit_length()), dtype=np.uint8)
+                row[(g & np.uint64(len(row) - 1)).astype(np.int64)] = 1
+                bits.append(np.packbits(row).tobytes())
+            yield pd.DataFrame({"rid": pdf["rid"], "n": [len(g) for g in grams], "grams": [g.astype(np.int64) for g in grams], "bits": pd.Series(bits, dtype=object)})
+
+    return docs.select("rid", "text").mapInPandas(make, "rid bigint, n int, grams array<bigint>, bits binary")
 
-    return docs.select("rid", "text").mapInPandas(make, "rid bigint, grams array<bigint>")
+
+def _bits_differ(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of hashes that only one of two sets has: bits that only one has, at the shorter width."""
+    x, y = (np.frombuffer(v, dtype=np.uint8) for v in (a, b))
+    while len(x) != len(y):  # the longer row folded in two: its places modulo half the width
+        if len(x) > len(y):
+            x = x[:len(x) // 2] | x[len(x) // 2:]
+        else:
+            y = y[:len(y) // 2] | y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _may_be_alike(x: str, y: str, similarity: float) -> Column:
@@ -223,13 +242,28 @@ def _may_be_alike(x: str, y: str, similarity: float) -> Column:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (x, y: structs with rid) whose whole sets have the resemblance."""
+    """Those of ``pairs`` (x, y: structs with rid) whose whole sets have the resemblance.
+
+    Bit rows, an eighth of the sets' size, rule out most pairs for certain: alike sets differ in at most
+    (1 - similarity) / (1 + similarity) of their hashes.  The sets of the others are compared.
+    """
     pairs = cut_lineage(pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct())
-    left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("x")), "a")
-    right = sets.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
+    least = (1 - similarity) / (1 + similarity) + SLACK
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            near = [_bits_differ(x, y) <= least * n for x, y, n in zip(pdf["x"], pdf["y"], pdf["n"])]
+            yield pdf.loc[near, ["a", "b"]]
+
+    side = lambda to, bits, n: sets.select(F.col("rid").alias(to), F.col("bits").alias(bits), F.col("n").alias(n))
+    both_bits = pairs.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b")
+    likely = cut_lineage(both_bits.select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n")).mapInPandas(keep, "a bigint, b bigint"))
+    ids = cut_lineage(likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct())
+    few = among(sets.select("rid", "grams"), ids, "rid")
+    left, right = few.select(F.col("rid").alias("a"), F.col("grams").alias("x")), few.select(F.col("rid").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    out = cut_lineage(left.join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"))
-    release(pairs)
+    out = cut_lineage(likely.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    release(pairs, likely, ids)
     return out
 
 
@@ -249,14 +283,14 @@ def similar_documents(docs: DataFrame, *, rid: str, text: str = "text", shingle:
     exact = cut_lineage(prefixes.select("rid", "same"))
     heads = cut_lineage(exact.groupBy("same").agg(F.min("rid").alias("rid")))
     only = cut_lineage(heads.select("rid"))
-    rows = cut_lineage(_postings(prefixes.join(only, "rid", "left_semi")))
+    rows = cut_lineage(_postings(among(prefixes, only, "rid")))
     release(prefixes, only)
     pivots = F.array(*[F.min_by(F.struct("rid", "n", "pos"), F.xxhash64("rid", F.lit(k))) for k in range(PIVOTS)])
     busy = rows.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.array_distinct(pivots).alias("pivots")).where("members > 1")
     met, rows = rows, cut_lineage(rows.join(busy, "g"))
     release(met)
-    wanted = cut_lineage(rows.select("rid").distinct())  # ids alone: few enough to be broadcast unless most texts are alike
-    sets = cut_lineage(_shingle_sets(d.join(wanted, "rid", "left_semi"), shingle))
+    wanted = cut_lineage(rows.select("rid").distinct())
+    sets = cut_lineage(_shingle_sets(among(d, wanted, "rid"), shingle))
     member = F.struct("rid", "n", "pos")
     pairs = rows.select(member.alias("x"), F.explode("pivots").alias("y")).where("x.rid <> y.rid").where(_may_be_alike("x", "y", similarity))
     alike = _alike(pairs, sets, similarity)
