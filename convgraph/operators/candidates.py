@@ -205,9 +205,13 @@ def misses(closed: DataFrame, ranked: DataFrame, ks: Sequence[int | None]) -> Da
 
 
 def pool_view(pool: DataFrame, closed: DataFrame, limit: int) -> DataFrame:
-    """Inspection view: rank, gold mark, sources, first shared items."""
+    """Inspection view: rank, gold mark, sources, first shared items; a gold turn outside the pool has no rank."""
     marks = closed.select("sid", "idx", F.lit(True).alias("_g"))
     r = rank_pool(pool, limit).join(marks, ["sid", "idx"], "left")
-    return r.select("sid", "rank", "idx", F.coalesce("_g", F.lit(False)).alias("gold"), "cosine",
-                    F.array_join("sources", "+").alias("sources"),
-                    F.array_join(F.slice("shared_items", 1, 3), ",").alias("shared"))
+    shown = r.select("sid", "rank", "idx", F.coalesce("_g", F.lit(False)).alias("gold"), "cosine",
+                     F.array_join("sources", "+").alias("sources"),
+                     F.array_join(F.slice("shared_items", 1, 3), ",").alias("shared"))
+    missing = closed.select("sid", "idx").join(pool.select("sid", "idx"), ["sid", "idx"], "left_anti")
+    kind = {f.name: f.dataType for f in shown.schema}
+    none = lambda c: F.lit(None).cast(kind[c]).alias(c)
+    return shown.unionByName(missing.select("sid", none("rank"), "idx", F.lit(True).alias("gold"), none("cosine"), F.lit("missing").alias("sources"), F.lit("").alias("shared")))

@@ -96,8 +96,13 @@ def shares(table: DataFrame, value: str = "usd") -> DataFrame:
     return table.join(F.broadcast(total)).withColumn("pct", F.try_divide(100 * F.col(value), F.col("_t"))).drop("_t")
 
 
-def dry_run(plan: DataFrame, selections: DataFrame, rates: Mapping[str, float], summary_tokens: int = 200) -> DataFrame:
-    """Estimated input tokens and cost per model and arm; a summary counts as a flat surcharge."""
+def dry_run(plan: DataFrame, selections: DataFrame, rates: Mapping[str, tuple[float, float]], output_tokens: int, metrics: DataFrame | None = None,
+            summary_tokens: int = 200) -> DataFrame:
+    """Estimate per model and arm before anything is run: input tokens, cost of input and of ``output_tokens`` an answer,
+    and, with ``metrics`` of the planned instances, mean recall and sufficiency.
+
+    ``rates`` are US dollars a million input and output tokens; a summary counts as a flat surcharge.
+    """
     tok = selections.groupBy("sid", "method", "budget").agg(F.sum("cost").alias("_t"))
     p, s = plan.alias("p"), tok.alias("s")
     on = (F.col("p.sid") == F.col("s.sid")) & (F.col("p.method") == F.col("s.method")) & F.col("p.budget").eqNullSafe(F.col("s.budget"))
@@ -105,5 +110,10 @@ def dry_run(plan: DataFrame, selections: DataFrame, rates: Mapping[str, float],
     per = p.join(s, on, "left").select("p.*", "s._t").withColumn("_t", F.coalesce("_t", F.lit(0)) + extra)
     arms = per.groupBy("method", "budget").agg(
         F.count(F.lit(1)).alias("n"), F.sum("_t").alias("input_tokens"), F.avg("_t").alias("mean_tokens"))
-    rate = F.array(*[F.struct(F.lit(m).alias("model_key"), F.lit(float(r)).alias("rate")) for m, r in rates.items()])
-    return arms.select("*", F.inline(rate)).withColumn("usd", F.col("input_tokens") * F.col("rate") / 1e6)
+    if metrics is not None:  # one row per arm on both sides
+        q = metrics.groupBy("method", "budget").agg(F.avg("context_recall").alias("context_recall"), F.avg("context_sufficiency").alias("context_sufficiency")).alias("q")
+        a = arms.alias("a")
+        arms = a.join(q, (F.col("a.method") == F.col("q.method")) & F.col("a.budget").eqNullSafe(F.col("q.budget")), "left").select("a.*", "q.context_recall", "q.context_sufficiency")
+    rate = F.array(*[F.struct(F.lit(m).alias("model_key"), F.lit(float(i)).alias("_in"), F.lit(float(o)).alias("_out")) for m, (i, o) in rates.items()])
+    priced = arms.select("*", F.inline(rate)).withColumn("usd", F.col("input_tokens") * F.col("_in") / 1e6)
+    return priced.withColumn("output_usd", F.col("n") * F.lit(output_tokens) * F.col("_out") / 1e6).withColumn("total_usd", F.col("usd") + F.col("output_usd")).drop("_in", "_out")

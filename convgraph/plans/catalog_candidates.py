@@ -161,7 +161,8 @@ def k8_all_pools(spark, sf_dir):
 @query("k9_pool_view", pool_sql("""
   SELECT r.sid, r.rank, r.idx, c.idx IS NOT NULL AS gold, r.cosine, r.sources,
          coalesce(array_to_string(list_slice(string_split(r.items, ','), 1, 3), ','), '') AS shared
-  FROM ranked r LEFT JOIN clo c ON c.sid = r.sid AND c.idx = r.idx WHERE r.rank <= 10"""))
+  FROM ranked r LEFT JOIN clo c ON c.sid = r.sid AND c.idx = r.idx WHERE r.rank <= 10
+  UNION ALL SELECT c.sid, NULL, c.idx, true, NULL, 'missing', '' FROM clo c WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.sid = c.sid AND r.idx = c.idx)"""))
 def k9_pool_view(spark, sf_dir):
     p = build(spark, sf_dir)
     return candidates.pool_view(p.pool, p.closed, 10).withColumn("rank", F.col("rank").cast("bigint"))

@@ -280,9 +280,10 @@ def p28_display_table(spark, sf_dir):
 
 
 PRICES = {"F": (3.0, 15.0), "O": (1.0, 5.0), "P": (0.6, 2.4)}
+OUTPUT_TOKENS = 350  # assumed of an answer (fixed value)
 
 
-@query("c11_dry_run", with_views("turns win retr clo", """
+@query("c11_dry_run", with_views("turns win retr clo ev", """
   , sel AS (SELECT sid, 'full_history' AS method, CAST(NULL AS BIGINT) AS budget, cost FROM turns WHERE rev > 0
     UNION ALL SELECT sid, 'rolling_summary', budget, cost FROM win UNION ALL SELECT sid, 'semantic_retrieval', budget, cost FROM retr
     UNION ALL SELECT t.sid, 'oracle_dag', NULL, t.cost FROM turns t JOIN clo c ON c.sid = t.sid AND c.idx = t.idx),
@@ -290,12 +291,20 @@ PRICES = {"F": (3.0, 15.0), "O": (1.0, 5.0), "P": (0.6, 2.4)}
            ('semantic_retrieval', 1024), ('semantic_retrieval', 2048), ('oracle_dag', NULL)) v(method, budget)),
   tok AS (SELECT q.sid, a.method, a.budget, coalesce(sum(s.cost), 0) + CASE WHEN a.method = 'rolling_summary' THEN 200 ELSE 0 END AS t
           FROM turns q CROSS JOIN arms a LEFT JOIN sel s ON s.sid = q.sid AND s.method = a.method AND s.budget IS NOT DISTINCT FROM a.budget
-          WHERE q.rev = 0 GROUP BY 1, 2, 3)
+          WHERE q.rev = 0 GROUP BY 1, 2, 3),
+  sel2 AS (SELECT sid, 'full_history' AS method, CAST(NULL AS BIGINT) AS budget, idx FROM turns WHERE rev > 0
+    UNION ALL SELECT sid, 'rolling_summary', budget, idx FROM win UNION ALL SELECT sid, 'semantic_retrieval', budget, idx FROM retr UNION ALL SELECT sid, 'oracle_dag', NULL, idx FROM clo),
+  hit AS (SELECT s.sid, s.method, s.budget, count(*) AS h FROM sel2 s JOIN ev ON ev.sid = s.sid AND ev.idx = s.idx GROUP BY 1, 2, 3),
+  nev AS (SELECT sid, count(*) AS n FROM ev GROUP BY 1),
+  ql AS (SELECT k.method, k.budget, avg(CASE WHEN e.n IS NULL THEN 1.0 ELSE coalesce(h.h, 0) / e.n END) AS rec, avg(CASE WHEN coalesce(h.h, 0) = coalesce(e.n, 0) THEN 1.0 ELSE 0.0 END) AS suf
+         FROM tok k LEFT JOIN nev e ON e.sid = k.sid LEFT JOIN hit h ON h.sid = k.sid AND h.method = k.method AND h.budget IS NOT DISTINCT FROM k.budget GROUP BY 1, 2)
   SELECT p.model_key, tok.method, CAST(tok.budget AS BIGINT) AS budget, count(*) AS n, CAST(sum(t) AS BIGINT) AS input_tokens, round(avg(t), 6) AS mean_tokens,
-         round(sum(t) * p.rate / 1e6, 6) AS usd
-  FROM tok CROSS JOIN (VALUES ('F', 3.0::DOUBLE), ('O', 1.0), ('P', 0.6)) p(model_key, rate) GROUP BY p.model_key, p.rate, tok.method, tok.budget"""))
+         round(sum(t) * p.rate / 1e6, 6) AS usd, round(any_value(ql.rec), 6) AS context_recall, round(any_value(ql.suf), 6) AS context_sufficiency,
+         round(count(*) * 350 * p.out / 1e6, 6) AS output_usd, round(sum(t) * p.rate / 1e6 + count(*) * 350 * p.out / 1e6, 6) AS total_usd
+  FROM tok JOIN ql ON ql.method = tok.method AND ql.budget IS NOT DISTINCT FROM tok.budget
+  CROSS JOIN (VALUES ('F', 3.0::DOUBLE, 15.0::DOUBLE), ('O', 1.0, 5.0), ('P', 0.6, 2.4)) p(model_key, rate, out) GROUP BY p.model_key, p.rate, p.out, tok.method, tok.budget"""))
 def c11_dry_run(spark, sf_dir):
-    from convgraph.operators.metrics import instances
+    from convgraph.operators.metrics import flag_evidence, instances, selection_metrics
     from convgraph.operators.select import Method
     from convgraph.operators.spend import dry_run
 
@@ -305,5 +314,7 @@ def c11_dry_run(spark, sf_dir):
                Method("oracle_dag")]
     sel = select.select_context(t, e, methods, cosine=cos)
     plan = instances(t, [(m.name, m.budget) for m in methods])
-    out = dry_run(plan, sel, {m: p[0] for m, p in PRICES.items()})
-    return out.select("model_key", "method", "budget", "n", "input_tokens", r6("mean_tokens"), r6("usd"))
+    quality = selection_metrics(flag_evidence(t, inputs.evidence(closed)), sel, plan)
+    out = dry_run(plan, sel, PRICES, OUTPUT_TOKENS, quality)
+    return out.select("model_key", "method", "budget", "n", "input_tokens", *[r6(c) for c in (
+        "mean_tokens", "usd", "context_recall", "context_sufficiency", "output_usd", "total_usd")])
