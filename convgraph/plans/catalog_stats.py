@@ -646,6 +646,37 @@ def d4_comparability(spark, sf_dir):
     return _decide(spark, sf_dir)
 
 
+JUDGED_SQL = """,
+  fj AS (SELECT 'ref|' || model_key AS model_key, method_label, scenario_id, context_tokens, checklist_score FROM facts
+         UNION ALL SELECT 'alt|' || model_key, method_label, scenario_id, context_tokens, checklist_score_alt FROM facts)"""
+PRIMARY = ("F", "O")  # models of the confirmatory set
+
+
+@query("d4_by_judge", with_views("facts", JUDGED_SQL + "," + (d4_sql() + "," + D4_SQL).replace("FROM facts", "FROM fj") + """,
+  hs AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_ni, a, b) + 1) * p_ni AS k FROM cmpres
+         WHERE a = 'candidate_oracle@15' AND model IN ('ref|F', 'ref|O')),
+  ha AS (SELECT model, least(1.0, max(k) OVER (ORDER BY p_ni, a, b ROWS UNBOUNDED PRECEDING)) < 0.05 AS ok FROM hs),
+  hm AS (SELECT model, bool_and(ok) AS noninferior_holm FROM ha GROUP BY 1),
+  nc AS (SELECT model, bool_and(q_lo >= -0.03) AS noninferior_ci FROM cmpres WHERE a = 'candidate_oracle@15' GROUP BY 1)
+  SELECT split_part(dec.model, '|', 1) AS judge, split_part(dec.model, '|', 2) AS model, best_baseline, ref_tokens, best_tokens, verdict, noninferior_ci, noninferior_holm
+  FROM dec JOIN nc ON nc.model = dec.model LEFT JOIN hm ON hm.model = dec.model"""))
+def d4_by_judge(spark, sf_dir):
+    """The decision under each judge, with the step-down flag over the confirmatory set of the first judge's primary models."""
+    ref = "candidate_oracle@15"
+    sides = [F.struct(F.concat(F.lit(f"{j}|"), "model_key").alias("model_key"), F.col(f"checklist_score{x}").alias("checklist_score")) for j, x in (("ref", ""), ("alt", "_alt"))]
+    f = cut_lineage(facts_table(spark, sf_dir).select("method_label", "scenario_id", "context_tokens", F.inline(F.array(*sides))))
+    c = cut_lineage(_comparisons(spark, sf_dir, "none", pairs=D4_PAIRS, source=f))
+    fr = f.groupBy(F.col("model_key").alias("model"), "method_label").agg(F.avg("context_tokens").alias("context_tokens"), F.avg("checklist_score").alias("checklist"))
+    d = gates.comparability(c.where(F.col("a") == ref), c.where(F.col("b") == ref), fr, ref, D4_BASES)
+    mine = c.where((F.col("a") == ref) & F.col("b").isin(*D4_BASES))
+    first = mine.where(F.col("model").isin(*[f"ref|{m}" for m in PRIMARY])).withColumn("_set", F.lit(0))
+    holm = stats.holm(first, ["_set"], "p_noninferior", len(PRIMARY) * len(D4_BASES)).groupBy("model").agg(F.bool_and("noninferior_holm").alias("noninferior_holm"))
+    ni = mine.groupBy("model").agg(F.bool_and("noninferior_ci").alias("noninferior_ci"))
+    name = F.split("model", "\\|")
+    return d.join(ni, "model").join(holm, "model", "left").select(name[0].alias("judge"), name[1].alias("model"), "best_baseline", "ref_tokens", "best_tokens", "verdict",
+                                                                  "noninferior_ci", "noninferior_holm")
+
+
 @query("d11_overall", with_views("facts", "," + d4_sql() + "," + D4_SQL + """
   SELECT bool_and(verdict = 'PASS') AS passes, count(*) AS n_models FROM dec"""))
 def d11_overall(spark, sf_dir):
