@@ -119,10 +119,17 @@ PIVOTS = 4  # members of a posting that its others are compared with before the
 HASHES_PER_RANGE = 1 << 16  # shingle hashes of prefixes that are grouped together, about
 SALTS = 8  # parts of a posting that the exact search joins in different tasks
 SLACK = 1e-9  # against rounding: bounds may let a pair through, the resemblance itself decides
+ROWS = 500  # texts whose hashes a task holds at a time
 SAMPLED = 32  # one text in so many tells which shingles are frequent
 FREQUENT = 2048  # a shingle of one sampled text in so many, and of four at least, is frequent
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for whole in batches:
+        for start in range(0, len(whole), ROWS):
+            yield whole.iloc[start:start + ROWS]
+
+
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of frequent shingles, the less frequent first.
 
@@ -152,7 +159,7 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
         frequent = shared.value
         by_hash = np.argsort(frequent)
         known = frequent[by_hash]
-        for pdf in batches:
+        for pdf in _parts(batches):
             n, grams, light = [], [], []
             for t in pdf["text"]:
                 g = np.unique(shingle_hashes(t, k)).astype(np.int64)
@@ -211,7 +218,7 @@ def _shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """(rid, n, grams, bits): all distinct shingle hashes, and a bit for each of them in a row of 8 to 16 bits per hash."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _parts(batches):
             grams = [np.unique(shingle_hashes(t, k)) for t in pdf["text"]]
             bits = []
             for g in grams:
@@ -251,7 +258,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     least = (1 - similarity) / (1 + similarity) + SLACK
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _parts(batches):
             near = [_bits_differ(x, y) <= least * n for x, y, n in zip(pdf["x"], pdf["y"], pdf["n"])]
             yield pdf.loc[near, ["a", "b"]]
 
