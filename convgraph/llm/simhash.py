@@ -127,7 +127,7 @@ FREQUENT = 2048  # a shingle of one sampled text in so many, and of four at leas
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for whole in batches:
         for start in range(0, len(whole), ROWS):
-            yield whole.iloc[start:start + ROWS]
+            yield whole.iloc[start:start + ROWS].reset_index(drop=True)
 
 
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:

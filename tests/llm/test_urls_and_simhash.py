@@ -175,3 +175,13 @@ def test_one_shingle_in_every_text(spark, monkeypatch):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert {r.rid: r.root for r in simhash.similar_documents(df, rid="rid").collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_more_texts_than_a_task_holds_at_once(spark):
+    """Every text has its near copy far behind it, in another part of the same batch."""
+    n = 2 * simhash.ROWS + 100
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(40)) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts])), "rid long, text string").coalesce(1)
+    assert {r.rid: r.root for r in simhash.similar_documents(df, rid="rid").collect()} == {i: i % n for i in range(2 * n)}
