@@ -309,7 +309,7 @@ def q8_cosine_gate(spark, sf_dir):
 def q9_sidecar(spark, sf_dir):
     from convgraph.operators.select import similarity
 
-    t, reg, _, closed, _ = long_corpus(spark, sf_dir)
+    t, reg, _, closed = long_corpus(spark, sf_dir)
     gate = longrules.cosine_gate(t, similarity(t, inputs.vectors(spark, sf_dir)), 0.6)
     return longrules.sidecar(t, closed, reg, gate).select(
         "sid", "family", big("n_history"), "full_history_tokens", r6("closure_ratio"), "n_registry", r6("gold_median"))
