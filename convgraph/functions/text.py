@@ -125,3 +125,19 @@ def span_variant(spans: Column) -> Column:
 def display_name(col: Column, names: Mapping[str, str]) -> Column:
     pairs = [F.lit(x) for kv in names.items() for x in kv]
     return F.coalesce(F.get(F.array(F.create_map(*pairs)[col]), F.lit(0)), col)
+
+
+def one_decimal(x: Column) -> Column:
+    """A double with one decimal as ``%.1f`` prints it: the nearest to its binary value, of two as near the even one.
+
+    Spark's own formats round the shortest decimal form instead, so that 49.65, in binary a little less, becomes 49.7.
+    """
+    a = F.abs(x)
+    whole = F.floor(a)
+    part = a - whole
+    high = F.floor(part * 2**20) / F.lit(2.0**20)
+    n = F.floor(part * 10)
+    over = (high * 10 - n - 0.5) + (part - high) * 10  # its sign is exact: both products are
+    tenths = whole * 10 + n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))

@@ -272,11 +272,11 @@ def p26_recall_holds(spark, sf_dir):
   SELECT CASE model_key WHEN 'F' THEN 'Model F' WHEN 'O' THEN 'Model O' ELSE 'Model P' END AS model, method_label,
          printf('%.1f%%', 100 * round(avg(checklist_score), 4)) AS score FROM facts GROUP BY 1, 2"""))
 def p28_display_table(spark, sf_dir):
-    from convgraph.functions.text import display_name
+    from convgraph.functions.text import display_name, one_decimal
 
     s = tables.summary(facts_table(spark, sf_dir), ["model_key", "method_label"], ["checklist_score"])
     return s.select(display_name(F.col("model_key"), {"F": "Model F", "O": "Model O", "P": "Model P"}).alias("model"),
-                    "method_label", F.format_string("%.1f%%", 100 * F.round("checklist_score", 4)).alias("score"))
+                    "method_label", F.concat(one_decimal(100 * F.round("checklist_score", 4)), F.lit("%")).alias("score"))
 
 
 PRICES = {"F": (3.0, 15.0), "O": (1.0, 5.0), "P": (0.6, 2.4)}

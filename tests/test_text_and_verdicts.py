@@ -61,3 +61,10 @@ def test_items_from_literals(spark):
     m = lambda c: vd.item_map(vd.items_from_text(c))
     assert one(spark, "[{'id': 'a', 'satisfied': True}, {'id': 'b'}]", m) == {"a": True, "b": False}
     assert one(spark, '[{"id": "a", "satisfied": true}, {"id": "a", "satisfied": false}]', m) == {"a": False}
+
+
+def test_one_decimal_prints_the_binary_value(spark):
+    values = [k / 20 for k in range(-41, 2001)] + [49.65, 50.55, 0.05, 0.15, 45.25, 45.75, 99.95, 0.04999999999999999, 1e-9, 123456.35]
+    d = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    got = d.select("x", text.one_decimal(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == [None if r.x is None else "%.1f" % r.x for r in got]
