@@ -1,6 +1,7 @@
 """Graph operators against plain Python, in one block and in many."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +90,16 @@ def test_subsequence_and_pattern(spark):
         for pat, want in (("brad", True), ("rcbb", False), ("aaaaa", True), ("aaaaaa", False)):
             got = graph.follows_pattern(t, "v", list(pat), "ok", block).first().ok
             assert got == want, (block, pat)
+
+
+def test_long_conversation_with_many_far_edges_is_walked_in_time(spark):
+    # one conversation of 40 blocks whose turns are entered from far later ones; each block was folded once per entry before
+    n = 40 * 1024
+    rows = [(1, i, i - 1 - i % 3, 0) for i in range(1, n)] + [(1, i, i // 2, 1) for i in range(1, n, 40)]
+    rows = [r for r in rows if r[2] >= 0]
+    t = spark.createDataFrame([(1, i, n - 1 - i) for i in range(n)], "sid bigint, idx bigint, rev bigint")
+    e = spark.createDataFrame(rows, "sid bigint, child bigint, parent bigint, pos int")
+    start = time.time()
+    got = sorted(r.idx for r in graph.closure(t, e).collect())
+    assert got == sorted(reach(rows, 1, n - 1))
+    assert time.time() - start < 20
