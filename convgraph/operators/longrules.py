@@ -43,11 +43,12 @@ def short_history(turns: DataFrame, min_tokens: int = MIN_HISTORY_TOKENS) -> Dat
     return ranked.where(F.col("_rn") <= REPORTED_TURNS).join(low, "sid").select("sid", "turn_id", "n_chars", "full_tokens")
 
 
-def _named(turns: DataFrame, names: DataFrame) -> DataFrame:
-    """(sid, idx, name) of the names that occur in a turn, case ignored; salted by turn."""
-    body = turns.select("sid", "idx", F.lower(turn_text(F.col("user_message"), F.col("assistant_message"))).alias("_t"))
-    return salted_join(body, names.select("sid", "name"), ["sid"], F.col("idx")).where(
-        F.contains("_t", F.lower("name"))).select("sid", "idx", "name")
+def _named(turns: DataFrame, names: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(sid, idx, *carry, name) of the names that occur in a turn, case ignored; salted by turn."""
+    body = turns.select("sid", "idx", *carry, F.lower(turn_text(F.col("user_message"), F.col("assistant_message"))).alias("_t"))
+    # names of all conversations are many: sorted, not sent to every executor
+    return salted_join(body, names.select("sid", "name").hint("merge"), ["sid"], F.col("idx")).where(
+        F.contains("_t", F.lower("name"))).select("sid", "idx", *carry, "name")
 
 
 def effective_registry(turns: DataFrame, registry: DataFrame) -> DataFrame:
@@ -67,10 +68,10 @@ def registry_check(registry: DataFrame, effective: DataFrame, min_registry: int
 
 def branch_entities(turns: DataFrame, branches: DataFrame, effective: DataFrame, min_shared: int = MIN_SHARED) -> DataFrame:
     """Effective names each distractor branch mentions: (sid, root, n_hits, fails)."""
-    t = turns.join(branches.select("sid", "idx", "root"), ["sid", "idx"])
-    hit = _named(t, effective).join(branches.select("sid", "idx", "root"), ["sid", "idx"]).select("sid", "root", "name").distinct()
+    t = turns.join(branches.select("sid", "idx", "root").hint("merge"), ["sid", "idx"])
+    hit = _named(t, effective, ("root",)).select("sid", "root", "name").distinct()
     n = hit.groupBy("sid", "root").agg(F.count(F.lit(1)).alias("_n"))
-    return branches.select("sid", "root").distinct().join(n, ["sid", "root"], "left").select(
+    return branches.select("sid", "root").distinct().join(n.hint("merge"), ["sid", "root"], "left").select(
         "sid", "root", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_hits"), (F.coalesce("_n", F.lit(0)) < min_shared).alias("fails"))
 
 

@@ -12,7 +12,7 @@ METRICS = ("context_precision", "context_recall", "context_f1", "context_suffici
 def flag_evidence(turns: DataFrame, evidence: DataFrame) -> DataFrame:
     """Adds ``is_evidence`` and ``is_distractor`` (history turns outside the evidence)."""
     e = evidence.select("sid", "idx", F.lit(True).alias("_e"))
-    return turns.join(e, ["sid", "idx"], "left").select(
+    return turns.join(e.hint("merge"), ["sid", "idx"], "left").select(  # small as a file, large as a broadcast
         *[F.col(c) for c in turns.columns],
         F.coalesce("_e", F.lit(False)).alias("is_evidence"),
         (F.col("_e").isNull() & (F.col("rev") > 0)).alias("is_distractor"))

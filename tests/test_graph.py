@@ -103,3 +103,14 @@ def test_long_conversation_with_many_far_edges_is_walked_in_time(spark):
     got = sorted(r.idx for r in graph.closure(t, e).collect())
     assert got == sorted(reach(rows, 1, n - 1))
     assert time.time() - start < 20
+
+
+def test_branches_and_names_of_all_conversations_are_not_broadcast(spark):
+    from convgraph.operators import longrules
+
+    t = spark.createDataFrame([(1, i, 4 - i, "asks k1", "says Click") for i in range(5)], "sid bigint, idx bigint, rev bigint, user_message string, assistant_message string")
+    b = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 1)], "sid bigint, idx bigint, root bigint")
+    names = spark.createDataFrame([(1, "click"), (1, "K1"), (1, "absent")], "sid bigint, name string")
+    hits = longrules.branch_entities(t, b, names, 2)
+    assert sorted(tuple(r) for r in hits.collect()) == [(1, 1, 2, False), (1, 2, 2, False)]
+    assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()
