@@ -177,6 +177,52 @@ def test_one_shingle_in_every_text(spark, monkeypatch):
     assert {r.rid: r.root for r in simhash.similar_documents(df, rid="rid").collect()} == {i: find(i) for i in range(len(texts))}
 
 
+def test_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies that resemble their source and seldom each other are chained without comparing all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, count, compared = [word() for _ in range(150)], 300, []
+    texts = [" ".join(base)]
+    for _ in range(count):
+        at = {rng.randrange(50 * k + 5, 50 * k + 45) for k in range(3)}
+        texts.append(" ".join(word() if i in at else w for i, w in enumerate(base)))
+    rng.shuffle(texts)
+    alike = simhash._alike
+
+    def counted(pairs, *a):
+        compared.append(pairs.count())
+        return alike(pairs, *a)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    assert {r.root for r in simhash.similar_documents(df, rid="rid").collect()} == {0}
+    assert sum(compared) < 200 * count  # a pair counts once for each posting it shares
+
+
+def test_similar_documents_go_through_fingerprints(spark, monkeypatch):
+    """Linked fingerprints are candidates, and those that do not resemble each other stay apart."""
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    line = "a line that says so very often".split()
+    texts = [long, long[:1500] + ["other"] + long[1501:], line * 400 + long[:20], line * 400 + long[50:90]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "rid long, text string")
+    links, alike, seen, compared = simhash.links_within_two, simhash._alike, [], []
+
+    def linked(prints, *a):
+        seen.extend(r.fp for r in prints.collect())
+        return links(prints, *a)
+
+    def checked(pairs, *a):
+        compared.append({tuple(sorted((r.x.rid, r.y.rid))) for r in pairs.collect()})
+        return alike(pairs, *a)
+
+    monkeypatch.setattr(simhash, "links_within_two", linked)
+    monkeypatch.setattr(simhash, "_alike", checked)
+    got = {r.rid: r.root for r in simhash.similar_documents(df, rid="rid").collect()}
+    assert set(seen) == {simhash.signed(simhash.majority(simhash.shingle_hashes(" ".join(t), 5))) for t in texts}
+    assert compared[0] == {(0, 1), (2, 3)} and got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_more_texts_than_a_task_holds_at_once(spark):
     """Every text has its near copy far behind it, in another part of the same batch."""
     n = 2 * simhash.ROWS + 100
