@@ -133,6 +133,27 @@ def test_draws_are_even_and_independent():
     assert abs(np.corrcoef(w[:-1, 3], w[1:, 3])[0, 1]) < 0.06 and abs(np.corrcoef(w[:, 3], w[:, 4])[0, 1] + 1 / 59) < 0.06
 
 
+@pytest.mark.parametrize("n", [5, 4096, 4097, 100_001])
+def test_resamples_of_a_block_are_drawn_together(monkeypatch, n):
+    """One pass over all draws of a block's resamples, whatever their numbers, equals the draws one by one."""
+    places, calls = resample._places, []
+    monkeypatch.setattr(resample, "_places", lambda *a: calls.append(1) or places(*a))
+    b, block, seed = np.arange(20) * 499, (n - 1) // 4096, 77
+    got = resample.block_weights(b, n, seed, block)
+    assert len(calls) == 1
+    size = min(n - block * 4096, 4096)
+    for k, draws in enumerate(resample.block_draws(b, n, seed, block)):
+        want = np.zeros(size)
+        u = (int(b[k]) * 48271 + seed) % 2147483647
+        e = (u * u % 2147483647 + block * 16807 + 12345) % 2147483647
+        first = (e * e + u) % 2147483647
+        second = (first * 69621 + u * u % 2147483647) % 2147483647 // 4
+        for t in range(int(draws)):
+            w = ((first + t * 69621) ** 2 + second) ** 2 % 2147483647
+            want[w * size >> 31] += 1
+        assert (got[k] == want).all()
+
+
 def test_bootstrap_spread_is_that_of_the_mean(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=145)
