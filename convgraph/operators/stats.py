@@ -57,6 +57,17 @@ def kappa(items: DataFrame, by: Sequence[str], a: str = "ref", b: str = "cand")
     g = items.where(x.isNotNull() & y.isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_items"), F.avg((x == y).cast("int")).alias("agreement"),
         F.avg(x.cast("int")).alias("_pa"), F.avg(y.cast("int")).alias("_pb"))
+    return _chance_corrected(g, by)
+
+
+def kappa_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``kappa`` from counted items: counts(*by, n, n_equal, n_ref, n_cand), any number of rows per group."""
+    share = lambda c: F.sum(c) / F.sum("n")
+    return _chance_corrected(counts.groupBy(*by).agg(
+        F.sum("n").alias("n_items"), share("n_equal").alias("agreement"), share("n_ref").alias("_pa"), share("n_cand").alias("_pb")), by)
+
+
+def _chance_corrected(g: DataFrame, by: Sequence[str]) -> DataFrame:
     pe = F.col("_pa") * F.col("_pb") + (1 - F.col("_pa")) * (1 - F.col("_pb"))
     flat = F.col("_pa").isin(0.0, 1.0) & F.col("_pb").isin(0.0, 1.0)
     k = (F.when(F.col("n_items") < 2, F.lit(None)).when(flat, F.col("agreement"))
