@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convgraph.functions.lineage import cut_lineage
+from convgraph.functions.lineage import cut_lineage, small_parts
 from convgraph.functions.text import signposting
 from convgraph.operators import graph
 
@@ -168,12 +168,13 @@ def closure_rules(c: Corpus, clean: DataFrame) -> DataFrame:
 
 
 def violations(c: Corpus) -> DataFrame:
-    # the hits are few and feed both the result and the choice of clean conversations
-    first = cut_lineage(_scenario_rules(c).unionByName(_turn_rules(c)).unionByName(_reference_rules(c)))
-    bad = first.where("severity = 'error'").select("sid").distinct()
-    clean = cut_lineage(c.scenarios.select("sid").join(bad, "sid", "left_anti"))
-    rows = first.unionByName(closure_rules(c, clean)).unionByName(_checklist_rules(c))
-    return rows.groupBy("sid", "rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+    with small_parts(c.turns.sparkSession):
+        # the hits are few and feed both the result and the choice of clean conversations
+        first = cut_lineage(_scenario_rules(c).unionByName(_turn_rules(c)).unionByName(_reference_rules(c)))
+        bad = first.where("severity = 'error'").select("sid").distinct()
+        clean = cut_lineage(c.scenarios.select("sid").join(bad, "sid", "left_anti"))
+        rows = first.unionByName(closure_rules(c, clean)).unionByName(_checklist_rules(c))
+        return cut_lineage(rows.groupBy("sid", "rule", "severity").agg(F.count(F.lit(1)).alias("n")))
 
 
 def report(c: Corpus, found: DataFrame) -> DataFrame:
