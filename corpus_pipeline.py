@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convgraph.functions.lineage import cut_lineage
+from convgraph.functions.lineage import BATCH, cut_lineage, setting
 from convgraph.llm import labels, mixing, packing, secretscan, simhash, toxicity
 from convgraph.llm.common import among
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.7  # scores from which a document goes
+ROWS = 500  # documents scored at a time; Python's processes keep for later stages what their largest batch took
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     known = labels.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
     d = _rows(docs).withColumns({"doc_id": _field("doc_id"), "text": _field("text")})
-    return _columns(toxicity.score_documents(d, known, out="toxic").where(F.col("toxic") < TOXIC))
+    with setting(spark, BATCH, str(ROWS)):
+        return cut_lineage(_columns(toxicity.score_documents(d, known, out="toxic").where(F.col("toxic") < TOXIC)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
