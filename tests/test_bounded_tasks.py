@@ -23,6 +23,15 @@ def test_rules_read_shuffles_in_small_parts(spark, monkeypatch):
     assert spark.conf.get(ADVISORY, None) == before
 
 
+def test_files_are_read_in_small_parts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(4_000_000).selectExpr("xxhash64(id) AS h").repartition(8).write.parquet(path)  # 32 MB, whose even share is 8 MB
+    spark.range(4_000_000).selectExpr("xxhash64(-id) AS h").repartition(8).write.mode("append").parquet(path)
+    whole = spark.read.parquet(path).rdd.getNumPartitions()
+    with lineage.small_parts(spark):
+        assert spark.read.parquet(path).rdd.getNumPartitions() > whole
+
+
 def test_python_gets_one_pair_of_donor_and_target_blocks_at_a_time(spark, monkeypatch):
     seen = _recorded(monkeypatch, spark, splice, lineage.BATCH)
     assert catalog_splice.x5_choose_donors(spark, SF).count() >= 0
