@@ -34,15 +34,18 @@ def source_semantic(cosine: DataFrame, top: int = 10) -> DataFrame:
     return best.select("sid", "idx", F.lit("semantic").alias("source"))
 
 
-def shared_items(turns: DataFrame, items: DataFrame, min_shared: int = 1) -> DataFrame:
+def shared_items(turns: DataFrame, items: DataFrame, min_shared: int = 1, listed: bool = True) -> DataFrame:
     """History turns sharing items with the query: (sid, idx, shared_items).
 
-    ``items(sid, idx, item)``.  An equi-join on (sid, item), salted by turn.
+    ``items(sid, idx, item)``.  An equi-join on (sid, item), salted by turn.  Unless ``listed``, items are only counted:
+    (sid, idx).
     """
     role = turns.select("sid", "idx", "rev")
     it = items.dropDuplicates(["sid", "idx", "item"]).join(role, ["sid", "idx"])
     q = it.where("rev = 0").select("sid", "item")
     hits = salted_join(it.where("rev > 0"), q, ["sid", "item"], F.col("idx"))
+    if not listed:  # an item is one row per turn
+        return hits.groupBy("sid", "idx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_shared).select("sid", "idx")
     return (
         hits.groupBy("sid", "idx").agg(F.sort_array(F.collect_set("item")).alias("shared_items"))
         .where(F.size("shared_items") >= min_shared)
@@ -63,18 +66,20 @@ def candidate_pool(
     recency: int = 5,
     min_shared: int = 1,
     heads: bool = True,
+    listed: bool = True,
 ) -> DataFrame:
-    """Union of the sources, one row per (sid, idx); cosine rounded to four places."""
-    shared = shared_items(turns, items, min_shared)
+    """Union of the sources, one row per (sid, idx); cosine rounded to four places; without ``listed`` no ``shared_items``."""
+    shared = shared_items(turns, items, min_shared, listed)
     hits = source_active_branch(turns, edges, depth)
     if heads:
         hits = hits.unionByName(source_inactive_heads(turns, edges))
     hits = hits.unionByName(source_semantic(cosine, top)).unionByName(source_recency(turns, recency))
-    hits = hits.withColumn("shared_items", F.lit(None).cast("array<string>")).unionByName(
-        shared.select("sid", "idx", F.lit("entity_overlap").alias("source"), "shared_items"))
+    own = ["shared_items"] if listed else []
+    hits = hits.withColumns({c: F.lit(None).cast("array<string>") for c in own}).unionByName(
+        shared.select("sid", "idx", F.lit("entity_overlap").alias("source"), *own))
     pool = hits.groupBy("sid", "idx").agg(
         F.sort_array(F.collect_set("source")).alias("sources"),
-        F.coalesce(F.max("shared_items"), F.array().cast("array<string>")).alias("shared_items"))
+        *[F.coalesce(F.max(c), F.array().cast("array<string>")).alias(c) for c in own])
     return pool.join(cosine.select("sid", "idx", F.round("cosine", 4).alias("cosine")), ["sid", "idx"])
 
 

@@ -81,14 +81,14 @@ class Pool(NamedTuple):
     pool: DataFrame
 
 
-def build(spark, sf_dir) -> Pool:
+def build(spark, sf_dir, listed: bool = True) -> Pool:
     t, e, closed = conversation_graph(spark, sf_dir)
     cos = select.similarity(t, inputs.vectors(spark, sf_dir), digits=4)
-    return Pool(t, e, closed, cut_lineage(candidates.candidate_pool(t, e, cut_lineage(cos), inputs.items(t))))
+    return Pool(t, e, closed, cut_lineage(candidates.candidate_pool(t, e, cut_lineage(cos), inputs.items(t), listed=listed)))
 
 
 def recall(spark, sf_dir) -> DataFrame:
-    p = build(spark, sf_dir)
+    p = build(spark, sf_dir, listed=False)  # recall needs no list of the shared items
     r = candidates.recall_at(p.turns, p.pool, p.closed, KS)
     return r.join(p.turns.where("rev = 0").select("sid", "family"), "sid")
 
