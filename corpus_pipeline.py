@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from convgraph.functions.lineage import BATCH, cut_lineage, setting
 from convgraph.llm import labels, mixing, packing, secretscan, simhash, toxicity
-from convgraph.llm.common import among
+from convgraph.llm.common import among, numbered
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.7  # scores from which a document goes
-ROWS = 500  # documents scored at a time; Python's processes keep for later stages what their largest batch took
+ROWS = 500  # documents scored or encoded at a time; Python's processes keep for later stages what their largest batch took
+
+
+def _row(docs: DataFrame) -> Column:
+    """A whole row as one column ``row``, so that no working column can meet a column of the table."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Whole rows as one column ``row``, so that no working column can meet a column of the table."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return docs.select(_row(docs))
 
 
 def _field(name: str) -> Column:
@@ -38,9 +42,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table stays empty; other columns, whatever their names, are passed on.
     """
     known = labels.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
-    d = _rows(docs).withColumns({"doc_id": _field("doc_id"), "text": _field("text")})
-    with setting(spark, BATCH, str(ROWS)):
-        return cut_lineage(_columns(toxicity.score_documents(d, known, out="toxic").where(F.col("toxic") < TOXIC)))
+    d = numbered(docs, _row(docs))
+    texts = d.select("rid", _field("doc_id").alias("doc_id"), _field("text").alias("text"))
+    with setting(spark, BATCH, str(ROWS)):  # only the numbers of kept rows are written
+        kept = cut_lineage(toxicity.score_documents(texts, known, out="toxic").where(F.col("toxic") < TOXIC).select("rid"))
+    return _columns(among(d, kept, "rid"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are one class; of repeated rows one stays; ids are not looked at and may be null; an empty table
     stays empty; texts are compared whole; other columns, whatever their names, are passed on.
     """
-    d = cut_lineage(_rows(docs).withColumn("rid", F.monotonically_increasing_id()))
+    d = numbered(docs, _row(docs))
     classes = simhash.similar_documents(d.select("rid", _field("text").alias("text")), rid="rid", shingle=5, similarity=0.8)
     kept = cut_lineage(classes.where("rid = root").select("rid"))
     return _columns(among(d, kept, "rid"))
@@ -86,7 +92,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are the end id alone; repeated rows and ids are documents of their own; an empty table gives no
     pieces; other columns are not read.
     """
-    return packing.pack(docs, packing.default_tokenizer(), window=1024, end_id=0)
+    with setting(spark, BATCH, str(ROWS)):
+        return packing.pack(docs, packing.default_tokenizer(), window=1024, end_id=0)
 
 
 STAGES: list[tuple[str, Stage]] = [
